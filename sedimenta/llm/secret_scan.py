@@ -150,23 +150,28 @@ def _spans(text: Column, pattern: str, kind: int) -> Column:
     return _let(hits, lambda h: F.when(F.size(h) > 0, placed(h)).otherwise(none))
 
 
-def scan(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
-    """``doc_id``, ``text``, ``found``: array of (start, kind, end, hit), by start, then kind; code points, end exclusive.
+def found(text: Column, model: Model, ratio: float = RATIO) -> Column:
+    """Array of (start, kind, end, hit) by start, then kind; code points, end exclusive.
 
     Kinds 0 to 2 are the fixed patterns (assignments whose value is too short
     are dropped after matching, as they still use up their text); kind 3 are
     tokens of at least 20 characters that are likelier random than ordinary by
     ``ratio``, outside assignments and not holding a match of another kind.
-    Null text: empty, nothing found. Rows are neither joined nor shuffled, so
-    repeated rows, null ids and extra columns change nothing.
     """
-    t = F.col("text")
     value = lambda s: F.char_length(F.regexp_extract(s["hit"], ASSIGN, 1)) >= VALUE
     token = f"(?:{ASSIGN.replace('([', '(?:[')})|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{TOKEN},}}={{0,2}}"
     other = f"^{KEY}[\"']?\\x20*[:=]|{ACCESS}|{HEX}"
     random = lambda s: F.when(s["hit"].rlike(other), F.lit(False)).otherwise(likelihood_ratio(s["hit"], model) >= ratio)
-    found = F.concat(F.filter(_spans(t, ASSIGN, 0), value), _spans(t, ACCESS, 1), _spans(t, HEX, 2), F.filter(_spans(t, token, 3), random))
-    return documents(df, id_col, text_col).withColumn("found", F.array_sort(found))
+    return F.array_sort(F.concat(F.filter(_spans(text, ASSIGN, 0), value), _spans(text, ACCESS, 1), _spans(text, HEX, 2), F.filter(_spans(text, token, 3), random)))
+
+
+def scan(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", ratio: float = RATIO) -> DataFrame:
+    """``doc_id``, ``text``, ``found`` of every whole text.
+
+    Null text: empty, nothing found. Rows are neither joined nor shuffled, so
+    repeated rows, null ids and extra columns change nothing.
+    """
+    return documents(df, id_col, text_col).withColumn("found", found(F.col("text"), model, ratio))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -181,7 +186,11 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def redact(scanned: DataFrame) -> DataFrame:
-    """``doc_id``, ``text`` where every occurrence of a found secret gives way to ``[secret]``, the longest first."""
-    hits = F.array_sort(F.array_distinct(F.transform("found", lambda s: s["hit"])), lambda a, b: F.char_length(b) - F.char_length(a))
-    return scanned.select("doc_id", F.when(F.size("found") == 0, F.col("text")).otherwise(F.aggregate(hits, F.col("text"), lambda t, h: F.replace(t, h, F.lit(REDACTED)))).alias("text"))
+def redacted(text: Column, spans: Column) -> Column:
+    """The text where every occurrence of a found secret gives way to ``[secret]``, the longest first. Null stays null."""
+
+    def put(f: Column) -> Column:
+        hits = F.array_sort(F.array_distinct(F.transform(f, lambda s: s["hit"])), lambda a, b: F.char_length(b) - F.char_length(a))
+        return F.when(F.size(f) > 0, F.aggregate(hits, text, lambda t, h: F.replace(t, h, F.lit(REDACTED)))).otherwise(text)
+
+    return _let(spans, put)

@@ -7,12 +7,12 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm.common import by_hash, documents, held_out
@@ -27,6 +27,8 @@ STEMS = (4, 5, 6)
 #: Words from an insult to a second person that count as near.
 NEAR = 5
 TREES, DEPTH = 30, 4
+#: Names of the columns that the models add, unlike any of a table.
+VECTOR, RAW, MARGIN, STEP = "_toxic_vector", "_toxic_raw", "_toxic_margin", "_toxic_step"
 
 # Words that insult, and second persons, of the languages that the corpus has.
 INSULTS = frozenset(
@@ -101,17 +103,17 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def extract(df: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """``doc_id``, ``features`` (array of double) of columns doc_id and text. No shuffle."""
-    shared = df.sparkSession.sparkContext.broadcast(lexicon)  # LEXICON entries at most
+def dense(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
+    """The array of FEATURES of a text column, null texts as empty ones."""
+    shared = spark.sparkContext.broadcast(lexicon)  # LEXICON entries at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         lex = shared.value
-        for b in batches:
-            rows = pa.array([features(t, lex) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), rows], ["doc_id", "features"])
+        for texts in batches:
+            yield pd.Series([features(t, lex) for t in texts])
 
-    return df.select("doc_id", "text").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, features array<double>")
+    return run(F.coalesce(text, F.lit("")))
 
 
 @dataclass
@@ -152,14 +154,28 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     seen = drawn.where("part < 2").select("text", "label").mapInArrow(members, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     top = seen.where(F.col("a") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), F.desc("a"), "unit").limit(LEXICON)
     lexicon = Lexicon({r["unit"]: float(r["odds"]) for r in top.collect()})
-    rows = settle(extract(drawn.where("part >= 2").select("doc_id", "text"), lexicon).join(F.broadcast(lab), "doc_id").select(array_to_vector("features").alias("features"), F.col("label").cast("double"), "part"), "toxic")
+    rows = drawn.where("part >= 2").select(array_to_vector(dense(F.col("text"), lexicon, df.sparkSession)).alias(VECTOR), F.col("label").cast("double"), "part")
+    rows = settle(rows, "toxic")
     fitting, holding = rows.where("part < 4"), rows.where("part = 4")
     both = lambda x: {r["label"] for r in x.select("label").distinct().collect()} == {0.0, 1.0}
     if not both(fitting):
         return Model(lexicon, None, None, base)
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, minInstancesPerNode=5).fit(fitting)
-    margins = trees.transform(holding if both(holding) else fitting).select(vector_to_array("rawPrediction")[1].alias("margin"), "label")
-    return Model(lexicon, trees, IsotonicRegression(featuresCol="margin", predictionCol="score").fit(margins), base)
+    learner = GBTClassifier(featuresCol=VECTOR, predictionCol="_toxic_class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, minInstancesPerNode=5)
+    trees = learner.setRawPredictionCol(RAW).setProbabilityCol("_toxic_odds").fit(fitting)
+    margins = trees.transform(holding if both(holding) else fitting).select(vector_to_array(RAW)[1].alias(MARGIN), "label")
+    return Model(lexicon, trees, IsotonicRegression(featuresCol=MARGIN, predictionCol=STEP).fit(margins), base)
+
+
+def with_score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """``df`` with the score of its text column (0 to 1) as column ``name``. No shuffle."""
+    if model.trees is None or model.calibration is None:
+        return df.withColumn(name, F.lit(float(model.base)))
+    own = df.columns
+    raw = model.trees.transform(df.withColumn(VECTOR, array_to_vector(dense(F.col(text_col), model.lexicon, df.sparkSession))))
+    # A step of the calibration joins many margins; a hundredth of the raw odds keeps them in order.
+    out = model.calibration.transform(raw.select(*own, vector_to_array(RAW)[1].alias(MARGIN)))
+    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col(STEP) + 0.01 / (1 + F.exp(-2 * F.col(MARGIN)))))
+    return out.withColumn("_toxic_score", s).select(*[c for c in own if c != name], F.col("_toxic_score").alias(name))
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,12 +184,10 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty and gets an empty text's score. Only the text
     is an input. An empty table gives no rows.
     """
-    d = documents(df, id_col, text_col)
-    if model.trees is None or model.calibration is None:
-        return d.select("doc_id", F.lit(float(model.base)).alias("score"), F.lit(int(model.base >= 0.5)).alias("predicted"))
-    raw = model.trees.transform(extract(d, model.lexicon).select("doc_id", array_to_vector("features").alias("features")))
-    # A step of the calibration joins many margins; a hundredth of the raw odds keeps them in order.
-    margin = raw.select("doc_id", vector_to_array("rawPrediction")[1].alias("margin"))
-    out = model.calibration.transform(margin)
-    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("score") + 0.01 / (1 + F.exp(-2 * F.col("margin")))))
-    return out.select("doc_id", s.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = with_score(documents(df, id_col, text_col), model)
+    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_civil(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score under 0.5."""
+    return with_score(df, model, text_col, "_civil").where("_civil < 0.5").drop("_civil")
