@@ -21,9 +21,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     loops is returned with its own label). Repeated edges count once. An empty
     edge list gives an empty result. Returns ``node``, ``component``.
     """
-    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    loops = e.where("a = b").select(F.col("a").alias("node"))
-    e = settle(e.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    given = edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
+    given = settle(given.distinct(), "cc")
+    loops, e = given.where("a = b").select(F.col("a").alias("node")), given.where("a <> b")
     nodes = e.select(F.col("a").alias("node")).union(e.select(F.col("b").alias("node"))).union(loops).distinct()
     last = None
     for _ in range(max_rounds):
