@@ -123,20 +123,18 @@ def edit_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     n = len(cuts) + 1
     edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{kind}>")
     # Bucket 0 holds the largest ids; nulls come last, with the smallest.
-    place = F.coalesce(F.size(F.filter(edges, lambda c: c > F.col("doc_id"))), F.lit(n - 1)) if cuts else F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), n - 1).otherwise(F.size(F.filter(edges, lambda c: c > F.col("doc_id")))) if cuts else F.lit(0)
     d = d.withColumn("bucket", place.cast("int"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     top = d.groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()  # one row a bucket
     tops = sorted((r["bucket"], r["top"]) for r in top)
     follows = {b: tops[(i - 1) % len(tops)][0] for i, (b, _) in enumerate(tops)}  # the bucket that needs this one's first row
     if tops:
-        first = F.lit(False)
-        back = F.lit(-1)
         names = spark.createDataFrame([(b, t, follows[b]) for b, t in tops], f"bucket int, top {kind}, back int")
         own = d.join(F.broadcast(names), "bucket")  # a row for each range: as many as 8 x partitions
+        stay, back = F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.struct(F.col("back").alias("bucket"), F.lit(True).alias("copy"))
         first = F.col("doc_id").eqNullSafe(F.col("top"))
-        back = F.when(first, F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy")), F.struct(F.col("back").alias("bucket"), F.lit(True).alias("copy"))))
-        d = own.withColumn("to", F.explode(F.coalesce(back, F.array(F.struct(F.col("bucket"), F.lit(False).alias("copy"))))))
+        d = own.withColumn("to", F.explode(F.when(first, F.array(stay, back)).otherwise(F.array(stay))))
         d = d.select("doc_id", "text", "to.bucket", "to.copy")
     else:
         d = d.withColumn("copy", F.lit(False))
