@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,28 @@ def by_hash(df: DataFrame, bound: int, *cols: str) -> DataFrame:
     return df.orderBy(order, *cols).limit(bound)
 
 
+class Memo(dict):
+    """What a worker remembers of a function of a key: the last ``size`` to twice ``size`` keys, those in use among them.
+
+    Two generations: a full one becomes the old one, from which keys that come
+    again move to the new one, and is then dropped.
+    """
+
+    def __init__(self, make: Callable, size: int):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -15,10 +15,10 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import by_hash, documents, held_out
+from sedimenta.llm.common import Memo, by_hash, documents, held_out
 from sedimenta.session import settle
 
-#: Labelled rows that are learned from at most: 40 % for the lexicon, 40 % for the trees, 20 % for the calibration.
+#: Labelled rows that are learned from at most: 80 % for lexicon and trees, 20 % for the calibration.
 SAMPLE = 30_000
 #: Entries of the learned lexicon, the documents that an entry must be in, and its least log-odds.
 LEXICON, LEAST, ODDS = 2000, 4, 1.5
@@ -33,7 +33,7 @@ VECTOR, RAW, MARGIN, STEP = "_toxic_vector", "_toxic_raw", "_toxic_margin", "_to
 # Words that insult, and second persons, of the languages that the corpus has.
 INSULTS = frozenset(
     "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown clowns fool foolish jerk "
-    "freak creep ugly imbecile cretin dimwit halfwit bastard bitch asshole shit fuck fucking crap hate kill die "
+    "freak creep ugly imbecile cretin dimwit halfwit bastard bitch asshole shit fuck fucking crap "
     "dumm dumme dummkopf idiotin trottel arschloch scheisse scheiße abschaum versager widerlich erbärmlich hässlich wertlos "
     "idiota estúpido estúpida tonto tonta imbécil basura asqueroso asquerosa patético patética inútil perdedor payaso mierda "
     "idiote stupide imbécile crétin crétine ordure minable dégoûtant dégoûtante pathétique nul nulle perdant connard merde".split()
@@ -58,30 +58,48 @@ def units(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Log-odds of words and word beginnings, and the weight of any word by them."""
+    """In how many toxic and other documents words and word beginnings are, and the weight of any word by that.
 
-    odds: dict[str, float]
+    A weight is the log-odds less its standard error, and 0 under ODDS or in
+    under LEAST toxic documents. For a document that was counted itself, give
+    its label: it is taken off first, so that trees learn from weights as a new
+    document would get them.
+    """
+
+    counts: dict[str, tuple[int, int]]
+    toxic: int
+    other: int
 
     def __post_init__(self) -> None:
-        self.known: dict[str, float] = {}
+        self.known = [Memo(lambda w, y=y: self._most(w, y), 200_000) for y in (0, 1, -1)]
+
+    def __reduce__(self) -> tuple:  # what is remembered stays where it is
+        return Lexicon, (self.counts, self.toxic, self.other)
+
+    def _odds(self, unit: str, label: int) -> float:
+        a, b = self.counts.get(unit, (0, 0))
+        a, b = a - (label == 1), b - (label == 0)
+        if a < LEAST:
+            return 0.0
+        n1, n0 = self.toxic - (label == 1), self.other - (label == 0)
+        odds = math.log((a + 0.5) / (n1 + 1)) - math.log((max(b, 0) + 0.5) / (n0 + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (max(b, 0) + 0.5))
+        return odds if odds >= ODDS else 0.0
+
+    def _most(self, word: str, label: int) -> float:
+        return max(self._odds(x, label) for x in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)))
 
-    def weight(self, word: str) -> float:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[word] = max((self.odds.get(x, 0.0) for x in (word, *(word[:n] + "*" for n in STEMS if len(word) > n))), default=0.0)
-        return got
+    def weights(self, words: list[str], label: int = -1) -> list[float]:
+        return list(map(self.known[label].__getitem__, words))
 
 
-def features(text: str, lexicon: Lexicon) -> list[float]:
+def features(text: str, lexicon: Lexicon, label: int = -1) -> list[float]:
     """The dense features of a text, in the order of FEATURES; all 0 for an empty one."""
     low = text.lower()
     words = WORD.findall(low)
     n = len(words)
     if not n:
         return [0.0] * len(FEATURES)
-    weights = list(map(lexicon.weight, words))
+    weights = lexicon.weights(words, label)
     fixed = [i for i, w in enumerate(words) if w in INSULTS]
     hits = [i for i, x in enumerate(weights) if x > 0]
     bad = sorted({*fixed, *hits})
@@ -93,7 +111,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     disguised = 0
     odd = [m.group() for m in OBFUSCATED.finditer(low)]
     if odd:
-        disguised = sum(any(w in INSULTS or lexicon.weight(w) > 0 for w in WORD.findall(t.translate(PLAIN))) for t in low.split() if not t.isalpha() and OBFUSCATED.search(t))
+        disguised = sum(any(w in INSULTS or lexicon.weights([w], label)[0] > 0 for w in WORD.findall(t.translate(PLAIN))) for t in low.split() if not t.isalpha() and OBFUSCATED.search(t))
     shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
     marks = text.count("!") + text.count("?")
     points = sum(text.count(c) for c in ".,;:!?*#$%&@")
@@ -103,17 +121,17 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     ]
 
 
-def dense(text: Column, lexicon: Lexicon, spark: SparkSession) -> Column:
-    """The array of FEATURES of a text column, null texts as empty ones."""
+def dense(text: Column, lexicon: Lexicon, spark: SparkSession, label: Column | None = None) -> Column:
+    """The array of FEATURES of a text column, null texts as empty ones; ``label`` for rows that the lexicon counted."""
     shared = spark.sparkContext.broadcast(lexicon)  # LEXICON entries at most
 
     @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         lex = shared.value
-        for texts in batches:
-            yield pd.Series([features(t, lex) for t in texts])
+        for texts, labels in batches:
+            yield pd.Series([features(t, lex, y) for t, y in zip(texts, labels, strict=True)])
 
-    return run(F.coalesce(text, F.lit("")))
+    return run(F.coalesce(text, F.lit("")), F.lit(-1) if label is None else label)
 
 
 @dataclass
@@ -128,15 +146,15 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     """Learn from at most ``sample`` labelled rows, chosen by a hash of their id; held-out rows never count.
 
     The labels are drawn first, from their own narrow table, and only the texts
-    of those rows move. Rows without a label teach nothing; of an id that has
+    of those rows move; of equal texts one counts. Rows without a label teach nothing; of an id that has
     several labels the largest counts. Without both labels there is no model:
     every score is the share of 1 among the labels (0 without any).
     """
     lab = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null")
     lab = by_hash(lab, sample, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)))
     docs = documents(df, id_col, text_col)
-    drawn = settle(docs.join(F.broadcast(lab), "doc_id"), "toxic")  # at most ``sample`` rows of 16 bytes are broadcast
-    sizes = {(r["part"] < 2, r["label"]): r["n"] for r in drawn.groupBy((F.col("part") < 2).alias("part"), "label").agg(F.count("*").alias("n")).collect()}
+    drawn = settle(docs.join(F.broadcast(lab), "doc_id").dropDuplicates(["text"]), "toxic")  # at most ``sample`` rows of 16 bytes are broadcast
+    sizes = {(r["part"], r["label"]): r["n"] for r in drawn.groupBy((F.col("part") < 4).alias("part"), "label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = (sum(n for (_, y), n in sizes.items() if (y == 1) == one) for one in (True, False))
     base = ones / (ones + zeros) if ones + zeros else 0.0
 
@@ -150,11 +168,13 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(unit, pa.string()), pa.array(label, pa.int32())], ["unit", "label"])
 
     n1, n0 = sizes.get((True, 1), 0), sizes.get((True, 0), 0)
-    odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
-    seen = drawn.where("part < 2").select("text", "label").mapInArrow(members, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    odds = F.log(a / (n1 + 1)) - F.log(b / (n0 + 1)) - F.sqrt(1 / a + 1 / b)
+    seen = drawn.where("part < 4").select("text", "label").mapInArrow(members, "unit string, label int").groupBy("unit").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     top = seen.where(F.col("a") >= LEAST).withColumn("odds", odds).where(F.col("odds") >= ODDS).orderBy(F.desc("odds"), F.desc("a"), "unit").limit(LEXICON)
-    lexicon = Lexicon({r["unit"]: float(r["odds"]) for r in top.collect()})
-    rows = drawn.where("part >= 2").select(array_to_vector(dense(F.col("text"), lexicon, df.sparkSession)).alias(VECTOR), F.col("label").cast("double"), "part")
+    lexicon = Lexicon({r["unit"]: (r["a"], r["b"]) for r in top.collect()}, n1, n0)
+    counted = F.when(F.col("part") < 4, F.col("label")).otherwise(-1)
+    rows = drawn.select(array_to_vector(dense(F.col("text"), lexicon, df.sparkSession, counted)).alias(VECTOR), F.col("label").cast("double"), "part")
     rows = settle(rows, "toxic")
     fitting, holding = rows.where("part < 4"), rows.where("part = 4")
     both = lambda x: {r["label"] for r in x.select("label").distinct().collect()} == {0.0, 1.0}
