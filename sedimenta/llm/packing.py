@@ -15,20 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import documents
+from sedimenta.llm.common import Memo, documents
 from sedimenta.session import settle
 
 LENGTH = 2048
 #: Pieces that one group of the packer holds (24 bytes each); a group wastes one sequence at most beside the method's own waste.
 GROUP = 100_000
-#: Words that a worker remembers the ids of.
-WORDS = 400_000
+#: Words in one of the two generations that a worker remembers the ids of (about 200 bytes each).
+WORDS = 700_000
 #: str.split() also splits at these four, which are not white space to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 
 
-class WordIds(dict):
+class WordIds(Memo):
     """Ids of a word as little-endian bytes, looked up once per word and worker.
 
     This vocabulary's pre-tokenizer drops white space and never joins what it
@@ -39,15 +39,8 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        encode = Tokenizer.from_file(path).encode
+        super().__init__(lambda word: array("I", encode(word, add_special_tokens=False).ids).tobytes(), WORDS)
 
     def of(self, text: str) -> bytes:
         words = text.split() if not NOT_SPACE.search(text) else [w for w in SPACE.split(text) if w]
