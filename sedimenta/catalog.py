@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sedimenta.plans import q_facts, q_graph, q_ops, q_resolve, q_search, q_text  # noqa: F401  (each registers its queries)
+from sedimenta.plans import q_facts, q_graph, q_ops, q_parse, q_resolve, q_search, q_text  # noqa: F401  (each registers its queries)
 from sedimenta.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -98,7 +98,8 @@ def normalize(t: Column, kind: Column) -> Column:
     base = line_endings(t)
     html = without_xbrl_traces(without_header(base))
     text = without_separators(without_header(base))
-    return F.trim(collapse_space(F.when(kind == "pdf", clean_pdf(base)).when(kind.isin("html", "htm", "xbrl"), html).otherwise(text)))
+    clean = collapse_space(F.when(kind == "pdf", clean_pdf(base)).when(kind.isin("html", "htm", "xbrl"), html).otherwise(text))
+    return F.regexp_replace(clean, r"^\s+|\s+$", "")
 
 
 def tokens(t: Column | str) -> Column:
