@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of an Arrow batch, so that a worker holds a few megabytes of text at a time.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of a session that has left their size at the default."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns an operator reads, so that others never reach its shuffles or clash with its own."""
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
@@ -47,6 +60,18 @@ class Memo(dict):
         return value
 
 
+def kept(df: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]]) -> DataFrame:
+    """The rows, with all their columns, whose text (null: empty) ``keep`` wants. Batches are filtered as they pass; no shuffle."""
+    small_batches(df.sparkSession)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep([t or "" for t in b.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

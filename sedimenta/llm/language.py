@@ -6,12 +6,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import documents, held_out
+from sedimenta.llm.common import documents, held_out, kept
 
 #: Hash buckets of the character n-grams, and the lengths of these.
 BUCKETS, NGRAMS = 8192, (1, 2, 3)
@@ -151,19 +150,6 @@ def fit(df: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: s
     return Model(languages, words, weights, trust / trust.sum() * len(trust))
 
 
-def predicted(text: Column, model: Model, spark: SparkSession) -> Column:
-    """The struct (lang_pred, score, ambiguous) of a text column, null texts as empty ones."""
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x bits numbers
-
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for texts in batches:
-            yield pd.DataFrame([m.decode(counts(t)) for t in texts], columns=["lang_pred", "score", "ambiguous"])
-
-    return run(F.coalesce(text, F.lit("")))
-
-
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``ambiguous`` of every whole text. No shuffle.
 
@@ -171,10 +157,24 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     ambiguous. Extra columns are never read; an empty table gives no rows.
     """
     d = documents(df, id_col, text_col)
-    return d.select("doc_id", predicted(F.col("text"), model, df.sparkSession).alias("p")).select("doc_id", "p.*")
+    shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS x bits numbers
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            got = [m.decode(counts(t)) for t in b.column(1).to_pylist()]
+            columns = [pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_known(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose language is told: neither ``und`` nor ambiguous."""
-    p = predicted(F.col(text_col), model, df.sparkSession)
-    return df.withColumn("_told", p["lang_pred"].isNotNull() & (p["lang_pred"] != UNKNOWN) & ~p["ambiguous"]).where("_told").drop("_told")
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def told(texts: list[str]) -> list[bool]:
+        got = [shared.value.decode(counts(t)) for t in texts]
+        return [lang != UNKNOWN and not ambiguous for lang, _, ambiguous in got]
+
+    return kept(df, text_col, told)

@@ -7,15 +7,16 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import Memo, by_hash, documents, held_out
+from sedimenta.llm.common import Memo, by_hash, documents, held_out, kept, small_batches
 from sedimenta.session import settle
 
 #: Labelled rows that are learned from at most: 80 % for lexicon and trees, 20 % for the calibration.
@@ -27,8 +28,7 @@ STEMS = (4, 5, 6)
 #: Words from an insult to a second person that count as near.
 NEAR = 5
 TREES, DEPTH = 30, 4
-#: Names of the columns that the models add, unlike any of a table.
-VECTOR, RAW, MARGIN, STEP = "_toxic_vector", "_toxic_raw", "_toxic_margin", "_toxic_step"
+VECTOR, MARGIN = "vector", "margin"
 
 # Words that insult, and second persons, of the languages that the corpus has.
 INSULTS = frozenset(
@@ -50,6 +50,10 @@ OBFUSCATED = re.compile(r"[^\W\d_][@$*!|0-9]+[^\W\d_]|\b(?:[^\W\d_][.\-_ ]){3,}[
 PLAIN = str.maketrans("@$01345!7|", "asoieasitl")
 
 
+def codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def units(text: str) -> set[str]:
     """What the lexicon may hold of a text: its words in lower case, and their beginnings (with a *)."""
     words = set(WORD.findall(text.lower()))
@@ -71,7 +75,7 @@ class Lexicon:
     other: int
 
     def __post_init__(self) -> None:
-        self.known = [Memo(lambda w, y=y: self._most(w, y), 200_000) for y in (0, 1, -1)]
+        self.known = [Memo(lambda w, y=y: self._most(w, y), 80_000) for y in (0, 1, -1)]
 
     def __reduce__(self) -> tuple:  # what is remembered stays where it is
         return Lexicon, (self.counts, self.toxic, self.other)
@@ -107,7 +111,7 @@ def features(text: str, lexicon: Lexicon, label: int = -1) -> list[float]:
     if bad:
         near = sum(not SECOND.isdisjoint(words[max(0, i - NEAR) : i + NEAR + 1]) for i in bad)
     size = len(text)
-    capitals = sum(map(str.isupper, text)) if size < 4096 else size - sum(1 for a, b in zip(text, low, strict=False) if a == b) if len(low) == size else sum(map(str.isupper, text))
+    capitals = int(np.count_nonzero(codes(text) != codes(low))) if len(low) == size else sum(map(str.isupper, text))
     disguised = 0
     odd = [m.group() for m in OBFUSCATED.finditer(low)]
     if odd:
@@ -123,6 +127,7 @@ def features(text: str, lexicon: Lexicon, label: int = -1) -> list[float]:
 
 def dense(text: Column, lexicon: Lexicon, spark: SparkSession, label: Column | None = None) -> Column:
     """The array of FEATURES of a text column, null texts as empty ones; ``label`` for rows that the lexicon counted."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(lexicon)  # LEXICON entries at most
 
     @F.pandas_udf("array<double>")
@@ -134,13 +139,76 @@ def dense(text: Column, lexicon: Lexicon, spark: SparkSession, label: Column | N
     return run(F.coalesce(text, F.lit("")), F.lit(-1) if label is None else label)
 
 
+@dataclass
+class Tree:
+    """A regression tree in arrays: a feature of -1 marks a leaf; smaller or equal goes left."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def of(cls, lines: list[str]) -> Tree:
+        """Read one tree of a model's printed form."""
+        rows: list[list[float]] = []
+        at = 0
+
+        def node() -> int:
+            nonlocal at
+            i, line = len(rows), lines[at]
+            rows.append([-1, 0.0, 0, 0, 0.0])
+            at += 1
+            if m := re.match(r"If \(feature (\d+) <= (\S+)\)", line):
+                left = node()
+                at += 1  # the line of the other branch
+                rows[i] = [int(m[1]), float(m[2]), left, node(), 0.0]
+            else:
+                rows[i][4] = float(line.removeprefix("Predict: "))
+            return i
+
+        node()
+        f, t, left, right, v = zip(*rows, strict=True)
+        return cls(np.array(f, int), np.array(t), np.array(left, int), np.array(right, int), np.array(v))
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        at = np.zeros(len(x), int)
+        while (inner := self.feature[at] >= 0).any():
+            i = np.flatnonzero(inner)
+            n = at[i]
+            at[i] = np.where(x[i, self.feature[n]] <= self.threshold[n], self.left[n], self.right[n])
+        return self.value[at]
+
+
+def read_trees(printed: str) -> list[tuple[float, Tree]]:
+    """Weights and trees of a boosted model from its printed form."""
+    parts = re.split(r"Tree \d+ \(weight (\S+)\):", printed)
+    return [(float(w), Tree.of([x.strip() for x in body.strip().split("\n")])) for w, body in zip(parts[1::2], parts[2::2], strict=True)]
+
+
 @dataclass
 class Model:
+    """The lexicon, the boosted trees with their weights, and the steps of the calibration; without trees, one score for all."""
+
     lexicon: Lexicon
-    trees: GBTClassificationModel | None
-    calibration: IsotonicRegressionModel | None
+    trees: list[tuple[float, Tree]]
+    boundaries: np.ndarray
+    steps: np.ndarray
     base: float
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return sum((w * t.predict(x) for w, t in self.trees), np.zeros(len(x)))
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        if not self.trees:
+            return np.full(len(texts), self.base)
+        if not texts:
+            return np.zeros(0)
+        m = self.margins(np.array([features(t, self.lexicon) for t in texts]))
+        # A step of the calibration joins many margins; a hundredth of the raw odds keeps them in order.
+        return np.clip(0.99 * np.interp(m, self.boundaries, self.steps) + 0.01 / (1 + np.exp(-2 * m)), 0.0, 1.0)
+
 
 def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from at most ``sample`` labelled rows, chosen by a hash of their id; held-out rows never count.
@@ -179,23 +247,12 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     fitting, holding = rows.where("part < 4"), rows.where("part = 4")
     both = lambda x: {r["label"] for r in x.select("label").distinct().collect()} == {0.0, 1.0}
     if not both(fitting):
-        return Model(lexicon, None, None, base)
-    learner = GBTClassifier(featuresCol=VECTOR, predictionCol="_toxic_class", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, minInstancesPerNode=5)
-    trees = learner.setRawPredictionCol(RAW).setProbabilityCol("_toxic_odds").fit(fitting)
-    margins = trees.transform(holding if both(holding) else fitting).select(vector_to_array(RAW)[1].alias(MARGIN), "label")
-    return Model(lexicon, trees, IsotonicRegression(featuresCol=MARGIN, predictionCol=STEP).fit(margins), base)
-
-
-def with_score(df: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``df`` with the score of its text column (0 to 1) as column ``name``. No shuffle."""
-    if model.trees is None or model.calibration is None:
-        return df.withColumn(name, F.lit(float(model.base)))
-    own = df.columns
-    raw = model.trees.transform(df.withColumn(VECTOR, array_to_vector(dense(F.col(text_col), model.lexicon, df.sparkSession))))
-    # A step of the calibration joins many margins; a hundredth of the raw odds keeps them in order.
-    out = model.calibration.transform(raw.select(*own, vector_to_array(RAW)[1].alias(MARGIN)))
-    s = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col(STEP) + 0.01 / (1 + F.exp(-2 * F.col(MARGIN)))))
-    return out.withColumn("_toxic_score", s).select(*[c for c in own if c != name], F.col("_toxic_score").alias(name))
+        return Model(lexicon, [], np.zeros(1), np.zeros(1), base)
+    learner = GBTClassifier(featuresCol=VECTOR, maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, minInstancesPerNode=5)
+    boosted = learner.fit(fitting)
+    margins = boosted.transform(holding if both(holding) else fitting).select(vector_to_array("rawPrediction")[1].alias(MARGIN), "label")
+    steps = IsotonicRegression(featuresCol=MARGIN).fit(margins)
+    return Model(lexicon, read_trees(boosted.toDebugString), steps.boundaries.toArray(), steps.predictions.toArray(), base)
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,10 +261,18 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null text counts as empty and gets an empty text's score. Only the text
     is an input. An empty table gives no rows.
     """
-    scored = with_score(documents(df, id_col, text_col), model)
-    return scored.select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    d = documents(df, id_col, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # LEXICON entries and TREES small trees
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = shared.value.scores(b.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
 def keep_civil(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that score under 0.5."""
-    return with_score(df, model, text_col, "_civil").where("_civil < 0.5").drop("_civil")
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return kept(df, text_col, lambda texts: (shared.value.scores(texts) < 0.5).tolist())

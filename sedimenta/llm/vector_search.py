@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import by_hash
+from sedimenta.llm.common import by_hash, partitions, small_batches
 from sedimenta.session import settle
 
 #: Rows that centroids and codebooks are fitted on at most; every row is indexed.
@@ -23,8 +23,10 @@ PROBE = 0.75
 PART, CODES = 4, 256
 #: Candidates of a query in a group that are ranked exactly (and all that tie with the last).
 SHORTLIST = 600
-#: Rows of a group, and queries of a block: what one task holds at a time.
+#: Most rows of a group, and queries of a block: what one task holds at a time.
 GROUP, BLOCK = 8192, 4096
+#: Fewest rows of a group; between the two, there are two groups for each shuffle partition.
+LEAST_GROUP = 1024
 
 
 @dataclass
@@ -90,7 +92,7 @@ def search(
     no part, beside those that ``vectors`` leaves out. Rows of an id that
     repeats are candidates each. An empty table gives no rows.
 
-    Rows are grouped by list; a list of more than GROUP rows is split by a hash
+    Rows are grouped by list; a list of more rows than a group holds is split by a hash
     of the id, small lists share a group. A task sees one group and one block
     of the queries that probe it, sums the codes' entries of each query's
     distance table, ranks the best exactly and hands on ``k`` rows a query.
@@ -98,6 +100,7 @@ def search(
     ``k`` rows, so that small tables are searched whole.
     """
     spark = df.sparkSession
+    small_batches(spark)
     valid = vectors(df, id_col, vec_col)
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"query_id {kind}, rank int, vec_id {kind}, score double"
@@ -119,15 +122,16 @@ def search(
 
     coded = settle(valid.mapInArrow(encode, f"vec_id {kind}, v array<double>, list int, code binary"), "ivf")
     counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # one row a list
-    place, group, room = {}, 0, GROUP  # list: its first group and its number of groups
+    size = max(min(LEAST_GROUP, GROUP), min(GROUP, n // (2 * partitions(spark))))
+    place, group, room = {}, 0, size  # list: its first group and its number of groups
     for at, c in sorted(counts.items()):
-        if c > GROUP:
-            parts = -(-c // GROUP)
-            group += room < GROUP
-            place[at], group, room = (group, parts), group + parts, GROUP
+        if c > size:
+            parts = -(-c // size)
+            group += room < size
+            place[at], group, room = (group, parts), group + parts, size
         else:
             if c > room:
-                group, room = group + 1, GROUP
+                group, room = group + 1, size
             place[at], room = (group, 1), room - c
     lists = np.array(sorted(counts))
     rows = np.array([counts[i] for i in lists])
