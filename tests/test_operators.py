@@ -281,3 +281,32 @@ def test_stand_in_models(spark):
     assert one(spark, P.mask_names(F.col("t")), t="ask John Smith today") == "ask [PII:PERSON_NAME] today"
     assert one(spark, P.mask_names(F.col("t")), t="the Roth Ira plan") == "the Roth Ira plan"
     assert one(spark, P.passes(F.col("t")), t='```json{"score": 0.8}```') is True and one(spark, P.passes(F.col("t")), t="garbage") is False
+
+
+def test_size_batches(spark):
+    from sedimenta.operators.repair import size_batches
+
+    rows = [(f"p{i:03d}", 10 + (i * 37) % 90) for i in range(200)] + [("big", 5000), ("none", None)]
+    got = size_batches(spark.createDataFrame(rows, "path string, size long"), 300).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.batch, []).append(r.size or 0)
+    assert len(got) == len(rows) and all(sum(v) <= 300 or len(v) == 1 for v in by.values())
+
+
+def test_large_texts_keep_their_characters():
+    from sedimenta.operators.repair import pieces
+
+    text = "\n\n".join(f"Paragraph {i} has words. And more! " + "x" * (i * 40) for i in range(60))
+    cut = pieces(text, 3000, 1000)
+    assert all(len(p) <= 3000 for p in cut) and "".join("".join(cut).split()) == "".join(text.split())
+    assert pieces("short", 3000) == ["short"] and pieces("", 10) == [""]
+
+
+def test_first_links_fall_back_to_the_least_position(spark):
+    from sedimenta.operators.repair import missing_first
+
+    c = spark.createDataFrame([("f", 2, "y"), ("f", 3, "z"), ("g", None, "n"), ("g", 4, "m"), ("h", 1, "w")], "file_name string, position long, id string")
+    d = spark.createDataFrame([("f",), ("g",), ("h",), ("lone",)], "file_name string")
+    links = spark.createDataFrame([("h", "w")], "src string, dst string")
+    assert {(r.src, r.dst) for r in missing_first(d, c, links).collect()} == {("f", "y"), ("g", "n")}
