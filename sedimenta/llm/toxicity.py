@@ -214,14 +214,16 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     """Learn from at most ``sample`` labelled rows, chosen by a hash of their id; held-out rows never count.
 
     The labels are drawn first, from their own narrow table, and only the texts
-    of those rows move; of equal texts one counts. Rows without a label teach nothing; of an id that has
+    of those rows move; of equal texts one
+    counts, with the largest label. Rows without a label teach nothing; of an id that has
     several labels the largest counts. Without both labels there is no model:
     every score is the share of 1 among the labels (0 without any).
     """
     lab = labels.where(~held_out(id_col)).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label_col).cast("int").alias("label")).where("label is not null and doc_id is not null")
-    lab = by_hash(lab, sample, "doc_id").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(5)))
+    lab = by_hash(lab, sample, "doc_id")
     docs = documents(df, id_col, text_col)
-    drawn = settle(docs.join(F.broadcast(lab), "doc_id").dropDuplicates(["text"]), "toxic")  # at most ``sample`` rows of 16 bytes are broadcast
+    drawn = docs.join(F.broadcast(lab), "doc_id").groupBy("text").agg(F.max("label").alias("label"))  # at most ``sample`` rows of 16 bytes are broadcast
+    drawn = settle(drawn.withColumn("part", F.pmod(F.xxhash64("text", F.lit("part")), F.lit(5))), "toxic")
     sizes = {(r["part"], r["label"]): r["n"] for r in drawn.groupBy((F.col("part") < 4).alias("part"), "label").agg(F.count("*").alias("n")).collect()}
     ones, zeros = (sum(n for (_, y), n in sizes.items() if (y == 1) == one) for one in (True, False))
     base = ones / (ones + zeros) if ones + zeros else 0.0
