@@ -22,7 +22,7 @@ LENGTH = 2048
 #: Pieces that one group of the packer holds (24 bytes each); a group wastes one sequence at most beside the method's own waste.
 GROUP = 100_000
 #: Words in one of the two generations that a worker remembers the ids of (about 200 bytes each).
-WORDS = 600_000
+WORDS = 500_000
 #: str.split() also splits at these four, which are not white space to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
