@@ -310,3 +310,10 @@ def test_first_links_fall_back_to_the_least_position(spark):
     d = spark.createDataFrame([("f",), ("g",), ("h",), ("lone",)], "file_name string")
     links = spark.createDataFrame([("h", "w")], "src string, dst string")
     assert {(r.src, r.dst) for r in missing_first(d, c, links).collect()} == {("f", "y"), ("g", "n")}
+
+
+def test_company_groups():
+    from sedimenta.operators.scope import group_companies
+
+    assert group_companies(["WMT", "walmart", "AAPL", "apple", "tesla", "BRK.B", "F", "ford", "LONGNAME", "x"]) == [["WMT", "walmart"], ["AAPL", "apple"], ["tesla"], ["BRK.B"], ["F", "ford"], ["LONGNAME"], ["x"]]
+    assert group_companies([]) == []
