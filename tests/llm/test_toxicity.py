@@ -28,6 +28,20 @@ def test_features_by_hand():
     assert tx.features("", tx.Lexicon({}, 1, 1)) == [0.0] * len(tx.FEATURES) == tx.features("123 !!", tx.Lexicon({}, 1, 1))
 
 
+def test_trees_are_the_trained_ones(spark):
+    import numpy as np
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = np.random.default_rng(3)
+    rows = [(v.tolist(), float(v[0] * v[1] > 0.2 or v[2] > 0.9)) for v in rng.random((400, 4))]
+    d = spark.createDataFrame(rows, "a array<double>, label double").withColumn("features", array_to_vector("a"))
+    m = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(d)
+    got = m.transform(d).select("a", vector_to_array("rawPrediction")[1].alias("m")).collect()
+    ours = tx.Model(tx.Lexicon({}, 1, 1), tx.read_trees(m.toDebugString), np.zeros(1), np.zeros(1), 0.0).margins(np.array([r.a for r in got]))
+    assert np.allclose(ours, [r.m for r in got])
+
+
 def test_a_counted_document_is_taken_off():
     lex = tx.Lexicon({"bad": (tx.LEAST, 0), "worse": (tx.LEAST + 1, 0)}, 50, 500)
     assert lex.weights(["bad", "worse", "good"]) == [lex.weights(["bad"])[0], lex.weights(["worse"])[0], 0.0] and lex.weights(["bad"])[0] > 0
