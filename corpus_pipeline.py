@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import language, packing, secret_scan, simhash, toxicity
+from sedimenta.llm import language, near_copies, packing, secret_scan, toxicity
 from sedimenta.session import settle, table
 
 
@@ -21,8 +21,8 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each component of near-copies (five-word shingles, similarity 0.8), the one with the smallest id."""
+    return near_copies.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
