@@ -24,15 +24,34 @@ def context_keys(turns: DataFrame, window: int = 3, most: int = 10) -> DataFrame
     return turns.select("thread", "seq", F.md5(F.trim(text)).alias("key"))
 
 
+def quality_blocks(marks: DataFrame) -> DataFrame:
+    """Each key's marks cut into blocks of ranges of ``seq``: ``key``, ``at`` (first mark), ``n``, ``low``, ``add``, ``verified``, ``last``.
+
+    A block maps a score s to max(low, s + add); a null ``low`` is no bound. Such
+    maps compose, so no task holds more of a key than a range of all marks.
+    """
+    n = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = marks.select("key", "seq", "positive").repartitionByRange(n, "key", "seq", "positive").withColumn("block", F.spark_partition_id())
+    step = F.when(F.col("positive"), 1).otherwise(-2).cast("long")
+    so_far = F.sum(step).over(Window.partitionBy("key", "block").orderBy("seq", "positive").rowsBetween(Window.unboundedPreceding, 0))
+    run = dealt.withColumn("step", step).withColumn("so_far", so_far)
+    mark = F.struct("seq", "positive")
+    g = run.groupBy("key", "block").agg(
+        F.min(mark).alias("at"), F.count("*").alias("n"), F.sum("step").alias("add"), F.min(F.when(F.col("step") < 0, F.col("so_far"))).alias("least"),
+        F.max("positive").alias("verified"), F.max(mark).alias("last"),
+    )
+    return g.select("key", "at", "n", (F.col("add") - 5 - F.col("least")).alias("low"), "add", "verified", "last")
+
+
 def quality(marks: DataFrame) -> DataFrame:
     """Fold each key's marks (``key``, ``seq``, ``positive``) in order: +1 and verified, or -2 and not below -5.
 
     Returns score, verified, fast and high (verified, or a score over 2, or fast).
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "positive"))), lambda s: s["positive"])
-    g = marks.groupBy("key").agg(ordered.alias("m"))
-    score = F.aggregate("m", F.lit(0), lambda s, p: F.when(p, s + 1).otherwise(F.greatest(F.lit(-5), s - 2)))
-    g = g.select("key", score.cast("long").alias("score"), F.exists("m", lambda p: p).alias("verified"), F.element_at("m", -1).alias("fast"))
+    blocks = F.array_sort(F.collect_list(F.struct("at", "low", "add")))
+    g = quality_blocks(marks).groupBy("key").agg(blocks.alias("m"), F.max("verified").alias("verified"), F.max("last")["positive"].alias("fast"))
+    score = F.aggregate("m", F.lit(0).cast("long"), lambda s, b: F.greatest(b["low"], s + b["add"]))
+    g = g.select("key", score.alias("score"), "verified", "fast")
     return g.withColumn("high", F.col("verified") | (F.col("score") > 2) | F.col("fast"))
 
 
