@@ -1,7 +1,9 @@
 import html
+import math
 import re
 from itertools import product
 from random import Random
+from time import perf_counter
 
 import pytest
 
@@ -58,6 +60,86 @@ def test_markup_details():
     assert hx.main_text("<article><p>cut off in the mid") == "cut off in the mid"
 
 
+LONG = " ".join(f"word{i} and the other" for i in range(37)) + "."
+ARTICLE = "<html><body><{0}><h1>A title of it</h1><p>This is the first real paragraph of the story, long enough to matter.</p>{1}<p>And the last one, with some more words in it.</p></{2}><footer>All rights.</footer></body></html>"
+TITLED = "A title of it\nThis is the first real paragraph of the story, long enough to matter.\n{}And the last one, with some more words in it."
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div class='post-content'", "article class=\"story body\"", "div id=content"])
+@pytest.mark.parametrize(
+    ("part", "kept"),
+    [
+        ("<section class='related-work'><h2>Related work</h2><p>Others have done this before us, in many ways.</p></section>", "Related work\nOthers have done this before us, in many ways.\n"),
+        ("<header class='post-header'><h1>The title of the post</h1></header>", "The title of the post\n"), ("<dir><li>One thing</li><li>Two things</li></dir>", "One thing\nTwo things\n"),
+        ("<p>We have <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here.</p>", "We have x=2 here.\n"), ("<p>Drawn <svg><title>no</title><text>not text</text></svg> by hand.</p>", "Drawn by hand.\n"),
+        (f"<section id='comments'><p>{LONG}</p></section>", ""), (f"<div class=comment><p>{LONG}</p></div>", ""), (f"<aside><p>{LONG}</p></aside>", ""), (f"<form><p>{LONG}</p></form>", ""),
+    ],
+)
+def test_parts_of_an_article(around, part, kept):
+    assert hx.main_text(ARTICLE.format(around, part, around.split()[0])) == TITLED.format(kept)
+
+
+@pytest.mark.parametrize(
+    "page", ['<p>x y z w.</p><a ' + '""' * 100_000, '<p>x</p>' + '<a b=">"  ' * 50_000, '<p>x</p>' + '<a b="' * 50_000, "<div>" * 50_000 + "</p>" * 50_000 + "x", "<" * 100_000, "<p>x" + "<title>" * 50_000, "<p a=" + "= \n" * 50_000, "<!--" * 50_000]
+)
+def test_malformed_pages_take_little_time(page):
+    began = perf_counter()
+    hx.main_text(page)
+    assert perf_counter() - began < 3
+
+
+def test_many_blocks_take_little_time():
+    page = "<article>" + "".join(f"<div class=ad>Buy {i}</div><p>Some words of the text are here {i}.</p>" for i in range(50_000)) + "</article>"
+    began = perf_counter()
+    found = hx.blocks(page)
+    sides = hx.trained().keep(found)
+    assert len(found) == 100_000 and sides == [i % 2 == 1 for i in range(100_000)] and perf_counter() - began < 15
+    weak = [(-1) ** i * 0.1 + 0.05 for i in range(100_000)]
+    began = perf_counter()
+    assert len(set(hx.minimum_cut(weak, [(i, i + 1, 0.3) for i in range(99_999)]))) == 1 and perf_counter() - began < 15
+
+
+def test_nothing_is_lost_at_a_stray_bracket():
+    assert hx.main_text("<article><p>One two three four five.</p>< 5 apples are enough, as agreed.") == "One two three four five.\n< 5 apples are enough, as agreed."
+    assert hx.main_text("<article><p>It is 3 < 4 and 5 > 4, we all know.</p><p>İ is a letter.<script>x</script> So is ſ.</p>") == "It is 3 < 4 and 5 > 4, we all know.\nİ is a letter. So is ſ."
+    assert hx.main_text("<article><p>Said <a href='x>so</a> and so, he went on.</p><p>The end of it.</p></article>").endswith("The end of it.")
+    assert hx.main_text("<article><select><option>a<option>b<p>The text goes on after it.</p></article>") == "The text goes on after it."
+
+
+def test_neighbours_overrule_the_word_list():
+    """A short block that its class speaks against stays between paragraphs of one parent, and goes without the smoothness."""
+    part = "<p>A paragraph of the story, with words in it.</p>"
+    page = f"<article>{part * 2}<div class=alert>Note this.</div>{part * 2}</article>"
+    model = hx.trained()
+    found = hx.blocks(page)
+    odd = [b.text for b in found].index("Note this.")
+    against = hx.Labeller({**model.weights, "in .alert": model.weights.get("in .alert", 0.0) - model.log_odds(found[odd]) - 1.0}, model.adjacent, model.sibling)
+    assert against.log_odds(found[odd]) == pytest.approx(-1.0) and against.keep(found)[odd]
+    assert not hx.Labeller(against.weights, 0.0, 0.0).keep(found)[odd]
+
+
+def test_classifier_on_pages_it_has_not_seen():
+    """Blocks of other made-up pages, of the generator's kind; the weights minimise the penalised loss."""
+    model = hx.trained()
+    wrong = total = 0
+    for page, labels in hx.labelled_pages(150, seed=99):
+        found = hx.blocks(page)
+        for b, k in zip(found, model.keep(found), strict=True):
+            if b.text in labels:
+                wrong, total = wrong + (k != labels[b.text]), total + 1
+    assert total > 2000 and wrong / total < 0.03
+    small = hx.labelled_pages(20, seed=3)
+    rows = [(hx.traits(b), y[b.text]) for p, y in small for b in hx.blocks(p) if b.text in y]
+    fitted = hx.fit(small).weights
+
+    def loss(w):
+        score = [sum(w.get(k, 0.0) * v for k, v in x.items()) for x, _ in rows]
+        return sum(math.log1p(math.exp(-s if y else s)) for s, (_, y) in zip(score, rows, strict=True)) + 0.15 * sum(x * x for x in w.values())
+
+    best = loss(fitted)
+    assert all(loss({**fitted, k: fitted[k] + d}) >= best - 1e-6 for k in fitted for d in (-0.05, 0.05))
+
+
 def test_odd_rows(spark):
     deep = "<div>" * 3000 + "<p>Deep text that still is found by the parser.</p>"
     rows = [(1, None, None, "x"), (2, "u", "", "x"), (None, "u", "<article><p>One.</p></article>", "x"), (4, "u", deep, "x"), (4, "u", deep, "x"), (5, "u", "<p>" + "word " * 200_000, "x")]
