@@ -32,10 +32,19 @@ def held_out(id_col: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def by_hash(df: DataFrame, bound: int, *cols: str) -> DataFrame:
-    """At most ``bound`` rows, chosen by a hash of ``cols``: the same ones at every run and partitioning."""
+def by_hash(df: DataFrame, bound: int, *cols: str, rows: int | None = None) -> DataFrame:
+    """At most ``bound`` rows, chosen by a hash of ``cols``: the same ones at every run and partitioning.
+
+    ``rows`` is the number of rows, counted if not given. A table over the
+    bound is first cut to the share of hashes that holds a tenth more than the
+    bound, so that no task sorts or hands on more than its part of these.
+    """
+    rows = df.count() if rows is None else rows
+    if rows <= bound:
+        return df
     order = F.xxhash64(*[F.col(c) for c in cols], F.lit("sample"))
-    return df.orderBy(order, *cols).limit(bound)
+    few = df.where(order < min((1 << 63) - 1, int((1.1 * bound + 100) / rows * (1 << 64)) - (1 << 63)))
+    return few.orderBy(order, *cols).limit(bound)
 
 
 class Memo(dict):

@@ -1,8 +1,12 @@
 from itertools import combinations
+from random import Random
+from time import perf_counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from sedimenta.llm import url_filter as uf
+from sedimenta.llm.common import by_hash
 from sedimenta.llm.queries import PATH_RULES
 
 
@@ -85,3 +89,40 @@ def test_empty_and_unlabelled(spark):
     assert uf.mine(spark.createDataFrame([], "host string, path string, label string")).sets == []
     clash = spark.createDataFrame([(None, None, "x", 1), (2, "http://a.org/", "y", 2), (2, "http://a.org/", "y", 2)], "page_id long, url string, host string, hit int")
     assert sorted((r.page_id or 0, r.verdict) for r in uf.judge(clash, PATH_RULES).collect()) == [(0, "allow"), (2, "allow"), (2, "allow")]
+
+
+def test_two_tokens_decide_on_urls_not_seen(spark):
+    """Neither token is bad alone: only hosts with both are. Labels are a table; the rules are judged on other URLs."""
+
+    def url(i, at):
+        rng = Random(f"{at}{i}")
+        free, prize, deep = rng.random() < 0.4, rng.random() < 0.4, rng.choice(("news", "shop", "read"))
+        host = ".".join(x for x in (free and "free", prize and "prize", f"h{rng.randint(0, 300)}", "example", "net") if x)
+        return f"http://{host}/{deep}/{rng.randint(0, 99)}", "block" if free and prize else "allow"
+
+    taught = spark.createDataFrame([url(i, "a") for i in range(3000)], "url string, label string")
+    asked = [(i, *url(i, "b")) for i in range(1000)]
+    df = spark.createDataFrame(asked, "page_id long, url string, truth string")
+    got = {r.page_id: r for r in uf.judge(df, [], labels=taught).collect()}
+    assert all(got[i].verdict == truth for i, _, truth in asked)
+    assert {r.mined for r in got.values()} == {None, "h:free h:prize"}
+
+
+def test_long_and_repeated_urls_are_mined_in_bounded_time(spark):
+    long_ = "http://bad-bets.net/" + "/".join(f"part{i}x" for i in range(200))
+    rng = Random(1)
+    mixed = [("http://casino.net/" + "/".join(f"s{rng.randint(0, 25)}x" for _ in range(40))) for _ in range(300)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([long_] * 1000 + mixed + ["http://good.net/a/b"] * 500)], "page_id long, url string")
+    began = perf_counter()
+    got = {r.page_id: r.verdict for r in uf.judge(df, PATH_RULES).collect()}
+    assert perf_counter() - began < 60
+    assert all(got[i] == ("block" if i < 1300 else "allow") for i in got)
+    two = spark.createDataFrame([(0, long_), (1, long_)], "page_id long, url string")
+    assert {r.verdict for r in uf.judge(two, PATH_RULES).collect()} == {"block"}
+
+
+def test_sample_is_bounded_and_follows_the_hash(spark):
+    df = spark.range(5000).repartition(7).withColumn("x", F.col("id") % 3)
+    few = {r.id for r in by_hash(df, 300, "id", "x").collect()}
+    order = sorted(((r.h, r.id) for r in df.select("id", F.xxhash64("id", "x", F.lit("sample")).alias("h")).collect()))
+    assert few == {i for _, i in order[:300]} and by_hash(df, 5000, "id").count() == 5000
