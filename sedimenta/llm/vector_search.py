@@ -3,30 +3,28 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import by_hash, partitions, small_batches
+from sedimenta.llm.common import by_hash, partitions, small_batches, wide
 from sedimenta.session import settle
 
 #: Rows that centroids and codebooks are fitted on at most; every row is indexed.
 SAMPLE = 20_000
-#: Share of the lists that a query probes. Vectors without clusters, such as random ones, need about this much for a recall over 0.9.
-PROBE = 0.75
+#: Neighbours that a query may miss in the lists it does not probe, as a share of ``k``, by the lists' own statistics.
+MISSED = 0.05
 #: Components in one part of the product quantiser, and codes of a part.
 PART, CODES = 4, 256
-#: Candidates of a query in a group that are ranked exactly (and all that tie with the last).
-SHORTLIST = 600
-#: Most rows of a group, and queries of a block: what one task holds at a time.
-GROUP, BLOCK = 8192, 4096
-#: Fewest rows of a group; between the two, there are two groups for each shuffle partition.
-LEAST_GROUP = 1024
+#: Rows of a group: what one task holds at a time.
+GROUP = 8192
+#: Queries that are scored at once.
+BLOCK = 128
 
 
 @dataclass
@@ -73,16 +71,81 @@ def vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -
 
 
 def fit(valid: DataFrame, n: int, dim: int, sample: int = SAMPLE) -> Index:
-    """Centroids and codebooks from at most ``sample`` rows, chosen by a hash of their id."""
-    drawn = by_hash(valid, sample, "vec_id").toPandas()
+    """Centroids and codebooks from at most ``sample`` of the ``n`` rows, chosen by a hash of their id; in single precision to the driver."""
+    drawn = by_hash(valid, sample, "vec_id", rows=n).select(F.col("v").cast("array<float>").alias("v")).toPandas()
     x = np.stack(drawn["v"].to_list()).astype(np.float64)
+    x = x[np.isfinite(x).all(axis=1)]  # beyond single precision: indexed, but nothing to learn from
+    if not len(x):
+        x = np.zeros((1, dim))
     centroids = kmeans(x, max(1, min(4096, int(math.sqrt(n) / 2), len(x) // 8)))
     r = x - centroids[nearest(x, centroids)]
     return Index(centroids, [kmeans(r[:, i : i + PART], CODES) for i in range(0, dim, PART)], dim)
 
 
+def tail(z: np.ndarray) -> np.ndarray:
+    """Chance that a standard normal variable is over ``z`` (to 1e-7; Abramowitz and Stegun 26.2.17)."""
+    t = 1 / (1 + 0.2316419 * np.abs(z))
+    p = np.exp(-0.5 * z * z) / math.sqrt(2 * math.pi) * t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return np.where(z >= 0, p, 1 - p)
+
+
+@dataclass
+class Lists:
+    """Of each list that has rows: its number, rows, centroid and the spread of its residuals along a direction."""
+
+    number: np.ndarray
+    rows: np.ndarray
+    mean: np.ndarray
+    spread: np.ndarray
+
+    def probes(self, q: np.ndarray, k: int, missed: float) -> np.ndarray:
+        """The lists that a query needs, best first, so that those left out hold ``missed`` * ``k`` of its ``k`` nearest by expectation.
+
+        A list's scores are taken as normal: its centre's score, and the spread
+        of its residuals times the query's length. That gives the score that
+        ``k`` rows reach, and how many of these each list holds. Clustered
+        vectors need few lists and random ones most of them. Lists with a spread
+        too small to matter count with their centre.
+        """
+        if self.rows.sum() <= 10 * k:
+            return self.number[np.argsort(-(self.mean @ q), kind="stable")]
+        centre, wide = self.mean @ q, np.maximum(self.spread * math.sqrt(q @ q), 1e-12)
+        low, high = float((centre - 9 * wide).min()), float((centre + 9 * wide).max())
+        for _ in range(40):
+            mid = (low + high) / 2
+            if (self.rows * tail((mid - centre) / wide)).sum() >= k:
+                low = mid
+            else:
+                high = mid
+        hold = self.rows * tail((low - centre) / wide)
+        order = np.lexsort((-centre, -hold))
+        rest = hold.sum() - np.cumsum(hold[order])
+        upto = int(np.argmax(rest <= missed * k)) + 1 if (rest <= missed * k).any() else len(order)
+        upto = max(upto, int(np.searchsorted(np.cumsum(self.rows[order]), 2 * k + 1)) + 1)
+        return self.number[order[:upto]]
+
+
+def candidates(approx: np.ndarray, error: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and exact scores of all rows that may be among the ``k`` best.
+
+    ``approx`` is -inf for rows that do not count; ``error`` bounds how far an
+    exact score may be from it. The rows that look best are scored first; then
+    every row whose bound reaches the ``k``-th score found so far, so that
+    none of the ``k`` best is lost to the quantiser.
+    """
+    able = np.flatnonzero(approx > -np.inf)
+    first = able if len(able) <= 4 * k else able[np.argpartition(-approx[able], 4 * k)[: 4 * k]]
+    score = exact(first)
+    if len(first) == len(able):
+        return first, score
+    least = np.partition(score, -k)[-k]
+    more = np.flatnonzero(approx + error >= least - 1e-9 * (1 + abs(least)))
+    more = np.setdiff1d(more, first, assume_unique=True)
+    return np.concatenate([first, more]), np.concatenate([score, exact(more)])
+
+
 def search(
-    df: DataFrame, queries: Column, k: int = 20, probe: float = PROBE, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE
+    df: DataFrame, queries: Column, k: int = 20, missed: float = MISSED, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE
 ) -> DataFrame:
     """The ``k`` nearest found of each query: ``query_id``, ``rank``, ``vec_id``, ``score``.
 
@@ -93,11 +156,12 @@ def search(
     repeats are candidates each. An empty table gives no rows.
 
     Rows are grouped by list; a list of more rows than a group holds is split by a hash
-    of the id, small lists share a group. A task sees one group and one block
-    of the queries that probe it, sums the codes' entries of each query's
-    distance table, ranks the best exactly and hands on ``k`` rows a query.
-    Queries probe ``probe`` of the lists, and more until these hold ten times
-    ``k`` rows, so that small tables are searched whole.
+    of the row's place, small lists share a group. A query is sent to the groups of the
+    lists it probes (``Lists.probes``) and to no other, and no row is copied: a
+    task holds one group, the queries pass by. In what is probed the result
+    is exact: every row whose approximate score and quantiser error can
+    reach the best ``k`` is scored by its own vector. A task hands on ``k``
+    rows a query and group.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -115,16 +179,21 @@ def search(
         ix = index.value
         for b in batches:
             if b.num_rows:
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = flat(b.column(1), dim)
                 own = ix.assign(x)
-                codes = pa.array([c.tobytes() for c in ix.encode(x, own)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), codes], ["vec_id", "v", "list", "code"])
+                code = ix.encode(x, own)
+                made = ix.centroids[own] + np.concatenate([book[code[:, i]] for i, book in enumerate(ix.books)], axis=1)
+                error = np.sqrt(((x - made) ** 2).sum(axis=1)) * (1 + 1e-9)
+                away = ((x - ix.centroids[own]) ** 2).sum(axis=1)
+                codes = pa.array([c.tobytes() for c in code], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), codes, pa.array(error), pa.array(away)], ["vec_id", "v", "list", "code", "error", "away"])
 
-    coded = settle(valid.mapInArrow(encode, f"vec_id {kind}, v array<double>, list int, code binary"), "ivf")
-    counts = {r["list"]: r["count"] for r in coded.groupBy("list").count().collect()}  # one row a list
-    size = max(min(LEAST_GROUP, GROUP), min(GROUP, n // (2 * partitions(spark))))
+    coded = settle(valid.mapInArrow(encode, f"vec_id {kind}, v array<double>, list int, code binary, error double, away double"), "ivf")
+    stats = sorted(coded.groupBy("list").agg(F.count("*").alias("n"), F.avg("away").alias("away")).collect(), key=lambda r: r["list"])  # one row a list
+    size = max(1, min(GROUP, n // partitions(spark)))
     place, group, room = {}, 0, size  # list: its first group and its number of groups
-    for at, c in sorted(counts.items()):
+    for r in stats:
+        at, c = r["list"], r["n"]
         if c > size:
             parts = -(-c // size)
             group += room < size
@@ -133,58 +202,97 @@ def search(
             if c > room:
                 group, room = group + 1, size
             place[at], room = (group, 1), room - c
-    lists = np.array(sorted(counts))
-    rows = np.array([counts[i] for i in lists])
-    least = max(1, math.ceil(probe * len(lists)))
+    number = np.array([r["list"] for r in stats])
+    table = spark.sparkContext.broadcast(Lists(number, np.array([r["n"] for r in stats]), index.value.centroids[number], np.sqrt(np.array([r["away"] for r in stats]) / dim)))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
         for b in batches:
-            ids, vs = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out: list[tuple] = []
-            for q, v in zip(ids, vs, strict=True):
-                order = np.argsort(-(ix.centroids[lists] @ np.array(v)), kind="stable")
-                upto = max(least, int(np.searchsorted(np.cumsum(rows[order]), 10 * k)) + 1)
-                chosen = lists[order[:upto]].tolist()
-                for g in sorted({first + s for i in chosen for first, parts in [place[i]] for s in range(parts)}):
-                    out.append((q, v, chosen, g))
-            if out:
-                q, v, c, g = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(q, b.schema.field(0).type), pa.array(v, pa.list_(pa.float64())), pa.array(c, pa.list_(pa.int32())), pa.array(g, pa.int32())], ["query_id", "q", "lists", "group"])
-
-    asked = coded.where(queries).select("vec_id", "v")
-    blocks = max(1, -(-asked.count() // BLOCK))
-    asked = asked.mapInArrow(probes, f"query_id {kind}, q array<double>, lists array<int>, group int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+            x = flat(b.column(1), dim)
+            at, out = [], []
+            for i, q in enumerate(x):
+                by: dict[int, list[int]] = {}
+                for one in table.value.probes(q, k, missed).tolist():
+                    first, parts = place[one]
+                    for g in range(first, first + parts):
+                        by.setdefault(g, []).append(one)
+                at += [i] * len(by)
+                out += by.items()
+            rows = b.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g for g, _ in out], pa.int32()), pa.array(np.ones(len(out), np.int32)), rows.column(0), rows.column(1), pa.nulls(len(out), pa.int32()), pa.nulls(len(out), pa.binary()), pa.nulls(len(out), pa.float64()), pa.array([c for _, c in out], pa.list_(pa.int32()))],
+                ["group", "asks", "vec_id", "v", "list", "code", "error", "lists"],
+            )
+
+    shape = f"group int, asks int, vec_id {kind}, v array<double>, list int, code binary, error double, lists array<int>"
+    asked = coded.where(queries).select("vec_id", "v").mapInArrow(probes, shape)
     where = spark.createDataFrame([(int(i), int(f), int(p)) for i, (f, p) in place.items()], "list int, first int, parts int")
     dealt = coded.join(F.broadcast(where), "list")  # a row for each list: 4096 at most
-    dealt = dealt.select("vec_id", "v", "list", "code", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-
-    def look(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(left) and len(right):
-            ix = index.value
-            right = right.sort_values("vec_id", kind="stable")
-            ids, own, x = right["vec_id"].to_numpy(), right["list"].to_numpy(), np.stack(right["v"].to_list())
-            codes = np.frombuffer(b"".join(right["code"]), np.uint8).reshape(len(ids), -1)
-            for at in range(0, len(left), 128):
-                part = left.iloc[at : at + 128]
-                q = np.stack(part["q"].to_list())
-                approx = (q @ ix.centroids.T)[:, own]
-                for i, book in enumerate(ix.books):
-                    approx += (q[:, i * PART : (i + 1) * PART] @ book.T)[:, codes[:, i]]
-                probed = np.zeros((len(q), len(ix.centroids)), bool)
-                for r, chosen in enumerate(part["lists"]):
-                    probed[r, chosen] = True
-                approx[~probed[:, own]] = -np.inf
-                for r, query in enumerate(part["query_id"]):
-                    a = approx[r]
-                    cut = np.partition(a, -SHORTLIST)[-SHORTLIST] if len(a) > SHORTLIST else -np.inf
-                    near = np.flatnonzero((a >= cut) & (a > -np.inf) & (ids != query))
-                    score = (x[near] * q[r]).sum(axis=1)
-                    best = near[(order := np.lexsort((ids[near], -score))[:k])]
-                    found.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": score[order]}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    some = asked.groupBy("group", "block").cogroup(dealt.groupBy("group", "block")).applyInPandas(look, f"query_id {kind}, vec_id {kind}, score double")
+    dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))).cast("int").alias("group"), F.lit(0).alias("asks"), "vec_id", "v", "list", "code", "error", F.lit(None).cast("array<int>").alias("lists"))
+    groups = dealt.unionByName(asked).repartition(wide(spark, group + 1, 4), "group").sortWithinPartitions("group", "asks", "vec_id")
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        held, now, ready = [], None, None
+        for batch in batches:
+            group_of, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(group_of) != 0) | (np.diff(asks) != 0)) + 1).tolist(), len(group_of)]
+            for a, z in pairwise(cuts):
+                if a == z:
+                    continue
+                part = batch.slice(a, z - a)
+                if group_of[a] != now:
+                    held, now, ready = [], group_of[a], None
+                if not asks[a]:
+                    held.append(part)
+                elif held:
+                    ready = ready or Group.of(held, ix)
+                    for i in range(0, part.num_rows, BLOCK):
+                        yield ready.answer(part.slice(i, BLOCK), ix, k)
+
+    some = groups.mapInArrow(look, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+
+
+def flat(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
+@dataclass
+class Group:
+    """The rows of one group, by id."""
+
+    kind: pa.DataType
+    ids: np.ndarray
+    own: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray
+    error: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[pa.RecordBatch], ix: Index) -> Group:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        col = lambda name: t.column(name).to_numpy()
+        codes = np.frombuffer(b"".join(t.column("code").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        return cls(t.schema.field("vec_id").type, col("vec_id"), col("list"), np.concatenate([flat(c, ix.dim) for c in t.column("v").chunks]), codes, col("error"))
+
+    def answer(self, asked: pa.RecordBatch, ix: Index, k: int) -> pa.RecordBatch:
+        """The ``k`` best rows of this group for each query, of the lists that it probes."""
+        q, who = flat(asked.column(3), ix.dim), asked.column(2).to_numpy(zero_copy_only=False)
+        approx = (q @ ix.centroids.T)[:, self.own]
+        for i, book in enumerate(ix.books):
+            approx += (q[:, i * PART : (i + 1) * PART] @ book.T)[:, self.codes[:, i]]
+        probed = np.zeros((len(q), len(ix.centroids)), bool)
+        for r, chosen in enumerate(asked.column(7).to_pylist()):
+            probed[r, chosen] = True
+        approx[~probed[:, self.own] | (who[:, None] == self.ids)] = -np.inf
+        long = np.sqrt((q * q).sum(axis=1))
+        ids, best, scores = [], [], []
+        for r in range(len(q)):
+            at, score = candidates(approx[r], long[r] * self.error, lambda rows, r=r: (self.x[rows] * q[r]).sum(axis=1), k)
+            order = np.lexsort((self.ids[at], -score))[:k]
+            ids.append(np.full(len(order), r))
+            best.append(at[order])
+            scores.append(score[order])
+        at = np.concatenate(best)
+        return pa.RecordBatch.from_arrays([asked.column(2).take(pa.array(np.concatenate(ids))), pa.array(self.ids[at], self.kind), pa.array(np.concatenate(scores))], ["query_id", "vec_id", "score"])

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -54,6 +56,49 @@ def test_many_copies_small_groups_and_ties(spark, monkeypatch):
     assert [r.vec_id for r in tied] == list(range(300, 320))
 
 
+def test_a_dense_group_of_a_third_of_the_rows(spark):
+    """Near copies that the quantiser cannot tell apart, beside clusters: recall by brute force, and few lists probed."""
+    rng = np.random.default_rng(11)
+    centers = rng.normal(size=(60, 32))
+    x = np.concatenate([centers[0] * 1.5 + rng.normal(size=(4000, 32)) * 0.02, centers[rng.integers(0, 60, 8000)] + rng.normal(size=(8000, 32)) * 0.15])
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(12_000), x, strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = sorted(i for i, _ in rows if i % 20 == 0)
+    got = vs.search(df, F.col("vec_id") % 20 == 0).collect()
+    want = brute(rows, asked, 20)
+    dense = {i for (i, _), d in zip(rows, [True] * 4000 + [False] * 8000, strict=True) if d}
+    for some in (set(asked) & dense, set(asked) - dense):
+        assert held([r for r in got if r.query_id in some], rows, {q: want[q] for q in some}) >= 0.9
+    index = vs.fit(vs.vectors(df), 12_000, 32)
+    own = index.assign(x)
+    number, n = np.unique(own, return_counts=True)
+    spread = np.sqrt(np.array([((x[own == i] - index.centroids[i]) ** 2).sum(axis=1).mean() for i in number]) / 32)
+    lists = vs.Lists(number, n, index.centroids[number], spread)
+    held_rows = dict(zip(number.tolist(), n.tolist(), strict=True))
+    share = [sum(held_rows[i] for i in lists.probes(x[j], 20, vs.MISSED).tolist()) / 12_000 for j in range(4000, 12_000, 100)]
+    assert np.mean(share) < 0.25
+
+
+def test_no_candidate_within_its_error_is_lost():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n, k = int(rng.integers(1, 400)), int(rng.integers(1, 9))
+        exact = rng.normal(size=n).round(1)
+        error = rng.uniform(0, 1.5, n)
+        approx = exact + error * rng.uniform(-1, 1, n)
+        out = rng.random(n) < 0.2
+        approx[out] = -np.inf
+        at, score = vs.candidates(approx, error, lambda rows, e=exact: e[rows], k)
+        able = np.flatnonzero(~out)
+        assert len(set(at.tolist())) == len(at) and not out[at].any() and (score == exact[at]).all()
+        assert sorted(score)[::-1][:k] == sorted(exact[able])[::-1][:k]
+
+
+def test_tail_of_the_normal():
+    z = np.linspace(-6, 6, 241)
+    assert np.abs(vs.tail(z) - [0.5 * math.erfc(v / math.sqrt(2)) for v in z]).max() < 1e-6
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (1, None, 1), (2, [], 1), (3, [0.0, 0.0], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [None, 1.0], 1), (None, [1.0, 1.0], 1), (20, [0.5, 0.5], 1), (21, [2.0, 0.0], 1), (22, [2.0, 0.0], 1), (23, [1.0, 2.0, 3.0], 1)]
