@@ -20,8 +20,8 @@ PATH_RULES = [
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secret_scan.train(secret_scan.samples(spark))
-    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents"), model))
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.digest(secret_scan.scan(docs, secret_scan.trained(docs)))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

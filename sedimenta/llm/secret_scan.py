@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm.common import documents
+from sedimenta.llm.common import by_hash, documents
 
 KEY = "(?i:password|passwd|secret|token|api_?key)"
 ASSIGN = KEY + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -25,6 +25,8 @@ N = len(SYMBOLS) + 1
 RATIO = math.log(1000)
 BLOCK = 256
 REDACTED = "[secret]"
+#: Spans of a text that are replaced in one piece of it.
+FEW = 64
 
 # Parts of ordinary identifiers, from which labelled samples are made.
 PARTS = (
@@ -33,35 +35,57 @@ PARTS = (
     "base cache queue stack node tree graph edge field column row record event handler listener manager service client server request response session "
     "config option default global local public private static final abstract interface module package import export test example sample main next previous "
     "first last current customer product invoice payment address country language message number string integer double boolean array object function method "
-    "class property attribute element document window button input output stream buffer thread process task job worker pool connection database query result"
+    "class property attribute element document window button input output stream buffer thread process task job worker pool connection database query result "
+    "gesellschaft arbeit verwaltung sicherheit zeitung wirtschaft schiff fahrt donau dampf kraft werk stadt land haus recht schutz versicherung entwicklung forschung "
+    "desarrollo trabajo ciudad gobierno empresa servicio conocimiento investigacion administracion responsabilidad gouvernement entreprise developpement travail ville "
+    "connaissance recherche responsabilite internationalisation communication"
 )
+#: Documents whose words teach the ordinary class at most, and the least letters of such a word.
+WORDS_FROM, WORD = 500, 8
 
 
-def samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
-    """Labelled tokens to train on: ``token``, ``random`` (true or false).
+def samples(spark: SparkSession, rows: int = 4000, first: int = 0) -> DataFrame:
+    """Labelled tokens to train on: ``token``, ``random`` (true or false), ``kind``.
 
     Random ones are digests in base 64, hexadecimal and upper case; ordinary
-    ones join two to four parts as identifiers do. Both follow from row
-    numbers, so that every run learns the same.
+    ones join two to four parts as identifiers and compounds do, or repeat one
+    character. All follow from row numbers, so that every run learns the
+    same; rows from another ``first`` number are others.
     """
     words = F.split(F.lit(PARTS), " ")
     h = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     part = lambda salt: F.element_at(words, (F.pmod(F.xxhash64("id", F.lit(salt)), F.size(words)) + 1).cast("int"))
+    number = lambda n: F.pmod(F.col("id"), F.lit(n)).cast("string")
     a, b, c, d = part("a"), part("b"), part("c"), part("d")
-    hexed = h("x")
-    random = F.array(
-        F.substring(F.base64(F.unhex(h("s"))), 1, 40), F.substring(hexed, 1, 40), F.substring(F.translate(F.base64(F.unhex(h("u"))), "+/=", "-_"), 1, 32),
-        F.substring(F.translate(F.upper(F.base64(F.unhex(h("k")))), "+/=", "XYZ"), 1, 24),
-    )
-    ordinary = F.array(
-        F.concat_ws("_", a, b, c), F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), F.concat_ws("-", a, b, c, d), F.upper(F.concat_ws("_", a, b, c)),
-        F.concat(a, b, c), F.concat_ws("/", a, b, c, F.pmod(F.col("id"), F.lit(1000)).cast("string")), F.concat(F.initcap(d), F.initcap(a), F.pmod(F.col("id"), F.lit(100)).cast("string")),
-        F.concat(F.lpad(F.pmod(F.col("id"), F.lit(2100)).cast("string"), 4, "0"), F.lit("-"), F.lpad(F.pmod(F.col("id"), F.lit(12)).cast("string"), 2, "0"), F.lit("-"), F.lpad(F.pmod(F.col("id"), F.lit(28)).cast("string"), 2, "0"), F.lit("-"), a),
-        F.concat(F.repeat(F.substring(a, 1, 1), 12), F.repeat(F.lit("="), 8)),
-    )
-    base = spark.range(rows)
-    both = F.concat(F.transform(random, lambda t: F.struct(t.alias("token"), F.lit(True).alias("random"))), F.transform(ordinary, lambda t: F.struct(t.alias("token"), F.lit(False).alias("random"))))
-    return base.select(F.inline(both))
+    random = {
+        "base64": F.substring(F.base64(F.unhex(h("s"))), 1, 40), "hex": F.substring(h("x"), 1, 40), "url": F.substring(F.translate(F.base64(F.unhex(h("u"))), "+/=", "-_"), 1, 32),
+        "upper": F.substring(F.translate(F.upper(F.base64(F.unhex(h("k")))), "+/=", "XYZ"), 1, 24),
+    }
+    ordinary = {
+        "snake": F.concat_ws("_", a, b, c), "camel": F.concat(a, F.initcap(b), F.initcap(c), F.initcap(d)), "kebab": F.concat_ws("-", a, b, c, d), "constant": F.upper(F.concat_ws("_", a, b, c)),
+        "compound": F.concat(a, b, c), "path": F.concat_ws("/", a, b, c, number(1000)), "numbered": F.concat(F.initcap(d), F.initcap(a), number(100)),
+        "dated": F.concat(F.lpad(number(2100), 4, "0"), F.lit("-"), F.lpad(number(12), 2, "0"), F.lit("-"), F.lpad(number(28), 2, "0"), F.lit("-"), a),
+        "padded": F.concat(F.repeat(F.substring(a, 1, 1), 12), F.repeat(F.lit("="), 8)), "run": F.repeat(F.substring(F.lit(SYMBOLS), F.pmod(F.col("id"), F.lit(len(SYMBOLS))).cast("int") + 1, F.lit(1)), 24),
+    }
+    rows_of = lambda kinds, label: [F.struct(t.alias("token"), F.lit(label).alias("random"), F.lit(k).alias("kind")) for k, t in kinds.items()]
+    return spark.range(first, first + rows).select(F.inline(F.array(*rows_of(random, True), *rows_of(ordinary, False))))
+
+
+def corpus_words(df: DataFrame, bound: int = WORDS_FROM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Ordinary tokens of the corpus itself: words of letters only that stand in no fixed pattern, from at most ``bound`` documents.
+
+    The documents are chosen by a hash of their id, so that the letters of
+    every language count. Columns as those of ``samples``.
+    """
+    d = by_hash(documents(df, id_col, text_col), bound, "doc_id")
+    plain = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
+    word = F.explode(F.regexp_extract_all(plain, F.lit(f"(?<![A-Za-z0-9+/_=-])[A-Za-z]{{{WORD},}}(?![A-Za-z0-9+/_=-])"), F.lit(0)))
+    return d.select(word.alias("token")).select("token", F.lit(False).alias("random"), F.lit("word").alias("kind"))
+
+
+def trained(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The models of ``samples`` and of the corpus's own words."""
+    return train(samples(df.sparkSession).unionByName(corpus_words(df, id_col=id_col, text_col=text_col)))
 
 
 @dataclass
@@ -187,10 +211,30 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column) -> Column:
-    """The text where every occurrence of a found secret gives way to ``[secret]``, the longest first. Null stays null."""
+    """The text with ``[secret]`` in place of every span; spans that overlap give way together. Null stays null.
 
-    def put(f: Column) -> Column:
-        hits = F.array_sort(F.array_distinct(F.transform(f, lambda s: s["hit"])), lambda a, b: F.char_length(b) - F.char_length(a))
-        return F.when(F.size(f) > 0, F.aggregate(hits, text, lambda t, h: F.replace(t, h, F.lit(REDACTED)))).otherwise(text)
+    Spans are taken in blocks, each with its own piece of the text, so that a
+    text with many spans is not read from its start for each of them.
+    """
+    end = lambda s: F.coalesce(F.array_max(F.transform(s, lambda x: x["end"])), F.lit(0))
+    most = lambda a: F.coalesce(F.array_max(a), F.lit(0))
 
-    return _let(spans, put)
+    def block(t: Column, b: Column, base: Column) -> Column:
+        """What the spans of a block make of the text between the end of all before it and its own end."""
+        piece = F.substring(t, base + 1, end(b) - base)
+
+        def one(p: Column, s: Column, k: Column) -> Column:
+            before = F.greatest(base, end(F.slice(b, 1, k)))
+            return F.when(s["start"] >= before, F.concat(F.substring(p, before - base + 1, s["start"] - before), F.lit(REDACTED))).otherwise(F.lit(""))
+
+        return _let(piece, lambda p: F.array_join(F.transform(b, lambda s, k: one(p, s, k)), ""))
+
+    def put(f: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(f) - 1) / F.lit(FEW)).cast("int")), lambda i: F.slice(f, i * FEW + 1, FEW))
+        made = lambda bs: _let(
+            F.transform(bs, end),
+            lambda tops: F.concat(F.array_join(F.transform(bs, lambda b, i: block(text, b, most(F.slice(tops, 1, i)))), ""), F.substring(text, most(tops) + 1, F.char_length(text))),
+        )
+        return F.when(F.size(f) > 0, _let(blocks, made)).otherwise(text)
+
+    return F.when(text.isNotNull(), _let(spans, put))

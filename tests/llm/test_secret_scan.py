@@ -1,5 +1,9 @@
 import hashlib
+import math
 import re
+from collections import Counter
+from itertools import pairwise
+from random import Random
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +54,60 @@ def test_models_tell_random_from_ordinary(spark, model):
     assert r["hit"] > 0.97 and r["false"] < 0.01
 
 
+def ratio(token, model):
+    """The log-likelihood ratio from its definition."""
+    at = [ss.SYMBOLS.find(c) + 1 for c in token]
+    return sum(model.ratios[a * ss.N + b] for a, b in pairwise(at))
+
+
+def test_ratios_from_raw_counts(spark, docs, model):
+    tokens = [(r.token, r.random) for r in ss.samples(spark, 50).collect()]
+    small = ss.train(spark.createDataFrame([*tokens, (None, True), ("abc", None)], "token string, random boolean"))
+    n = {c: Counter((ss.SYMBOLS.find(a) + 1, ss.SYMBOLS.find(b) + 1) for t, r in tokens if r == c for a, b in pairwise(t)) for c in (True, False)}
+    chance = lambda c, a, b: (n[c][a, b] + 0.5) / sum(n[c][a, x] + 0.5 for x in range(ss.N))
+    want = [math.log(chance(True, a, b) / chance(False, a, b)) for a in range(ss.N) for b in range(ss.N)]
+    assert small.ratios == pytest.approx(want)
+    rows = spark.createDataFrame([(t,) for t, _ in tokens], "t string").select("t", ss.likelihood_ratio(F.col("t"), model).alias("x")).collect()
+    assert all(r.x == pytest.approx(ratio(r.t, model), abs=1e-3) for r in rows)
+
+
+#: Words that no training list holds.
+FOREIGN = (
+    "Geschwindigkeitsbegrenzung Rechtsschutzversicherungsgesellschaften Bundesausbildungsfoerderungsgesetz Freundschaftsbezeugungen Unabhaengigkeitserklaerungen Lebensmittelgeschaeft "
+    "anticonstitutionnellement electroencefalografista otorrinolaringologico incomprehensibilities counterrevolutionaries deinstitutionalization Donaudampfschifffahrtsgesellschaft "
+    "descontextualizadamente interdisciplinariedad bienveillanceperpetuelle"
+).split()
+
+
+def test_held_out_samples_words_and_runs(spark, docs):
+    """Precision and recall by kind on samples of other row numbers, words of no list, and runs of one character."""
+    model = ss.trained(docs)
+    seen = ss.samples(spark, 2000, first=1_000_000).where(F.length("token") >= ss.TOKEN).withColumn("hit", ss.likelihood_ratio(F.col("token"), model) >= ss.RATIO)
+    rate = {(r.kind, r.random): r.rate for r in seen.groupBy("kind", "random").agg(F.avg(F.col("hit").cast("int")).alias("rate")).collect()}
+    assert all(x > 0.95 if random else x < 0.01 for (_, random), x in rate.items()), rate
+    assert all(ratio(w, model) < ss.RATIO for w in FOREIGN if len(w) >= ss.TOKEN), {w: ratio(w, model) for w in FOREIGN}
+    assert all(ratio(c * n, model) < ss.RATIO for c in ss.SYMBOLS for n in (20, 40, 200))
+
+
+def test_redaction_of_any_spans(spark):
+    """Against cutting code points, with overlaps, neighbours and many spans."""
+    rng = Random(4)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é😀") for _ in range(rng.randint(0, 900)))
+        spans = sorted((a, 0, min(len(text), a + rng.randint(1, 9))) for a in (rng.randrange(len(text)) for _ in range(rng.choice((0, 1, 5, 200)) if text else 0)))
+        rows.append((i, text, [(*s, "x") for s in spans]))
+    rows.append((60, None, []))
+    df = spark.createDataFrame(rows, "id long, text string, spans array<struct<start:int,kind:int,end:int,hit:string>>")
+    for r in df.select("id", "text", "spans", ss.redacted(F.col("text"), F.col("spans")).alias("t")).collect():
+        want, at = "", 0
+        for s in r.spans:
+            if s.start >= at:
+                want += r.text[at : s.start] + "[secret]"
+            at = max(at, s.end)
+        assert r.t == (None if r.text is None else want + r.text[at:])
+
+
 def test_added_spans_and_redaction(spark, model):
     text = "key ghp_Zx81kQpLm2Vb7Yt0RsWq93NdEfGhJk4T of get_user_account_list_manager and token=abcdef1 here"
     df = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None)], "doc_id long, text string")
