@@ -1,4 +1,10 @@
-"""Near copies by exact Jaccard similarity of word shingles, for stages of a pipeline."""
+"""Near copies by exact Jaccard similarity of word shingles, for stages of a pipeline.
+
+Operator 6's covering tables link what is within a few bits of SimHash. A pair
+at a similarity of 0.8 differs in about 10 of 64 bits, and no covering of that
+radius is small enough to be of use, so its tables alone cannot give all links
+at 0.8: pairs they leave open are found by keys of minima.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.llm import simhash
 from sedimenta.llm.common import documents, wide
 from sedimenta.operators.components import connected_components
 from sedimenta.session import settle
@@ -20,7 +27,7 @@ BANDS, ROWS = 25, 5
 #: Members that are compared with one other text in one group.
 BLOCK = 256
 #: Rounds in which the members of a bucket are compared with one of them, before all pairs that are left.
-LEADERS = 2
+LEADERS = 1
 
 _RNG = np.random.default_rng(SEED)
 _XOR, _ODD = _RNG.integers(0, np.iinfo(np.uint64).max, (2, BANDS * ROWS, 1), np.uint64)
@@ -51,7 +58,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id``, ``node`` (hash of the set), ``n`` (its size), ``keys``, ``text`` of every row."""
+    """``doc_id``, ``node`` (hash of the set), ``n`` (its size), ``fp`` (its SimHash), ``keys``, ``text`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -59,10 +66,11 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(g.tobytes(), SEED) for g in sets], np.uint64).view(np.int64)
             keys = np.concatenate([band_keys(g) for g in sets]) if sets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS, dtype=np.int32)), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int64()), lists, b.column(1)], ["doc_id", "node", "n", "keys", "text"])
+            fp = np.array([simhash.majority(g) if len(g) else 0 for g in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(g) for g in sets], pa.int64()), pa.array(fp), lists, b.column(1)], ["doc_id", "node", "n", "fp", "keys", "text"])
 
     d = documents(df, id_col, text_col)
-    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, keys array<bigint>, text string")
+    return d.mapInArrow(run, f"doc_id {d.schema['doc_id'].dataType.simpleString()}, node bigint, n bigint, fp bigint, keys array<bigint>, text string")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -94,11 +102,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return groups.mapInArrow(run, "src bigint, dst bigint")
 
 
-def _open(members: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     """``members`` with ``part``, their component so far, of the buckets that hold more than one component."""
-    m = members.withColumn("part", F.col("node"))
-    if parts is not None:
-        m = members.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("component", "node").alias("part"))
+    m = members.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("component", "node").alias("part"))
     several = m.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("t", "key")
     return m.join(several, ["t", "key"])
 
@@ -110,25 +116,37 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def covered(nodes: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b`` that operator 6's tables propose: each fingerprint's first node with its others, and first nodes of linked fingerprints."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("an"))
+    same = nodes.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"), "an", F.col("n").alias("bn"))
+    x, y = first.toDF("src", "a", "an"), first.toDF("dst", "b", "bn")
+    linked = simhash.links(first.select("fp")).join(x, "src").join(y, "dst").select("a", "b", "an", "bn")
+    return same.unionByName(linked).where(F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn") - 1e-9).select("a", "b").distinct()
+
+
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Class of every document: ``doc_id``, ``component`` (equal for those that links join).
 
     Documents link if their sets of five-word shingles are equal or have a
     Jaccard similarity of 0.8 or more, counted exactly for each candidate pair.
-    Candidates are all pairs that share a key of a band, save those that are
-    joined already: members of a bucket are compared with one of them first,
-    twice, then all that are outside the bucket's largest component with all
+    Candidates come from SimHash's covering tables first (``covered``), then
+    from keys of bands: all pairs that share one, save those that are
+    joined already. Members of a bucket are compared with one of them first,
+    then all that are outside the bucket's largest component with all
     that are not of theirs. So no bucket gives all of its pairs where its
     members are copies of each other, and no bucket is cut.
     """
     sets = settle(_sets(df, id_col, text_col), "sets")
-    nodes = sets.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"))
+    nodes = settle(sets.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("keys").alias("t", "key"))
     full = spread.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1").select("t", "key")
     members = settle(spread.join(full, ["t", "key"]), "members")
-    wanted = members.select("node").distinct()
+    pairs = settle(covered(nodes.where("n > 0")), "pairs")
+    wanted = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     texts = settle(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
-    links, parts = None, None
+    links = settle(confirmed(pairs, texts), "links")
+    parts = settle(connected_components(links), "parts")
     for step in range(LEADERS + 1):
         left = settle(_open(members, parts), "open")
         if left.isEmpty():
@@ -142,10 +160,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             few = left.join(top, ["t", "key"]).where("part <> top").drop("top")
             pairs = _pairs(few, left).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         found = settle(confirmed(settle(pairs, "pairs"), texts), "links")
-        links = found if links is None else links.unionByName(found)
+        links = links.unionByName(found)
         parts = settle(connected_components(links), "parts")
-    if parts is None:
-        return sets.select("doc_id", F.col("node").alias("component"))
     return sets.select("doc_id", "node").join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 
 

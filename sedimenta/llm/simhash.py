@@ -25,7 +25,11 @@ def simhash(text: str, shingle: int = SHINGLE) -> int:
     if not w:
         return 0
     grams = map(b" ".join, zip(*(w[i:] for i in range(shingle)), strict=False)) if len(w) > shingle else [b" ".join(w)]
-    h = np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8")
+    return majority(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, as an unsigned number; 0 for none."""
     ones = np.zeros(BITS, np.int64)
     for i in range(0, len(h), 1 << 16):
         part = h[i : i + (1 << 16)]
@@ -96,6 +100,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     of a spanning forest, never all of its pairs.
     """
     spark = fps.sparkSession
+    tables = len(masks(radius))
     spread = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])).alias("t", "key"))
     full = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = spread.join(full, ["t", "key"])
@@ -103,7 +108,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     shared = shared.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     pairs = shared.withColumn("o", F.explode(other)).select("t", "key", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "fp")
-    groups = pairs.repartition(wide(spark, 0, 1), "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
+    groups = pairs.repartition(wide(spark, fps.count() * tables, 2_000_000), "t", "key", "lo", "hi").sortWithinPartitions("t", "key", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None

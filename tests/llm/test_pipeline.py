@@ -2,9 +2,10 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from sedimenta.llm import language, secret_scan, simhash, toxicity
+from sedimenta.llm import language, secret_scan, toxicity
 from sedimenta.llm.packing import pack
 from sedimenta.session import settle
+from tests.llm.test_near_copies import classes, shingles
 
 
 def test_stages_by_hand(spark, sf):
@@ -21,15 +22,16 @@ def test_stages_by_hand(spark, sf):
         elif name == "toxicity":
             want = {r.doc_id for r in toxicity.score(given, toxicity.fit(given, spark.read.parquet(f"{sf}/labels.parquet"))).collect() if not r.predicted}
         elif name == "near_duplicates":
-            want = {r.component_id for r in simhash.near_duplicates(given).collect()}
+            want = set(classes({r.doc_id: shingles(r.text or "") for r in before.values()}).values())
         else:
             want = set(before)
-            model = secret_scan.train(secret_scan.samples(spark))
-            found = {r.doc_id: r.found for r in secret_scan.scan(given, model).collect()}
+            found = {r.doc_id: r.found for r in secret_scan.scan(given, secret_scan.trained(given)).collect()}
             for i, r in after.items():
-                text = before[i].text
-                for hit in sorted({s.hit for s in found[i]}, key=len, reverse=True):
-                    text = text.replace(hit, "[secret]")
+                text, at = "", 0
+                for s in found[i]:
+                    text += before[i].text[at : s.start] + "[secret]" if s.start >= at else ""
+                    at = max(at, s.end)
+                text += before[i].text[at:]
                 assert (r.text, r.n_chars) == (text, len(text))
         assert set(after) == want
         if name != "secrets":
