@@ -21,15 +21,15 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-copies (five-word shingles, similarity 0.8), the one with the smallest id."""
+    """One document of each component of near-copies, the one with the smallest id: SimHash links and those its radius leaves open, all at a similarity of 0.8."""
     return near_copies.keep_one(docs)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced and their length counted anew."""
-    model = secret_scan.train(secret_scan.samples(spark))
-    text = secret_scan.redacted(F.col("text"), secret_scan.found(F.coalesce("text", F.lit("")), model))
-    return docs.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    """All documents, their secrets replaced and their length (where there is such a column) counted anew."""
+    found = secret_scan.found(F.coalesce("text", F.lit("")), secret_scan.trained(docs))
+    docs = docs.withColumn("text", secret_scan.redacted(F.col("text"), found))
+    return docs.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
