@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sedimenta.llm import simhash
 from sedimenta.llm.common import documents, wide
 from sedimenta.operators.components import connected_components
-from sedimenta.session import settle
+from sedimenta.session import settle, unsettle
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Candidates share one of BANDS keys of ROWS minima: a pair at 0.8 shares none with chance (1 - 0.8**ROWS)**BANDS = 0.00005.
@@ -147,8 +147,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = settle(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = settle(confirmed(pairs, texts), "links")
     parts = settle(connected_components(links), "parts")
+    done = [nodes, members, texts, pairs, links]
     for step in range(LEADERS + 1):
         left = settle(_open(members, parts), "open")
+        done.append(left)
         if left.isEmpty():
             break
         if step < LEADERS:
@@ -159,9 +161,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             top = sizes.groupBy("t", "key").agg(F.max_by("part", F.struct("c", "part")).alias("top"))
             few = left.join(top, ["t", "key"]).where("part <> top").drop("top")
             pairs = _pairs(few, left).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = settle(confirmed(settle(pairs, "pairs"), texts), "links")
+        pairs = settle(pairs, "pairs")
+        found = settle(confirmed(pairs, texts), "links")
+        done += [pairs, found, parts]
         links = links.unionByName(found)
         parts = settle(connected_components(links), "parts")
+    unsettle(*done)
     return sets.select("doc_id", "node").join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 
 

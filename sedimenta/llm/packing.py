@@ -23,6 +23,8 @@ LENGTH = 2048
 GROUP = 100_000
 #: Words in one of the two generations that a worker remembers the ids of (about 200 bytes each).
 WORDS = 500_000
+#: Texts that a tokenizer which keeps or joins white space encodes otherwise than their words.
+PROBES = ("a b", " a", "a ", "a  b", "a\nb", "Hello, world!\tx", "  12 3 ...\r\n(x) ", "\u00fcber\u00a0die \u2003 Stra\u00dfe", "the cat sat on the mat")
 #: str.split() also splits at these four, which are not white space to the tokenizer.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -31,37 +33,42 @@ SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 class WordIds(Memo):
     """Ids of a word as little-endian bytes, looked up once per word and worker.
 
-    This vocabulary's pre-tokenizer drops white space and never joins what it
-    separates, so a text's ids are those of its words one after the other.
+    Where the tokenizer drops white space and never joins what it separates
+    (tried on PROBES), a text's ids are those of its words one after the
+    other. With any other tokenizer whole texts are encoded.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         encode = Tokenizer.from_file(path).encode
-        super().__init__(lambda word: array("I", encode(word, add_special_tokens=False).ids).tobytes(), WORDS)
+        self.whole = lambda text: array("I", encode(text, add_special_tokens=False).ids).tobytes()
+        super().__init__(self.whole, size)
+        self.by_word = all(self.whole(x) == b"".join(map(self.whole, x.split())) for x in PROBES)
 
     def of(self, text: str) -> bytes:
+        if not self.by_word:
+            return self.whole(text)
         words = text.split() if not NOT_SPACE.search(text) else [w for w in SPACE.split(text) if w]
         return b"".join(map(self.__getitem__, words))
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+def word_ids(path: str, size: int = WORDS) -> WordIds:
+    if (path, size) not in _loaded:
+        _loaded[path, size] = WordIds(path, size)
+    return _loaded[path, size]
 
 
-def pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Cut each document's ids and the closing id 0 into pieces of ``length``; the last may be shorter. No shuffle."""
     d = documents(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(tokenizer)
+        ids_of = word_ids(tokenizer, words)
         for b in batches:
             rows: list[tuple] = []
             for i, text in enumerate(b.column(1).to_pylist()):
@@ -138,20 +145,20 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, n_bins
 
 
-def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, length: int = LENGTH, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """Pack all documents into as few sequences of ``length`` tokens as best-two-fit finds.
 
     Texts are tokenised once and only lengths and checksums move on. Pieces
     that fill a sequence take one each, without any shuffle. The others are
     dealt by a hash of the document and piece to groups of about ``group``
     rows, each packed on its own, so no task holds more as the corpus grows
-    and no source or id can crowd one.
+    and no source or id can crowd one. ``words`` bounds what a worker remembers.
 
     Null text counts as empty and gives the closing id alone. Repeated rows are
     packed as often as they come. A null id stays null; an empty table gives no
     rows. Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    cut = settle(pieces(df, tokenizer, length, id_col, text_col), "pieces")
+    cut = settle(pieces(df, tokenizer, length, id_col, text_col, words), "pieces")
     whole = cut.where(F.col("length") == length)
     rest = cut.where(F.col("length") < length)
     n = rest.count()

@@ -79,3 +79,13 @@ def test_best_two_fit(seed):
 def test_two_replace_the_smallest():
     bins, _, n = pk.best_two_fit(np.array([60, 35, 20, 19]), 100)  # 60 + 35 leaves 5: 60 + 20 + 19 is tighter
     assert n == 2 and bins[0] == bins[2] == bins[3] != bins[1]
+
+
+def test_tokenizers_that_keep_white_space_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "  Hello there,\n\nworld  of 12 things "
+    assert not pk.WordIds(path).by_word and pk.WordIds(public_tokenizers.path("word_bpe_49k.json")).by_word
+    ids = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(pk.WordIds(path).of(text), "<u4").tolist() == ids
