@@ -28,13 +28,16 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, app: str = "
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (tests, a laptop) a temporary folder is made.
+    Only where that is unset and the master is local (tests, a laptop) a
+    temporary folder is made; executors on other machines would write to their own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm.isDefined():
             return jvm.get()
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="sedimenta-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -48,7 +51,18 @@ def settle(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._settled_at = path
+    return back
+
+
+def unsettle(*settled: DataFrame) -> None:
+    """Remove the files of settled tables that no plan will read any more; other DataFrames are left alone."""
+    for df in settled:
+        path = getattr(df, "_settled_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
