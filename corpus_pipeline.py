@@ -33,8 +33,8 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, placed in sequences of 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """The pieces of all documents, placed in sequences of 2048 tokens. Workers of earlier stages may still hold memory, so these remember fewer words."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=150_000)
 
 
 STAGES = [("language", known_language), ("toxicity", civil), ("near_duplicates", one_of_each), ("secrets", without_secrets), ("packing", packed)]
