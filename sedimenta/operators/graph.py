@@ -42,6 +42,40 @@ def trails(edges: DataFrame, start: Column, depth: int, directed: bool = False)
     return out
 
 
+def trails_between(edges: DataFrame, a: str, b: str, depth: int) -> DataFrame:
+    """All trails of 1 to ``depth`` edges from ``a`` to ``b``, as ``trails`` gives them.
+
+    Distances to the goal come first, so a walk only enters nodes from which
+    the goal is still in reach; hubs that lead elsewhere are not expanded.
+    """
+    togo = distances(edges, F.col("node") == b, depth).select(F.col("node").alias("_n"), F.col("hops").alias("_togo"))
+    e = both_ways(edges).join(togo, F.col("b") == F.col("_n"))
+    level = e.where((F.col("a") == a) & (F.col("_togo") <= depth - 1))
+    level = level.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("hops"), F.array("a", "b").alias("nodes"), F.array("eid").alias("eids"), F.array("type").alias("types"))
+    out = level
+    for n in range(2, depth + 1):
+        level = level.join(e.where(F.col("_togo") <= depth - n), F.col("node") == F.col("a")).where(~F.array_contains("eids", F.col("eid")))
+        level = level.select("start", F.col("b").alias("node"), F.lit(n).alias("hops"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("eids", F.col("eid")).alias("eids"), F.array_append("types", F.col("type")).alias("types"))
+        out = out.unionByName(level)
+    return out.where(F.col("node") == b)
+
+
+def fetch(entities: DataFrame, ids: list[str]) -> DataFrame:
+    """``id``, ``type`` (Unknown without one), ``description`` of the entities of a list of ids; unknown ids give no row."""
+    return entities.where(F.col("id").isin(ids)).select("id", F.coalesce("type", F.lit("Unknown")).alias("type"), "description")
+
+
+def co_mentions(mentions: DataFrame) -> DataFrame:
+    """Pairs ``src`` < ``dst`` of entities with the number ``n`` of chunks that mention both.
+
+    The pairs of a chunk are bounded by its length, not by the corpus; they
+    are made in its own row and counted before they are shuffled.
+    """
+    m = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
+    pair = F.explode(F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.struct(x.alias("src"), y.alias("dst"))))))
+    return m.select(pair.alias("p")).groupBy("p.src", "p.dst").agg(F.count("*").alias("n"))
+
+
 def distances(edges: DataFrame, start: Column, depth: int) -> DataFrame:
     """``node``, ``hops``: fewest edges, in either direction, from the nodes that meet ``start``; at most ``depth``.
 
@@ -82,7 +116,16 @@ def common_neighbors(edges: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def cycles(edges: DataFrame, start: Column, depth: int = 4) -> DataFrame:
-    """Directed trails of 1 to ``depth`` edges (4 at most) that end where they start."""
+    """Directed trails of 1 to ``depth`` edges (4 at most) that end where they start.
+
+    Edges from a node that none leads to, or to one that none leaves, are on no
+    cycle; dropped before, they keep leaves and hubs of a tree out of the walk.
+    """
+    edges = settle(edges.select("src", "dst", "type"), "cycles")
+    for _ in range(2):
+        edges = edges.join(edges.select(F.col("dst").alias("_n")).distinct(), F.col("src") == F.col("_n"), "left_semi")
+        edges = edges.join(edges.select(F.col("src").alias("_n")).distinct(), F.col("dst") == F.col("_n"), "left_semi")
+        edges = settle(edges, "cycles")
     return trails(edges, start, min(depth, 4), directed=True).where("node = start")
 
 

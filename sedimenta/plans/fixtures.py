@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.functions.text import tokens
@@ -40,6 +40,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(name.alias("file_name"), "doc_id", "text", "lang", "source", "n_chars")
 
 
+def part_id(key: str = "p_partkey") -> Column:
+    return F.concat(F.lit("Part#"), F.lpad(F.col(key).cast("string"), 9, "0"))
+
+
 def entities(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     row = lambda df, i, kind, *text: df.select(F.col(i).alias("id"), F.lit(kind).alias("type"), F.concat(*text).alias("description"))
@@ -48,6 +52,7 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
         row(t("nation"), "n_name", "Geography", F.lit("nation in region "), F.col("n_regionkey")),
         row(t("customer"), "c_name", "Company", F.lit("customer in segment "), F.col("c_mktsegment")),
         row(t("supplier"), "s_name", "Supplier", F.lit("supplier of nation "), F.col("s_nationkey")),
+        row(t("part").select(part_id().alias("id"), "p_brand"), "id", "Part", F.lit("part of brand "), F.col("p_brand")),
         row(t("part").select("p_brand").distinct(), "p_brand", "Brand", F.lit("brand of parts")),
         row(t("customer").select("c_mktsegment").distinct(), "c_mktsegment", "BusinessSegment", F.lit("market segment")),
     ]
@@ -61,31 +66,25 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     t = lambda n: table(spark, sf, n)
     nation = t("nation")
     rel = lambda df, a, b, kind, w=F.lit(1.0): df.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.lit(kind).alias("type"), w.cast("double").alias("weight"))
-    owns = (
-        t("lineitem").select("l_suppkey", "l_partkey").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n"))
-        .join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .groupBy("s_name", "p_brand").agg(F.sum("n").alias("n"))
-    )
+    owns = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).join(t("supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+    a, b = nation.alias("a"), nation.alias("b")
+    ring = a.join(b, (F.col("b.n_nationkey") == (F.col("a.n_nationkey") * 7 + 3) % 25) & (F.col("a.n_nationkey") != F.col("b.n_nationkey")))
     return (
         rel(nation.join(t("region"), nation.n_regionkey == F.col("r_regionkey")), "n_name", "r_name", "SEGMENT_OF")
+        .unionByName(rel(ring.select(F.col("a.n_name").alias("x"), F.col("b.n_name").alias("y")), "x", "y", "TRADES_WITH"))
         .unionByName(rel(t("customer").join(nation, F.col("c_nationkey") == nation.n_nationkey), "c_name", "n_name", "OPERATES_IN"))
         .unionByName(rel(t("supplier").join(nation, F.col("s_nationkey") == nation.n_nationkey), "s_name", "n_name", "OPERATES_IN"))
         .unionByName(rel(t("customer"), "c_name", "c_mktsegment", "IN_SEGMENT"))
-        .unionByName(rel(owns, "s_name", "p_brand", "OWNS", F.col("n")))
+        .unionByName(rel(owns.withColumn("part", part_id("l_partkey")), "s_name", "part", "OWNS", F.col("n")))
+        .unionByName(rel(t("part").withColumn("part", part_id()), "part", "p_brand", "OF_BRAND"))
     )
 
 
-def geography(spark: SparkSession, sf: str) -> DataFrame:
-    """A graph small enough to enumerate its trails: regions, nations, suppliers and a ring of trade."""
-    nation, region, supplier = (table(spark, sf, n) for n in ("nation", "region", "supplier"))
-    a, b = nation.alias("a"), nation.alias("b")
-    ring = a.join(b, (F.col("b.n_nationkey") == (F.col("a.n_nationkey") * 7 + 3) % 25) & (F.col("a.n_nationkey") != F.col("b.n_nationkey")))
-    return (
-        nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("src"), F.col("r_name").alias("dst"), F.lit("SEGMENT_OF").alias("type"))
-        .unionByName(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("src"), F.col("n_name").alias("dst"), F.lit("OPERATES_IN").alias("type")))
-        .unionByName(ring.select(F.col("a.n_name").alias("src"), F.col("b.n_name").alias("dst"), F.lit("TRADES_WITH").alias("type")).distinct())
-    )
+def aligned(spark: SparkSession, sf: str) -> DataFrame:
+    """``id``, ``vec_id`` of the companies and suppliers that have a vector, the one of their number."""
+    of = lambda n, key, name: table(spark, sf, n).select(F.col(name).alias("id"), F.col(key).alias("vec_id"))
+    both = of("customer", "c_custkey", "c_name").unionByName(of("supplier", "s_suppkey", "s_name"))
+    return both.join(table(spark, sf, "embeddings").select("vec_id"), "vec_id", "left_semi").select("id", "vec_id")
 
 
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -99,9 +98,9 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
-    """``chunk_id``, ``file_name``, ``entity_id``: terms of six characters or more that are in 2 to 50 chunks."""
-    t = terms(spark, sf)
-    some = t.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df").between(2, 50) & (F.length("term") >= 6)).select("term")
+    """``chunk_id``, ``file_name``, ``entity_id``: terms of six characters or more that are in two chunks or more."""
+    t = terms(spark, sf).where(F.length("term") >= 6)
+    some = t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
     return t.join(some, "term").select("chunk_id", "file_name", F.col("term").alias("entity_id"))
 
 

@@ -20,6 +20,7 @@ VIEWS = {
         UNION ALL SELECT n_name, 'Geography', 'nation in region ' || n_regionkey FROM nation
         UNION ALL SELECT c_name, 'Company', 'customer in segment ' || c_mktsegment FROM customer
         UNION ALL SELECT s_name, 'Supplier', 'supplier of nation ' || s_nationkey FROM supplier
+        UNION ALL SELECT 'Part#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), 'Part', 'part of brand ' || p_brand FROM part
         UNION ALL SELECT DISTINCT p_brand, 'Brand', 'brand of parts' FROM part
         UNION ALL SELECT DISTINCT c_mktsegment, 'BusinessSegment', 'market segment' FROM customer""",
     "edge": """
@@ -27,11 +28,13 @@ VIEWS = {
         UNION ALL SELECT c_name, n_name, 'OPERATES_IN', CAST(1 AS DOUBLE) FROM customer JOIN nation ON c_nationkey = n_nationkey
         UNION ALL SELECT s_name, n_name, 'OPERATES_IN', CAST(1 AS DOUBLE) FROM supplier JOIN nation ON s_nationkey = n_nationkey
         UNION ALL SELECT c_name, c_mktsegment, 'IN_SEGMENT', CAST(1 AS DOUBLE) FROM customer
-        UNION ALL SELECT s_name, p_brand, 'OWNS', CAST(count(*) AS DOUBLE) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_name, p_brand""",
-    "geo": """
-        SELECT n_name AS src, r_name AS dst, 'SEGMENT_OF' AS type FROM nation JOIN region ON n_regionkey = r_regionkey
-        UNION ALL SELECT s_name, n_name, 'OPERATES_IN' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-        UNION ALL SELECT DISTINCT a.n_name, b.n_name, 'TRADES_WITH' FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7 + 3) % 25 AND a.n_nationkey <> b.n_nationkey""",
+        UNION ALL SELECT s_name, 'Part#' || lpad(CAST(l_partkey AS VARCHAR), 9, '0'), 'OWNS', CAST(count(*) AS DOUBLE) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name, l_partkey
+        UNION ALL SELECT 'Part#' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), p_brand, 'OF_BRAND', CAST(1 AS DOUBLE) FROM part
+        UNION ALL SELECT a.n_name, b.n_name, 'TRADES_WITH', CAST(1 AS DOUBLE) FROM nation a JOIN nation b ON b.n_nationkey = (a.n_nationkey * 7 + 3) % 25 AND a.n_nationkey <> b.n_nationkey""",
+    "geo": "SELECT src, dst, type FROM edge",
+    "aligned": """
+        SELECT c_name AS id, c_custkey AS vec_id FROM customer WHERE c_custkey IN (SELECT vec_id FROM embeddings)
+        UNION ALL SELECT s_name, s_suppkey FROM supplier WHERE s_suppkey IN (SELECT vec_id FROM embeddings)""",
     "token": r"""
         SELECT file_name, doc_id, CAST(i AS BIGINT) AS pos, toks[i] AS token
         FROM (SELECT file_name, doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]') AS toks FROM doc) , LATERAL (SELECT unnest(range(1, len(toks) + 1)) AS i)""",
@@ -47,7 +50,7 @@ VIEWS = {
         FROM (SELECT id, file_name, position, unnest(tokens) AS t FROM chunk) WHERE regexp_matches(t, '[\p{L}\p{N}_]') GROUP BY ALL""",
     "mention": """
         SELECT chunk_id, file_name, term AS entity_id FROM term
-        WHERE length(term) >= 6 AND term IN (SELECT term FROM term GROUP BY term HAVING count(*) BETWEEN 2 AND 50)""",
+        WHERE length(term) >= 6 AND term IN (SELECT term FROM term GROUP BY term HAVING count(*) >= 2)""",
     "alike": """
         SELECT a.vec_id AS src, b.vec_id AS dst, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score
         FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id

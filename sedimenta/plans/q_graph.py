@@ -20,7 +20,7 @@ def TRAIL(start: str, depth: int, of: str = "u") -> str:
 
 
 def geo(spark: SparkSession, sf: str) -> DataFrame:
-    return fx.geography(spark, sf)
+    return fx.edges(spark, sf).select("src", "dst", "type")
 
 
 @query("SELECT DISTINCT type FROM edge")
@@ -38,6 +38,11 @@ def search_entities(spark: SparkSession, sf: str) -> DataFrame:
     return fx.entities(spark, sf).where((F.col("type") == "Company") & F.col("id").contains("00001")).select("id", "type").orderBy("id").limit(20)
 
 
+@query("SELECT id, type, description FROM entity WHERE id IN ('NATION_6', 'Customer#000000007', 'Part#000000003', 'BUILDING', 'nobody')")
+def entity_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    return G.fetch(fx.entities(spark, sf), ["NATION_6", "Customer#000000007", "Part#000000003", "BUILDING", "nobody"])
+
+
 @query("SELECT src, dst, type, coalesce(weight, 0.5) AS weight FROM edge WHERE dst = 'NATION_6' AND type = 'OPERATES_IN'")
 def search_relations(spark: SparkSession, sf: str) -> DataFrame:
     e = fx.edges(spark, sf).where((F.col("dst") == "NATION_6") & (F.col("type") == "OPERATES_IN"))
@@ -56,7 +61,7 @@ def paths_1_2_hop(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(TRAIL("a = 'NATION_6'", 3) + " SELECT array_to_string(nodes, ' > ') AS path, CAST(hops AS BIGINT) AS hops FROM t WHERE node = 'NATION_18' ORDER BY hops, path LIMIT 10")
 def all_paths(spark: SparkSession, sf: str) -> DataFrame:
-    t = G.trails(geo(spark, sf), F.col("node") == A, 3).where(F.col("node") == B)
+    t = G.trails_between(geo(spark, sf), A, B, 3)
     return t.select(F.array_join("nodes", " > ").alias("path"), F.col("hops").cast("long")).orderBy("hops", "path").limit(10)
 
 
@@ -100,12 +105,9 @@ def graph_overview(spark: SparkSession, sf: str) -> DataFrame:
     return G.induced(fx.edges(spark, sf), n, "id").select("src", "dst", "type")
 
 
-@query("WITH m AS (SELECT entity_id, chunk_id FROM mention) SELECT a.entity_id AS src, b.entity_id AS dst, CAST(count(*) AS BIGINT) AS n FROM m a JOIN m b ON a.chunk_id = b.chunk_id AND a.entity_id < b.entity_id WHERE starts_with(a.entity_id, 'schl') AND starts_with(b.entity_id, 'schl') GROUP BY ALL")
+@query()
 def graph_from_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    m = fx.mentions(spark, sf).where(F.col("entity_id").startswith("schl")).select("entity_id", "chunk_id")
-    a, b = m.alias("a"), m.alias("b")
-    j = a.join(b, (F.col("a.chunk_id") == F.col("b.chunk_id")) & (F.col("a.entity_id") < F.col("b.entity_id")))
-    return j.groupBy(F.col("a.entity_id").alias("src"), F.col("b.entity_id").alias("dst")).agg(F.count("*").alias("n"))
+    return G.co_mentions(fx.mentions(spark, sf))
 
 
 @query("SELECT id, type, description FROM entity UNION ALL SELECT 'Q-NEW', 'Company', 'added'")

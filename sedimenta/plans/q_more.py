@@ -18,10 +18,10 @@ from sedimenta.plans.registry import query
 from sedimenta.session import table
 
 
-@query("SELECT doc_id, CASE WHEN text IS NULL OR text = '' OR doc_id % 50 = 0 THEN '[Empty Chunk]' ELSE left(text, 40) END AS text, text IS NULL OR text = '' OR doc_id % 50 = 0 AS repaired FROM documents")
+@query("SELECT doc_id, md5(CASE WHEN text IS NULL OR text = '' OR doc_id % 50 = 0 THEN '[Empty Chunk]' ELSE text END) AS text_md5, text IS NULL OR text = '' OR doc_id % 50 = 0 AS repaired FROM documents")
 def repair_empty(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.substring("text", 1, 40)).alias("text"))
-    return R.fill_empty(d).select("doc_id", "text", "repaired")
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit(None)).otherwise(F.col("text")).alias("text"))
+    return R.fill_empty(d).select("doc_id", F.md5("text").alias("text_md5"), "repaired")
 
 
 @query("SELECT file_name AS src, id AS dst FROM chunk WHERE position = 1 AND doc_id % 9 = 0")

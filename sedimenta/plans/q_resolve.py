@@ -17,14 +17,19 @@ COMP = """u AS (SELECT src AS a, dst AS b FROM alike UNION SELECT dst, src FROM
 DEG = "d AS (SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM alike UNION ALL SELECT dst FROM alike) GROUP BY node)"
 
 
+MENTIONS = ("NATION_", "NATION_99", "AMERICAS", "Custmer#00000012", "ATLANTIS")
+
+
 def _degrees(s: DataFrame) -> DataFrame:
     return s.select(F.col("src").alias("node")).union(s.select(F.col("dst").alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-@query("SELECT a.id AS a, b.id AS b, CAST(levenshtein(lower(a.id), lower(b.id)) AS BIGINT) AS distance FROM entity a JOIN entity b ON a.type = b.type AND a.id < b.id WHERE a.type IN ('Brand', 'Geography', 'Region', 'BusinessSegment') AND levenshtein(lower(a.id), lower(b.id)) < 3")
+@query(f"""WITH RECURSIVE {COMP}, e AS (SELECT id, component FROM aligned JOIN c ON vec_id = node)
+SELECT a.id AS a, b.id AS b, CAST(levenshtein(lower(a.id), lower(b.id)) AS BIGINT) AS distance FROM e a JOIN e b ON a.component = b.component AND a.id < b.id WHERE levenshtein(lower(a.id), lower(b.id)) < 3""")
 def dup_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    e = fx.entities(spark, sf).where(F.col("type").isin("Brand", "Geography", "Region", "BusinessSegment"))
-    return R.edit_pairs(e, "type", 3)
+    c = connected_components(fx.similar(spark, sf))
+    e = fx.aligned(spark, sf).join(c, F.col("vec_id") == F.col("node")).select("id", "component")
+    return R.edit_pairs(e, "component", 3)
 
 
 @query(f"""WITH RECURSIVE {COMP}, {DEG}, x AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY coalesce(degree, 0) DESC, node) AS k, count(*) OVER (PARTITION BY component) AS n FROM c LEFT JOIN d USING (node))
@@ -57,39 +62,76 @@ def edge_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return both.join(back, ["src", "dst"], "left_anti")
 
 
-@query("""WITH m AS (SELECT unnest(['NATION_', 'NATION_99', 'AMERICAS', 'ATLANTIS']) AS mention), s AS (SELECT mention, id, round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6) AS score FROM m CROSS JOIN entity WHERE type IN ('Geography', 'Region'))
+@query("""WITH m AS (SELECT unnest(['NATION_', 'NATION_99', 'AMERICAS', 'Custmer#00000012', 'ATLANTIS']) AS mention), s AS (SELECT mention, id, round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6) AS score FROM m CROSS JOIN entity)
 SELECT mention, id, score FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r FROM s WHERE score >= 0.7) WHERE r <= 5""")
 def string_recall(spark: SparkSession, sf: str) -> DataFrame:
     return _recall(spark, sf).select("mention", "id", "score")
 
 
 def _recall(spark: SparkSession, sf: str) -> DataFrame:
-    m = spark.createDataFrame([(x,) for x in ("NATION_", "NATION_99", "AMERICAS", "ATLANTIS")], "mention string")
-    e = fx.entities(spark, sf).where(F.col("type").isin("Geography", "Region")).select("id")
+    return _recalled(fx.entities(spark, sf), spark.createDataFrame([(x,) for x in MENTIONS], "mention string"))
+
+
+def _recalled(entities: DataFrame, m: DataFrame) -> DataFrame:
+    """The five ids most like each of a handful of stated mentions; every entity is looked at."""
+    e = entities.select("id")
     longest = F.greatest(F.char_length("mention"), F.char_length("id"))
     # A similarity of 0.7 bounds the difference of lengths, so the mentions meet only such ids.
     near = F.abs(F.char_length("mention") - F.char_length("id")) <= 0.3 * longest
-    s = e.join(F.broadcast(m), near).withColumn("score", F.round(1 - F.levenshtein(F.lower("mention"), F.lower("id")) / longest, 6)).where("score >= 0.7")
+    s = e.join(F.broadcast(m.select("mention")), near).withColumn("score", F.round(1 - F.levenshtein(F.lower("mention"), F.lower("id")) / longest, 6)).where("score >= 0.7")
     return R.rank_first(s, "mention", [F.desc("score"), "id"], 5)
 
 
-@query("""WITH m AS (SELECT unnest(['NATION_', 'NATION_99', 'AMERICAS', 'ATLANTIS']) AS mention), s AS (SELECT mention, max(round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6)) AS best FROM m CROSS JOIN entity WHERE type IN ('Geography', 'Region') GROUP BY mention)
+@query("""WITH m AS (SELECT unnest(['NATION_', 'NATION_99', 'AMERICAS', 'Custmer#00000012', 'ATLANTIS']) AS mention), s AS (SELECT mention, max(round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6)) AS best FROM m CROSS JOIN entity GROUP BY mention)
 SELECT mention, best < 0.7 AS nil FROM s""")
 def disambiguate_nil(spark: SparkSession, sf: str) -> DataFrame:
-    m = spark.createDataFrame([(x,) for x in ("NATION_", "NATION_99", "AMERICAS", "ATLANTIS")], "mention string")
+    m = spark.createDataFrame([(x,) for x in MENTIONS], "mention string")
     best = _recall(spark, sf).groupBy("mention").agg(F.max("score").alias("best"))
     return m.join(best, "mention", "left").select("mention", (F.coalesce("best", F.lit(0.0)) < 0.7).alias("nil"))
 
 
-@query("""WITH t AS (SELECT left(src, 1) AS g, src AS id, type FROM edge WHERE type <> 'OWNS'), k AS (SELECT left(dst, 1) AS g, dst AS id, type FROM edge WHERE dst NOT LIKE 'Brand%'), n AS (SELECT DISTINCT * FROM (SELECT * FROM t WHERE length(id) < 16 UNION ALL SELECT * FROM k WHERE length(id) < 16)),
-s AS (SELECT g, id, list(type) AS types FROM n GROUP BY g, id)
-SELECT a.g AS "group", a.id AS a, b.id AS b, round(len(list_intersect(a.types, b.types)) / CAST(len(list_distinct(list_concat(a.types, b.types))) AS DOUBLE), 6) AS share FROM s a JOIN s b ON a.g = b.g AND a.id < b.id WHERE share < 0.5""")
+SETS = f"""{COMP}, {DEG}, x AS (SELECT node, component, row_number() OVER (PARTITION BY component ORDER BY coalesce(degree, 0) DESC, node) AS k FROM c LEFT JOIN d USING (node)),
+g AS (SELECT a.node, b.node AS canon FROM x a JOIN x b ON a.component = b.component AND b.k = 1),
+n AS (SELECT canon, id, list_sort(list(DISTINCT type)) AS types FROM aligned JOIN g ON vec_id = node JOIN edge ON id = src GROUP BY canon, id)"""
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    """``group`` (canonical vector), ``id``, ``types`` (of outgoing relations) of all aligned entities."""
+    s = fx.similar(spark, sf)
+    names = R.canonical(connected_components(s), _degrees(s))
+    names = names.unionByName(names.select(F.col("canonical_id").alias("node"), "canonical_id").distinct())
+    e = fx.aligned(spark, sf).join(names, F.col("vec_id") == F.col("node")).select("id", F.col("canonical_id").alias("group"))
+    return e.join(fx.edges(spark, sf).select(F.col("src").alias("id"), "type").distinct(), "id").groupBy("group", "id").agg(F.collect_set("type").alias("types"))
+
+
+@query(f"""WITH RECURSIVE {SETS}, s AS (SELECT canon, array_to_string(types, ',') AS t, types, CAST(count(*) AS BIGINT) AS members FROM n GROUP BY canon, types)
+SELECT a.canon AS "group", a.t AS a, b.t AS b, round(len(list_intersect(a.types, b.types)) / CAST(len(list_distinct(list_concat(a.types, b.types))) AS DOUBLE), 6) AS share, a.members AS members_a, b.members AS members_b FROM s a JOIN s b ON a.canon = b.canon AND a.t < b.t WHERE share < 0.5""")
 def conflict_jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    e = fx.edges(spark, sf)
-    out = e.where("type <> 'OWNS'").select(F.col("src").alias("id"), "type")
-    into = e.where("dst not like 'Brand%'").select(F.col("dst").alias("id"), "type")
-    n = out.union(into).where(F.length("id") < 16).groupBy(F.substring("id", 1, 1).alias("group"), "id").agg(F.collect_set("type").alias("types"))
-    return R.jaccard_conflict(n)
+    return R.jaccard_conflict(_typed(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {SETS} SELECT canon AS "group", id, array_to_string(types, ',') AS types FROM n""")
+def conflict_members(spark: SparkSession, sf: str) -> DataFrame:
+    return _typed(spark, sf).select("group", "id", F.array_join(F.array_sort("types"), ",").alias("types"))
+
+
+@query(f"""WITH RECURSIVE {SETS}, o AS (SELECT src AS id, count(*) AS degree FROM edge GROUP BY src)
+SELECT canon AS "group", id AS winner FROM (SELECT canon, id, row_number() OVER (PARTITION BY canon ORDER BY coalesce(degree, 0) DESC, id) AS r FROM n LEFT JOIN o USING (id)) WHERE r = 1""")
+def conflict_resolved(spark: SparkSession, sf: str) -> DataFrame:
+    degrees = fx.edges(spark, sf).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    return R.most_related(_typed(spark, sf), degrees)
+
+
+@query("""WITH m AS (SELECT * FROM (VALUES ('Custmer#00000012', 3), ('Supplier#00000001', 9)) t(mention, vec)), s AS (SELECT mention, vec, id, round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6) AS score FROM m CROSS JOIN entity),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r FROM s WHERE score >= 0.7) WHERE r <= 5),
+b AS (SELECT mention, id, round(0.4 * score + 0.6 * round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6), 6) AS blend FROM r JOIN aligned USING (id) JOIN embeddings v USING (vec_id) JOIN embeddings q ON q.vec_id = r.vec)
+SELECT mention, id, blend FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY blend DESC, id) AS k FROM b) WHERE k <= 3""")
+def disambiguate_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    m = spark.createDataFrame([("Custmer#00000012", 3), ("Supplier#00000001", 9)], "mention string, vec int")
+    v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    of = fx.aligned(spark, sf).join(v, "vec_id").select("id", "v")
+    asked = m.join(v, F.col("vec") == F.col("vec_id")).select("mention", F.col("v").alias("q"))
+    return R.rerank(_recalled(fx.entities(spark, sf), m), of, asked)
 
 
 @query("SELECT id FROM entity WHERE id NOT IN (SELECT dst FROM edge) AND id NOT IN (SELECT src FROM edge)")
