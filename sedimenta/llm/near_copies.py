@@ -26,6 +26,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 BANDS, ROWS = 25, 5
 #: Members that are compared with one other text in one group.
 BLOCK = 256
+#: Members of a bucket that pass by in one group.
+PASSING = 4096
 #: Rounds in which the members of a bucket are compared with one of them, before all pairs that are left.
 LEADERS = 1
 
@@ -116,6 +118,57 @@ def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
+def outside(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links ``src``, ``dst`` of the members outside a bucket's largest component with any that are not of theirs.
+
+    A group holds a block of such members; a part of the bucket passes by, one
+    text at a time. No pair becomes a row: only links leave a group, and none
+    between parts that the group has joined already. A row is copied once for
+    each block of members outside, these once for each part of the bucket.
+    """
+    spark = left.sparkSession
+    sizes = left.groupBy("t", "key", "part").agg(F.count("*").alias("c"))
+    top = sizes.groupBy("t", "key").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
+    top = top.select("t", "key", "top", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nf"), F.ceil(F.col("m") / PASSING).cast("int").alias("nm"))
+    x = left.join(top, ["t", "key"])
+    of = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = x.where("part <> top").select("t", "key", of("nf", 0).alias("f"), every("nm").alias("p"), F.lit(0).alias("k"), "node", "part")
+    passing = x.select("t", "key", every("nf").alias("f"), of("nm", 1).alias("p"), F.lit(1).alias("k"), "node", "part")
+    rows = held.unionByName(passing).join(texts, "node").select("t", "key", "f", "p", "k", "node", "part", "text")
+    groups = rows.repartition(wide(spark, 0, 1), "t", "key", "f", "p").sortWithinPartitions("t", "key", "f", "p", "k", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, mine, root = None, [], {}
+
+        def top_of(part: int) -> int:
+            while root.get(part, part) != part:
+                part = root[part]
+            return part
+
+        for batch in batches:
+            src, dst = [], []
+            for *group, k, node, part, text in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
+                if group != now:
+                    now, mine, root = group, [], {}
+                have = set(grams(text).tolist())
+                if k == 0:
+                    mine.append((node, part, have))
+                    continue
+                for other, its, held_set in mine:
+                    a, b = top_of(part), top_of(its)
+                    if a == b or min(len(have), len(held_set)) < SIMILARITY * max(len(have), len(held_set)) - 1e-9:
+                        continue
+                    both = len(have & held_set)
+                    if both >= SIMILARITY * (len(have) + len(held_set) - both) - 1e-9:
+                        root[a] = b
+                        src.append(other)
+                        dst.append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    return groups.mapInArrow(run, "src bigint, dst bigint")
+
+
 def covered(nodes: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` that operator 6's tables propose: each fingerprint's first node with its others, and first nodes of linked fingerprints."""
     first = nodes.groupBy("fp").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("an"))
@@ -134,8 +187,8 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     from keys of bands: all pairs that share one, save those that are
     joined already. Members of a bucket are compared with one of them first,
     then all that are outside the bucket's largest component with all
-    that are not of theirs. So no bucket gives all of its pairs where its
-    members are copies of each other, and no bucket is cut.
+    that are not of theirs (``outside``). So no bucket gives all of its pairs,
+    and no bucket is cut.
     """
     sets = settle(_sets(df, id_col, text_col), "sets")
     nodes = settle(sets.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
@@ -155,15 +208,12 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             break
         if step < LEADERS:
             lead = left.groupBy("t", "key").agg(F.min_by(F.struct("node", "n", "part"), F.xxhash64("node", F.lit(step))).alias("m")).select("t", "key", "m.*")
-            pairs = _pairs(lead, left)
+            pairs = settle(_pairs(lead, left), "pairs")
+            found = settle(confirmed(pairs, texts), "links")
+            done.append(pairs)
         else:
-            sizes = left.groupBy("t", "key", "part").agg(F.count("*").alias("c"))
-            top = sizes.groupBy("t", "key").agg(F.max_by("part", F.struct("c", "part")).alias("top"))
-            few = left.join(top, ["t", "key"]).where("part <> top").drop("top")
-            pairs = _pairs(few, left).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = settle(pairs, "pairs")
-        found = settle(confirmed(pairs, texts), "links")
-        done += [pairs, found, parts]
+            found = settle(outside(left, texts), "links")
+        done += [found, parts]
         links = links.unionByName(found)
         parts = settle(connected_components(links), "parts")
     unsettle(*done)
