@@ -143,7 +143,8 @@ def think_split(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", F.regexp_extract("t", "(?s)<think>(.*?)</think>", 1).alias("thinking"), F.regexp_replace("t", "(?s)<think>.*?</think>", "").alias("answer"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT conv_id, turn, regexp_extract_all(text, '[^.!?。！？\n]*[.!?。！？\n]\s*|[^.!?。！？\n]+') AS parts FROM conversations)
+SELECT conv_id, turn, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS n, regexp_replace(unnest(parts), '([.!?。！？\n])\s*$', '\1') AS sentence FROM p""")
 def sentence_stream(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
 

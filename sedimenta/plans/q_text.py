@@ -25,7 +25,25 @@ def pii_types(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.array_contains(found, "email").alias("email"), F.array_contains(found, "phone").alias("phone"))
 
 
-@query()
+def _replaced(text: str, rules: list[tuple[str, str, str]]) -> str:
+    """SQL that applies (pattern, replacement, flags) in turn."""
+    quote = lambda x: x.replace("'", "''")
+    for pattern, put, flags in rules:
+        text = f"regexp_replace({text}, '{quote(pattern)}', '{quote(put)}', '{flags}')"
+    return text
+
+
+# The supplemental patterns as the other engine writes them, without looking back.
+SUPPLEMENT = [
+    (r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b", "[PII:US_SSN]", "gi"), (r"(^|[^_])SSN[^\d\[]{0,20}\d{4}\b", r"\1[PII:US_SSN]", "gi"), (r"social\s+security[^\d\[]{0,20}\d{4}\b", "[PII:US_SSN]", "gi"),
+    (r"(?:routing|ABA)[^\d]{0,15}\d{9}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "gi"), (r"(?:account|acct)\.?\s*(?:#|number|no\.?)?[^\w]{0,5}\d{8,17}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "gi"),
+    (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "g"), (r"\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}\b", "[PII:CREDIT_CARD_NUMBER]", "gi"),
+    (r"(?:\+1[-\s]\d{3}[-\s]\d{3}[-\s]\d{4}|\(\d{3}\)\s*\d{3}[-.\s]\d{4}|\b\d{3}-\d{3}-\d{4}\b)", "[PII:PHONE_NUMBER]", "gi"),
+    (r"(?:born|birth(?:day|date)?|DOB|date\s+of\s+birth)[^\d]{0,20}(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2})", "[PII:DATE_OF_BIRTH]", "gi"),
+]
+
+
+@query(f"SELECT doc_id, md5({_replaced('text', SUPPLEMENT)}) AS masked_md5 FROM documents")
 def pii_mask_supplement(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.md5(T.mask_supplement(F.col("text"))).alias("masked_md5"))
@@ -50,7 +68,16 @@ def url_removal(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.md5(x).alias("clean_md5"))
 
 
-@query()
+HEAD = r"regexp_replace(base, '(?is)<SEC-HEADER>.*?</SEC-HEADER>', '', 'g')"
+PDF = _replaced("base", [(pattern, put.replace("$1", r"\1"), "g") for pattern, put in T.PDF_TRACES])
+HTML = _replaced(HEAD, [(pattern, "", "g") for pattern in T.XBRL_TRACES])
+
+
+@query(rf"""WITH d AS (SELECT doc_id, doc_id % 3 AS k, replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(0), '') AS base FROM documents),
+l AS (SELECT doc_id, generate_subscripts(string_split({HEAD}, chr(10)), 1) AS i, unnest(string_split({HEAD}, chr(10))) AS x FROM d WHERE k = 2),
+t AS (SELECT doc_id, coalesce(string_agg(CASE WHEN trim(x, ' ') = '' THEN x ELSE regexp_replace(regexp_replace(x, '_{{3,}}', ' ', 'g'), '[-=]{{3,}}', ' ', 'g') END, chr(10) ORDER BY i) FILTER (NOT regexp_matches(trim(x, ' '), '^[-_—–=]{{3,}}$')), '') AS c FROM l GROUP BY doc_id),
+c AS (SELECT doc_id, CASE k WHEN 0 THEN {PDF} WHEN 1 THEN {HTML} ELSE t.c END AS c FROM d LEFT JOIN t USING (doc_id))
+SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(c, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS clean_md5 FROM c""")
 def normalize_document(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.element_at(F.array(F.lit("pdf"), F.lit("html"), F.lit("txt")), (F.col("doc_id") % 3 + 1).cast("int"))
     return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize(F.col("text"), kind)).alias("clean_md5"))
