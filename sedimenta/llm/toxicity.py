@@ -253,7 +253,9 @@ def fit(df: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "d
     learner = GBTClassifier(featuresCol=VECTOR, maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, minInstancesPerNode=5)
     boosted = learner.fit(fitting)
     margins = boosted.transform(holding if both(holding) else fitting).select(vector_to_array("rawPrediction")[1].alias(MARGIN), "label")
-    steps = IsotonicRegression(featuresCol=MARGIN).fit(margins)
+    # Equal margins have one step between them, so each is one weighted row: none of them fills a task of the calibration's sort.
+    margins = margins.groupBy(MARGIN).agg(F.avg("label").alias("label"), F.count("*").cast("double").alias("weight"))
+    steps = IsotonicRegression(featuresCol=MARGIN, weightCol="weight").fit(margins)
     return Model(lexicon, read_trees(boosted.toDebugString), steps.boundaries.toArray(), steps.predictions.toArray(), base)
 
 
