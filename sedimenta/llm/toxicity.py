@@ -46,6 +46,8 @@ FEATURES = ["insults", "learned", "learned_max", "learned_hits", "near_second",
 WORD = re.compile(r"[^\W\d_]+")
 STRETCHED = re.compile(r"([^\W\d_])\1\1")
 OBFUSCATED = re.compile(r"[^\W\d_][@$*!|0-9]+[^\W\d_]|\b(?:[^\W\d_][.\-_ ]){3,}[^\W\d_]\b")
+#: Characters up to 127, and 128 for all others: 1 inside a disguised word, 2 maybe a letter, 3 between spaced letters.
+KINDS = np.array([1 if chr(i) in "@$*!|0123456789" else 2 if chr(i).isalpha() or i == 128 else 3 if chr(i) in ".-_ " else 0 for i in range(129)], np.int8)
 #: Characters that stand for letters in disguised words.
 PLAIN = str.maketrans("@$01345!7|", "asoieasitl")
 
@@ -54,6 +56,17 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def may_hold(text: str) -> tuple[bool, bool]:
+    """Whether STRETCHED, and whether OBFUSCATED, can match a text at all: tests over whole arrays that let every match through."""
+    c = codes(text)
+    same = c[1:] == c[:-1]
+    stretched = bool((same[1:] & same[:-1]).any())
+    kind = KINDS[np.minimum(c, 128)]
+    inside = (kind[1:] == 1) & (kind[:-1] == 2)
+    gap = kind == 3
+    return stretched, bool(inside.any() or (gap[:-4] & gap[2:-2] & gap[4:]).any())
+
+
 def units(text: str) -> set[str]:
     """What the lexicon may hold of a text: its words in lower case, and their beginnings (with a *)."""
     words = set(WORD.findall(text.lower()))
@@ -75,6 +88,7 @@ class Lexicon:
     other: int
 
     def __post_init__(self) -> None:
+        self.odds = {y: {u: o for u in self.counts if (o := self._odds(u, y)) > 0} for y in (0, 1, -1)}
         self.known = [Memo(lambda w, y=y: self._most(w, y), 80_000) for y in (0, 1, -1)]
 
     def __reduce__(self) -> tuple:  # what is remembered stays where it is
@@ -90,7 +104,8 @@ class Lexicon:
         return odds if odds >= ODDS else 0.0
 
     def _most(self, word: str, label: int) -> float:
-        return max(self._odds(x, label) for x in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)))
+        odds = self.odds[label].get
+        return max(odds(word, 0.0), *(odds(word[:n] + "*", 0.0) for n in STEMS)) if len(word) > STEMS[-1] else max(odds(x, 0.0) for x in (word, *(word[:n] + "*" for n in STEMS if len(word) > n)))
 
     def weights(self, words: list[str], label: int = -1) -> list[float]:
         return list(map(self.known[label].__getitem__, words))
@@ -113,7 +128,8 @@ def features(text: str, lexicon: Lexicon, label: int = -1) -> list[float]:
     size = len(text)
     capitals = int(np.count_nonzero(codes(text) != codes(low))) if len(low) == size else sum(map(str.isupper, text))
     disguised = 0
-    odd = [m.group() for m in OBFUSCATED.finditer(low)]
+    may_stretch, may_hide = may_hold(low)
+    odd = [m.group() for m in OBFUSCATED.finditer(low)] if may_hide else []
     if odd:
         disguised = sum(any(w in INSULTS or lexicon.weights([w], label)[0] > 0 for w in WORD.findall(t.translate(PLAIN))) for t in low.split() if not t.isalpha() and OBFUSCATED.search(t))
     shouted = sum(1 for w in text.split() if len(w) > 2 and w.isupper())
@@ -121,7 +137,7 @@ def features(text: str, lexicon: Lexicon, label: int = -1) -> list[float]:
     points = sum(text.count(c) for c in ".,;:!?*#$%&@")
     return [
         len(fixed) / n, sum(weights) / n, max(weights), math.log1p(len(hits)), near / n, capitals / size, shouted / n, marks / size,
-        points / size, len(odd) / n, sum(1 for _ in STRETCHED.finditer(low)) / n, math.log1p(disguised), math.log1p(n), sum(map(len, words)) / n,
+        points / size, len(odd) / n, sum(1 for _ in STRETCHED.finditer(low)) / n if may_stretch else 0.0, math.log1p(disguised), math.log1p(n), sum(map(len, words)) / n,
     ]
 
 

@@ -60,3 +60,25 @@ def test_odd_rows(spark, odd, nothing):
     got = tx.score(odd, model).collect()
     assert len(got) == odd.count() and len({r.score for r in got if r.doc_id in (1, 2)}) == 1
     assert tx.score(nothing, model).count() == 0 and tx.keep_civil(odd, model).columns == odd.columns
+
+
+def test_array_tests_let_every_match_through():
+    from random import Random
+
+    from sedimenta.llm import toxicity as t
+
+    rng = Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab  .-_@$*!|01éß٣ A\n,") for _ in range(rng.randrange(30))).lower()
+        stretched, hidden = t.may_hold(text)
+        assert stretched or not t.STRETCHED.search(text)
+        assert hidden or not t.OBFUSCATED.search(text)
+
+
+def test_weights_are_the_largest_odds_of_a_word_and_its_beginnings():
+    from sedimenta.llm import toxicity as t
+
+    lex = t.Lexicon({"blorf": (50, 3), "blor*": (80, 2), "zark": (40, 0)}, 1000, 9000)
+    for y in (-1, 0, 1):
+        want = [max(lex._odds(x, y) for x in (w, *(w[:n] + "*" for n in t.STEMS if len(w) > n))) for w in ("blorf", "blorfing", "zark", "zarkens", "other")]
+        assert lex.weights(["blorf", "blorfing", "zark", "zarkens", "other"], y) == want
