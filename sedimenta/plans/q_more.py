@@ -112,12 +112,6 @@ def union_groups(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(e).where(F.col("node").startswith("g"))
 
 
-@query("SELECT doc_id, '1A' AS item, substr(text, 1, 60) AS content FROM doc WHERE contains(lower(text), 'schlich') ORDER BY doc_id LIMIT 5")
-def section_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    d = fx.documents(spark, sf).where(F.lower("text").contains("schlich"))
-    return d.select("doc_id", F.lit("1A").alias("item"), F.substring("text", 1, 60).alias("content")).orderBy("doc_id").limit(5)
-
-
 @query("""WITH c AS (SELECT '0-' || n_regionkey AS id, CAST(count(*) AS BIGINT) AS community_rank, string_agg(n_name, ', ' ORDER BY n_name) AS summary FROM nation GROUP BY n_regionkey)
 SELECT id, community_rank, summary FROM c WHERE contains(summary, 'NATION_1') ORDER BY coalesce(community_rank, 0) DESC, id LIMIT 3""")
 def community_lookup(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,13 +75,17 @@ def html_strip(spark: SparkSession, sf: str) -> DataFrame:
     return t.select(F.col("doc_id").alias("page_id"), F.md5("text").alias("text_md5"), F.char_length("text").alias("n"))
 
 
-@query(rf"""WITH l AS (SELECT doc_id, content, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM heading_doc),
+#: Sections of ``heading_doc``, in SQL.
+SECTIONS = rf"""l AS (SELECT doc_id, content, unnest(string_split(content, chr(10))) AS x, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM heading_doc),
 o AS (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off, regexp_matches(x, '(?i)^item\s+\d{{1,2}}[a-z]?(?:\.\d{{2}})?[\s.\-–—:]+') AS h FROM l),
 n AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
 g AS (SELECT doc_id, k, min(off) AS off, regexp_replace(string_agg(x, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS body, arg_min(x, i) AS head, any_value(length(content)) AS total FROM n WHERE k > 0 GROUP BY doc_id, k),
-e AS (SELECT *, upper(regexp_extract(head, '(?i)^item\s+(\d{{1,2}}[a-z]?)', 1)) AS item, coalesce(lead(off) OVER (PARTITION BY doc_id ORDER BY k), total) AS stop FROM g)
-SELECT doc_id, item, trim(regexp_extract(head, '(?i)^item\s+\d{{1,2}}[a-z]?(?:\.\d{{2}})?[\s.\-–—:]+(.*)$', 1)) AS title, CAST(off AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", md5(body) AS content_md5
-FROM e WHERE item IN ({', '.join(repr(x) for x in ITEMS['10-K'])}) AND length(body) >= {DEFAULTS.section_min_length}""")
+e AS (SELECT *, upper(regexp_extract(head, '(?i)^item\s+(\d{{1,2}}[a-z]?)', 1)) AS item, coalesce(lead(off) OVER (PARTITION BY doc_id ORDER BY k), total) AS stop FROM g),
+s AS (SELECT doc_id, item, trim(regexp_extract(head, '(?i)^item\s+\d{{1,2}}[a-z]?(?:\.\d{{2}})?[\s.\-–—:]+(.*)$', 1)) AS title, CAST(off AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", body AS content
+FROM e WHERE item IN ({', '.join(repr(x) for x in ITEMS['10-K'])}) AND length(body) >= {DEFAULTS.section_min_length})"""
+
+
+@query(f'WITH {SECTIONS} SELECT doc_id, item, title, start, "end", md5(content) AS content_md5 FROM s')
 def filing_sections(spark: SparkSession, sf: str) -> DataFrame:
     return sections(fx.headed(spark, sf)).select("doc_id", "item", "title", "start", "end", F.md5("content").alias("content_md5"))
 
