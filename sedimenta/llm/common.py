@@ -81,6 +81,15 @@ def kept(df: DataFrame, text_col: str, keep: Callable[[list[str]], list[bool]])
     return df.mapInArrow(run, df.schema)
 
 
+#: White space between words; a word is a run of anything else.
+SPACE = "[\\x20\\x09-\\x0D]"
+
+
+def words(text: Column) -> Column:
+    """The words of a text that is not null."""
+    return F.array_remove(F.split(text, f"{SPACE}+", -1), "")
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import fingerprint, html_extract, language, packing, secret_scan, sentencepieces, simhash, toxicity, url_filter, vector_search
+from sedimenta.llm import filter_audit, fingerprint, html_extract, language, packing, quality_rules, secret_scan, sentencepieces, simhash, toxicity, url_filter, vector_codes, vector_search
 from sedimenta.llm.common import held_out
-from sedimenta.session import table
+from sedimenta.session import settle, table
 
 #: The stated rules of the URL filter's query.
 PATH_RULES = [
@@ -65,8 +65,26 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = settle(quality_rules.features(table(spark, sf_dir, "documents")), "counted")
+    judged = quality_rules.judge(counted, quality_rules.fit(counted))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_secret_scan, op2_url_filter, op3_sentencepiece, op4_fingerprint, op5_toxicity, op6_simhash, op7_html_text, op8_language, op9_packing, op10_nearest)
-}
-#: None of the ten can be said in SQL: each has a trained model, a tokenizer, a seeded hash or graph reachability in it.
-ORACLE_SQL: dict[str, str] = {}
+    f.__name__: f
+    for f in (
+        op1_secret_scan, op2_url_filter, op3_sentencepiece, op4_fingerprint, op5_toxicity, op6_simhash, op7_html_text, op8_language, op9_packing, op10_nearest, op11_vector_codes, op12_quality_rules,
+        op13_filter_audit,
+    )
+}
+#: The others cannot be said in SQL: each has a trained model, a tokenizer, a seeded hash or graph reachability in it.
+ORACLE_SQL: dict[str, str] = {"op11_vector_codes": vector_codes.oracle_sql(), "op13_filter_audit": filter_audit.ORACLE_SQL}

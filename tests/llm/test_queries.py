@@ -4,4 +4,4 @@ def test_registered():
 
     names = e.queries()
     assert [n for n in QUERIES if n in names] == list(QUERIES) and "pipeline" in names
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
