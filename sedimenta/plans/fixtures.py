@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import tokens
 from sedimenta.operators.chunks import fixed_windows
+from sedimenta.operators.text_index import TextIndex
 from sedimenta.operators.vector import similar_pairs
-from sedimenta.session import table
+from sedimenta.session import scratch_dir, stamp, table
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,16 +93,24 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def terms(spark: SparkSession, sf: str) -> DataFrame:
-    """``chunk_id``, ``file_name``, ``position``, ``term``, ``tf`` of every chunk."""
-    word = chunks(spark, sf).select(F.col("id").alias("chunk_id"), "file_name", "position", F.explode("tokens").alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}_]"))
-    return word.groupBy("chunk_id", "file_name", "position", F.lower("t").alias("term")).agg(F.count("*").alias("tf"))
+    """``chunk_id``, ``file_name``, ``doc_id``, ``position``, ``term``, ``tf`` of every chunk."""
+    word = chunks(spark, sf).select(F.col("id").alias("chunk_id"), "file_name", "doc_id", "position", F.explode("tokens").alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}_]"))
+    return word.groupBy("chunk_id", "file_name", "doc_id", "position", F.lower("t").alias("term")).agg(F.count("*").alias("tf"))
+
+
+def index(spark: SparkSession, sf: str) -> TextIndex:
+    """The stored index of all chunks' terms; the first call over a table builds it in the shared folder, later ones read it."""
+    ix = TextIndex(spark, f"{scratch_dir(spark).rstrip('/')}/text-index-{stamp(spark, sf, 'documents')}", ("file_name", "doc_id"))
+    ix.append(terms(spark, sf), "documents")
+    return ix
 
 
 def mentions(spark: SparkSession, sf: str) -> DataFrame:
     """``chunk_id``, ``file_name``, ``entity_id``: terms of six characters or more that are in two chunks or more."""
-    t = terms(spark, sf).where(F.length("term") >= 6)
-    some = t.groupBy("term").agg(F.count("*").alias("df")).where("df >= 2").select("term")
-    return t.join(some, "term").select("chunk_id", "file_name", F.col("term").alias("entity_id"))
+    ix = index(spark, sf)
+    long = ix.blocks().where(F.length("term") >= 6)
+    some = long.groupBy("term").agg(F.sum("n").alias("df")).where("df >= 2").select("term")
+    return ix.opened(long.join(some, "term")).select(F.col("id").alias("chunk_id"), "file_name", F.col("term").alias("entity_id"))
 
 
 def similar(spark: SparkSession, sf: str, cutoff: float = 0.38) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -68,3 +69,14 @@ def unsettle(*settled: DataFrame) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's Parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stamp(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A digest of the files of a table: their paths, lengths and times of change. What is derived from the table and stored under it is never stale."""
+    hadoop = spark._jsparkSession.sessionState().newHadoopConf()
+    told = []
+    for f in sorted(table(spark, sf_dir, name).inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(f))
+        s = at.getFileSystem(hadoop).getFileStatus(at)
+        told.append(f"{f}:{s.getLen()}:{s.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()[:16]
