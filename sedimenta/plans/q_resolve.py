@@ -69,17 +69,17 @@ def string_recall(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _recall(spark: SparkSession, sf: str) -> DataFrame:
-    return _recalled(fx.entities(spark, sf), spark.createDataFrame([(x,) for x in MENTIONS], "mention string"))
+    return R.recalled(fx.entities(spark, sf), spark.createDataFrame([(x,) for x in MENTIONS], "mention string"))
 
 
-def _recalled(entities: DataFrame, m: DataFrame) -> DataFrame:
-    """The five ids most like each of a handful of stated mentions; every entity is looked at."""
-    e = entities.select("id")
-    longest = F.greatest(F.char_length("mention"), F.char_length("id"))
-    # A similarity of 0.7 bounds the difference of lengths, so the mentions meet only such ids.
-    near = F.abs(F.char_length("mention") - F.char_length("id")) <= 0.3 * longest
-    s = e.join(F.broadcast(m.select("mention")), near).withColumn("score", F.round(1 - F.levenshtein(F.lower("mention"), F.lower("id")) / longest, 6)).where("score >= 0.7")
-    return R.rank_first(s, "mention", [F.desc("score"), "id"], 5)
+@query("""WITH m AS (SELECT DISTINCT left(id, 2) || substr(id, 4) || CASE type WHEN 'Brand' THEN 'x' ELSE '' END AS mention FROM entity WHERE type <> 'Part' AND type <> 'Company'),
+s AS (SELECT mention, id, round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6) AS score FROM m CROSS JOIN (SELECT DISTINCT id FROM entity))
+SELECT mention, id, score, CAST(r AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, id) AS r FROM s WHERE score >= 0.7) WHERE r <= 5""")
+def mention_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with a letter left out (and one put in, for brands) as mentions, each linked to the five ids most like it."""
+    e = fx.entities(spark, sf)
+    wrong = F.concat(F.substring("id", 1, 2), F.substring(F.col("id"), F.lit(4), F.char_length("id")), F.when(F.col("type") == "Brand", "x").otherwise(""))
+    return R.recalled(e, e.where("type <> 'Part' and type <> 'Company'").select(wrong.alias("mention")))
 
 
 @query("""WITH m AS (SELECT unnest(['NATION_', 'NATION_99', 'AMERICAS', 'Custmer#00000012', 'ATLANTIS']) AS mention), s AS (SELECT mention, max(round(1 - levenshtein(lower(mention), lower(id)) / CAST(greatest(length(mention), length(id)) AS DOUBLE), 6)) AS best FROM m CROSS JOIN entity GROUP BY mention)
@@ -131,7 +131,7 @@ def disambiguate_rerank(spark: SparkSession, sf: str) -> DataFrame:
     v = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     of = fx.aligned(spark, sf).join(v, "vec_id").select("id", "v")
     asked = m.join(v, F.col("vec") == F.col("vec_id")).select("mention", F.col("v").alias("q"))
-    return R.rerank(_recalled(fx.entities(spark, sf), m), of, asked)
+    return R.rerank(R.recalled(fx.entities(spark, sf), m), of, asked)
 
 
 @query("SELECT id FROM entity WHERE id NOT IN (SELECT dst FROM edge) AND id NOT IN (SELECT src FROM edge)")
