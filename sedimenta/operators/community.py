@@ -10,11 +10,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.components import connected_components
-from sedimenta.session import settle
+from sedimenta.session import settle, unsettle
+
+
+#: Turns in which nodes may join parts of their community.
+REFINE = 4
 
 
 def _moved(e: DataFrame, part: DataFrame, m: float, gamma: float, turn: int) -> DataFrame:
-    """Nodes whose turn it is go to the neighbouring community of the largest gain in modularity, others stay.
+    """Nodes whose turn it is go to the neighbouring community of the largest gain in modularity, others stay; ``moved`` marks those that went.
 
     Only a half of the nodes, by a hash of node and turn, moves at once: two
     neighbours that would swap for ever do not move together each time.
@@ -28,17 +32,81 @@ def _moved(e: DataFrame, part: DataFrame, m: float, gamma: float, turn: int) ->
     rest = F.when(F.col("c") == F.col("own"), F.col("kc") - F.col("k")).otherwise(F.col("kc"))
     gain = F.round(F.col("w") / m - gamma * F.col("k") * rest / (2 * m * m), 12)
     best = s.groupBy("a").agg(F.min_by("c", F.struct(-gain, (F.col("c") != F.col("own")).cast("int"), F.col("c"))).alias("best"), F.first("own").alias("own"), F.first("k").alias("k"))
-    mine = F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0
-    return best.select(F.col("a").alias("node"), F.when(mine, F.col("best")).otherwise(F.col("own")).alias("c"), "k")
+    goes = (F.pmod(F.xxhash64("a", F.lit(turn)), F.lit(2)) == 0) & (F.col("best") != F.col("own"))
+    return best.select(F.col("a").alias("node"), F.when(goes, F.col("best")).otherwise(F.col("own")).alias("c"), "k", goes.alias("moved"))
+
+
+def _within(level: DataFrame, part: DataFrame, label: str = "c") -> DataFrame:
+    """Edges, loops among them, whose ends have one label: ``a``, ``b``, ``w``, and the label."""
+    ends = [part.select(F.col("node").alias(n), F.col(label).alias(f"{label}_{n}")) for n in ("a", "b")]
+    return level.join(ends[0], "a").join(ends[1], "b").where(F.col(f"{label}_a") == F.col(f"{label}_b")).select("a", "b", "w", F.col(f"{label}_a").alias(label))
+
+
+def _quality(level: DataFrame, part: DataFrame, m: float, gamma: float) -> float:
+    """Modularity of a partition (``node``, ``c``, ``k``) of a level's graph."""
+    inside = _within(level, part).agg(F.sum("w")).first()[0] or 0.0
+    by_chance = part.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum((F.col("k") / (2 * m)) ** 2)).first()[0] or 0.0
+    return inside / (2 * m) - gamma * by_chance
+
+
+def _connected(level: DataFrame, part: DataFrame) -> DataFrame:
+    """The partition with each community cut into its connected parts, which never lowers its modularity."""
+    inside = _within(level, part).where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    cc = connected_components(inside)
+    return part.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("c"), "k")
+
 
+def _refined(level: DataFrame, part: DataFrame, m: float, gamma: float, turns: int, seed: int, randomness: float) -> DataFrame:
+    """``node``, ``r``: parts of each community that grow from single nodes.
 
-def leiden(edges: DataFrame, gamma: float = 1.0, levels: int = 3, turns: int = 6) -> DataFrame:
+    A node that is still alone, and has at least as much weight to the rest of
+    its community as chance would give, joins a part of the community with
+    such weight to the rest of it that it has an edge to, if that loses no
+    modularity. Which one is drawn, the likelier the larger the gain. Those
+    that may move in a turn and those that may be joined are told apart by a
+    hash, so nobody joins a node that leaves; a part that has grown never
+    moves, so it stays connected.
+    """
+    inside = settle(_within(level, part).where("a <> b"), "inside")
+    whole = part.groupBy("c").agg(F.sum("k").alias("kc"))
+    to_rest = inside.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("wc"))
+    enough = lambda w, k: F.col(w) >= gamma * F.col(k) * (F.col("kc") - F.col(k)) / (2 * m) - 1e-12
+    state = part.join(whole, "c").join(to_rest, "node", "left").withColumn("wc", F.coalesce("wc", F.lit(0.0)))
+    state = settle(state.select("node", F.col("node").alias("r"), "k", "kc", enough("wc", "k").alias("bound")), "refined")
+    for t in range(turns):
+        who = state.select("node", "r", "k", "kc", "bound")
+        parts = who.groupBy("r").agg(F.sum("k").alias("kr"), F.first("kc").alias("kc"), F.count("*").alias("n"))
+        r1, r2 = who.select(F.col("node").alias("a"), F.col("r").alias("ra")), who.select(F.col("node").alias("b"), F.col("r").alias("rb"))
+        cut = inside.join(r1, "a").join(r2, "b").where("ra <> rb").groupBy(F.col("ra").alias("r")).agg(F.sum("w").alias("cut"))
+        leaves = lambda c: F.pmod(F.xxhash64(c, F.lit(seed), F.lit(t)), F.lit(2)) == 0
+        parts = parts.join(cut, "r").withColumn("alone", F.col("n") == 1)
+        target = parts.where((~F.col("alone") | ~leaves("r")) & enough("cut", "kr")).select(F.col("r").alias("rb"), "kr")
+        mover = who.join(parts.where("alone").select("r"), "r").where(F.col("bound") & leaves("node")).select(F.col("node").alias("a"), "k")
+        w = inside.join(mover, "a").join(r2, "b").groupBy("a", "k", "rb").agg(F.sum("w").alias("w")).join(target, "rb")
+        gain = F.col("w") - gamma * F.col("k") * F.col("kr") / (2 * m)
+        u = (F.pmod(F.xxhash64("a", "rb", F.lit(seed), F.lit(t)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+        key = F.col("gain") / (F.col("k") * randomness) - F.log(-F.log(u))  # the largest of these is a draw with chances by exp(gain)
+        drawn = w.withColumn("gain", gain).where("gain >= 0").groupBy(F.col("a").alias("node")).agg(F.max_by("rb", F.struct(key, "rb")).alias("to"))
+        before, state = state, settle(state.join(drawn, "node", "left").withColumn("r", F.coalesce("to", "r")).drop("to"), "refined")
+        unsettle(before)
+    unsettle(inside)
+    return state.select("node", "r")
+
+
+def leiden(edges: DataFrame, gamma: float = 1.0, levels: int = 3, turns: int = 8, tolerance: float = 1e-4, seed: int = 0, randomness: float = 0.05) -> DataFrame:
     """``node``, ``level``, ``community`` of a hierarchy; needs ``src``, ``dst``, ``weight``.
 
-    A level moves nodes for ``turns`` turns, then splits each community into
-    its connected parts, so that every community is connected, and makes them
-    the nodes of the next level. Loops keep weight inside a community. Nodes
-    get numbers, so labels are small; the names come back at the end.
+    A level moves nodes for ``turns`` turns or until none moves, and cuts
+    communities into connected parts; if it ended under the modularity that it
+    began with, its beginning stands. Then every community is refined into
+    well-connected parts, which become the nodes of the next level; that one
+    starts from the communities, not from the parts. It ends after ``levels``
+    levels, or with the first that gains less than ``tolerance``. So every community
+    is connected and no level has less modularity than the one before.
+
+    Directions and repeated edges add up, loops keep weight inside a
+    community, edges with a null end are left out. The same seed gives the
+    same result. An empty table gives an empty result.
     """
     given = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     names = given.select(F.col("src").alias("name")).union(given.select("dst")).distinct()
@@ -48,26 +116,50 @@ def leiden(edges: DataFrame, gamma: float = 1.0, levels: int = 3, turns: int = 6
     level = settle(e.union(e.select("b", "a", "w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "leiden")
     m = (level.agg(F.sum("w")).first()[0] or 0.0) / 2
     place = base.select("name", F.col("id").alias("node"))
-    out = None
+    degree = lambda: level.groupBy("a").agg(F.sum("w").alias("k"))
+    part = settle(degree().select(F.col("a").alias("node"), F.col("a").alias("c"), "k"), "leiden")
+    out, before = None, -1.0
     for n in range(levels):
-        part = settle(level.groupBy("a").agg(F.sum("w").alias("k")).select(F.col("a").alias("node"), F.col("a").alias("c"), "k"), "leiden")
-        outer = level.where("a <> b")
-        for t in range(turns):
-            part = settle(_moved(outer, part, m, gamma, n * turns + t), "leiden") if m else part
-        c1, c2 = part.select(F.col("node").alias("a"), F.col("c").alias("c1")), part.select(F.col("node").alias("b"), F.col("c").alias("c2"))
-        inside = outer.join(c1, "a").join(c2, "b").where("c1 = c2").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        cc = connected_components(inside)
-        fine = part.join(cc, "node", "left").select("node", F.coalesce("component", "node").alias("c"))
-        fine = settle(fine, "leiden")
-        place = settle(place.join(fine, "node").select("name", F.col("c").alias("node")), "leiden")
-        one = place.select(F.col("name").alias("node"), F.lit(n).alias("level"), F.col("node").alias("community"))
+        outer, start, quiet = level.where("a <> b"), part, 0
+        began = _quality(level, start, m, gamma) if m else 0.0
+        for t in range(turns if m else 0):
+            last, part = part, settle(_moved(outer, part.select("node", "c", "k"), m, gamma, seed + n * turns + t), "leiden")
+            if last is not start:
+                unsettle(last)
+            quiet = 0 if part.where("moved").head(1) else quiet + 1
+            if quiet == 3:  # each time another half of the nodes could have moved
+                break
+        part = settle(_connected(level, part), "leiden")
+        now = _quality(level, part, m, gamma) if m else 0.0
+        if now < began:
+            part, now = start, began
+        gained, before = now - before, now
+        one = place.join(part.select("node", "c"), "node").select(F.col("name").alias("node"), F.lit(n).alias("level"), F.col("c").alias("community"))
         out = one if out is None else out.unionByName(one)
-        f1, f2 = fine.select(F.col("node").alias("a"), F.col("c").alias("x")), fine.select(F.col("node").alias("b"), F.col("c").alias("y"))
-        merged = level.join(f1, "a").join(f2, "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w"))
-        level = settle(merged, "leiden")
+        if n + 1 == levels or not m or gained < tolerance:
+            break
+        fine = settle(_refined(level, part, m, gamma, REFINE, seed + n, randomness), "leiden")
+        place = settle(place.join(fine, "node").select("name", F.col("r").alias("node")), "leiden")
+        up = settle(part.join(fine, "node").groupBy(F.col("r").alias("node")).agg(F.first("c").alias("c"), F.sum("k").alias("k")), "leiden")
+        f1, f2 = fine.select(F.col("node").alias("a"), F.col("r").alias("x")), fine.select(F.col("node").alias("b"), F.col("r").alias("y"))
+        level = settle(level.join(f1, "a").join(f2, "b").groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("w")), "leiden")
+        part = up
     return out
 
 
+def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """``level``, ``communities``, ``modularity`` of every level of ``members`` (``node``, ``level``, ``community``) over ``src``, ``dst``, ``weight``.
+
+    Loops count as weight inside their community; edges with an end that a level does not hold are left out of it.
+    """
+    at = [members.select(F.col("node").alias(end), F.col("level"), F.col("community").alias(f"c_{end}")) for end in ("src", "dst")]
+    e = edges.where("src is not null and dst is not null").select("src", "dst", F.col("weight").cast("double").alias("w")).join(at[0], "src").join(at[1], ["dst", "level"])
+    both = e.select("level", F.explode(F.array("c_src", "c_dst")).alias("c"), "w", F.when(F.col("c_src") == F.col("c_dst"), F.col("w")).otherwise(0.0).alias("inside"))
+    one = both.groupBy("level", "c").agg(F.sum("w").alias("d"), F.sum("inside").alias("inside"))  # each edge twice
+    all_ = one.groupBy("level").agg(F.count("*").alias("communities"), F.sum("d").alias("m2"), F.sum("inside").alias("inside"), F.sum(F.col("d") ** 2).alias("d2"))
+    return all_.select("level", "communities", F.round(F.try_divide("inside", "m2") - gamma * F.try_divide("d2", F.col("m2") ** 2), 9).alias("modularity"))
+
+
 def overlapping(edges: DataFrame, turns: int = 10, least: float = 0.2) -> DataFrame:
     """``node``, ``label``, ``share``: labels that speaker-listener propagation leaves a node with at least ``least`` of the time.
 

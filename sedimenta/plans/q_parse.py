@@ -95,6 +95,16 @@ def leiden_communities(spark: SparkSession, sf: str) -> DataFrame:
     return M.leiden(fx.edges(spark, sf))
 
 
+@query("""WITH e AS (SELECT left(src, 4) AS a, left(dst, 4) AS b, weight AS w FROM edge), t AS (SELECT sum(w) AS m FROM e),
+d AS (SELECT c, sum(w) AS k FROM (SELECT a AS c, w FROM e UNION ALL SELECT b, w FROM e) GROUP BY c)
+SELECT CAST(0 AS INTEGER) AS level, CAST((SELECT count(*) FROM d) AS BIGINT) AS communities, round((SELECT sum(w) FROM e WHERE a = b) / m - (SELECT sum(k * k) FROM d) / (4 * m * m), 9) AS modularity FROM t""")
+def partition_modularity(spark: SparkSession, sf: str) -> DataFrame:
+    """Modularity of the partition by the first four letters of names: what Leiden's levels are measured with."""
+    e = fx.edges(spark, sf)
+    nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    return M.modularity(e, nodes.select("node", F.lit(0).alias("level"), F.substring("node", 1, 4).alias("community")))
+
+
 @query()
 def sllpa_communities(spark: SparkSession, sf: str) -> DataFrame:
     return M.overlapping(fx.edges(spark, sf))
