@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,8 @@ from sedimenta.operators.chunks import first_links, next_links
 from sedimenta.operators.components import connected_components
 from sedimenta.plans import fixtures as fx
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import scratch_dir, table
+from sedimenta.sources.keyed_store import KeyedStore
 
 COMP = """u AS (SELECT src AS a, dst AS b FROM alike UNION SELECT dst, src FROM alike), r AS (SELECT a AS node, a AS reach FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.reach = u.a), c AS (SELECT node, min(reach) AS component FROM r GROUP BY node)"""
 DEG = "d AS (SELECT node, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS node FROM alike UNION ALL SELECT dst FROM alike) GROUP BY node)"
@@ -249,3 +252,24 @@ def community_describe(spark: SparkSession, sf: str) -> DataFrame:
     line = F.concat(F.lit("id: "), F.col("n_name"), F.lit(", type: Geography"))
     g = table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("community")).agg(F.array_sort(F.collect_list(F.struct("n_name", line.alias("line")))).alias("x"))
     return g.select("community", F.concat(F.lit("Nodes are:\n"), F.array_join(F.transform("x", lambda s: s["line"]), "\n")).alias("text"))
+
+
+@query("""WITH o AS (SELECT id, type, description, 1 AS created, 1 AS updated FROM entity),
+n AS (SELECT id, type, CASE WHEN type = 'Brand' THEN NULL ELSE 'changed ' || id END AS description FROM entity WHERE type IN ('Supplier', 'Brand')
+  UNION ALL SELECT 'NEW_' || id, 'Region', 'added' FROM entity WHERE type = 'Region')
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.type, o.type) AS type, coalesce(n.description, o.description) AS description, CAST(coalesce(o.created, 2) AS INTEGER) AS created, CAST(CASE WHEN n.id IS NULL THEN 1 ELSE 2 END AS INTEGER) AS updated
+FROM o FULL JOIN n ON o.id = n.id WHERE coalesce(n.id, o.id) NOT LIKE 'NATION%'""")
+def graph_store(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities written to a keyed store in three commits (all, changed and new ones, nations deleted), the second one tried twice."""
+    store = KeyedStore(spark, f"{scratch_dir(spark).rstrip('/')}/graph-{uuid.uuid4().hex}", ("id",), 16)
+    e = fx.entities(spark, sf).select("id", "type", "description")
+    turn = lambda n: [F.lit(n).alias("created"), F.lit(n).alias("updated")]
+    store.upsert(e.select("*", *turn(1)), "load", keep=("created",))
+    text = F.when(F.col("type") == "Brand", F.lit(None)).otherwise(F.concat(F.lit("changed "), "id"))
+    changed = e.where("type in ('Supplier', 'Brand')").select("id", "type", text.alias("description"), *turn(2))
+    new = e.where("type = 'Region'").select(F.concat(F.lit("NEW_"), "id").alias("id"), "type", F.lit("added").alias("description"), *turn(2))
+    nameless = e.where("type = 'Region'").select(F.lit(None).cast("string").alias("id"), "type", "description", *turn(2))
+    for _ in range(2):
+        store.upsert(changed.unionByName(new).unionByName(nameless), "change", keep=("created",))
+    store.delete(e.where("id like 'NATION%'").select("id"), "delete nations")
+    return store.read()
