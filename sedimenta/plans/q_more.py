@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,8 @@ from sedimenta.operators.upsert import overlay
 from sedimenta.plans import fixtures as fx
 from sedimenta.plans.q_graph import TRAIL, geo
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import scratch_dir, table
+from sedimenta.streaming.registry import EVENT, FileRegistry
 
 
 @query("SELECT doc_id, md5(CASE WHEN text IS NULL OR text = '' OR doc_id % 50 = 0 THEN '[Empty Chunk]' ELSE text END) AS text_md5, text IS NULL OR text = '' OR doc_id % 50 = 0 AS repaired FROM documents")
@@ -156,6 +159,24 @@ def registry_update(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("event_type").agg(F.max("event_id").alias("last_event"), F.max_by("user_id", "event_id").alias("last_user"), F.count("*").alias("n"))
 
 
+@query("""WITH e AS (SELECT 'file ' || user_id AS path, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(CAST(floor(value) AS BIGINT) % 3 AS VARCHAR) END AS hash, event_id AS seq FROM events),
+c AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY seq) AS before FROM e),
+d AS (SELECT *, CASE WHEN hash IS NOT NULL AND before IS NULL THEN 'added' WHEN hash <> before THEN 'modified' WHEN hash IS NULL AND before IS NOT NULL THEN 'deleted' ELSE 'unchanged' END AS change FROM c)
+SELECT path, arg_max(coalesce(hash, ''), seq) AS hash, arg_max(change, seq) AS status, CAST(count(*) FILTER (change <> 'unchanged') AS BIGINT) AS changes, CAST(min(seq) AS BIGINT) AS first_seq, CAST(max(seq) AS BIGINT) AS last_seq FROM d GROUP BY path""")
+def file_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as files and their events as sightings, taken in by three runs of a stream over a folder that grows; equal to one pass over all of them."""
+    base = f"{scratch_dir(spark).rstrip('/')}/registry-{uuid.uuid4().hex}"
+    e = table(spark, sf, "events")
+    seen = F.when(F.col("event_type") != "error", (F.floor("value").cast("long") % 3).cast("string"))
+    events = e.select(F.concat(F.lit("file "), "user_id").alias("path"), seen.alias("hash"), F.col("event_id").alias("seq"))
+    registry = FileRegistry(spark, f"{base}/registry")
+    n = e.agg(F.max("event_id")).first()[0] or 0
+    for i in range(3):
+        events.where(F.col("seq").between(n * i // 3 + (i > 0), n * (i + 1) // 3)).coalesce(1).write.mode("append").parquet(f"{base}/events")
+        registry.run(spark.readStream.schema(EVENT).parquet(f"{base}/events"))
+    return registry.read().withColumn("hash", F.coalesce("hash", F.lit("")))
+
+
 @query()
 def request_batches(spark: SparkSession, sf: str) -> DataFrame:
     d = fx.documents(spark, sf).select(F.col("file_name").alias("path"), F.octet_length("text").alias("size"))
