@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.config import DEFAULTS
@@ -25,6 +25,18 @@ def bm25(postings: DataFrame, query: list[str], k1: float = DEFAULTS.bm25_k1, b:
     return s.select("chunk_id", part.alias("p")).groupBy("chunk_id").agg(F.round(F.sum("p"), 6).alias("score"))
 
 
+def term_counts(tokens: Column) -> Column:
+    """Array of (term, tf) of an array of texts, each text once: they are sorted, and a run's length is its count. No shuffle."""
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(starts, lambda a: F.transform(a, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(a, j + 1), F.size(s)) - p).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return F.when(F.size(tokens) > 0, let(F.sort_array(tokens), runs)).otherwise(none)
+
+
 def top(scored: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """The ``k`` best with their rank from 1; ties go to the smaller id."""
     best = scored.orderBy(F.desc("score"), id_col).limit(k)

@@ -66,31 +66,45 @@ class TextIndex:
         has are left out. Rows without id or term, or with a count under one,
         say nothing. All rows of a text must have the same payload.
         """
+        if segment in self.segments():
+            return
+        p = postings.select(F.col(id_col).alias("id"), "term", F.col("tf").cast("long").alias("tf"), *self.payload).where("id is not null and term is not null and tf > 0")
+        p = p.groupBy("id", "term", *self.payload).agg(F.sum("tf").alias("tf"))
+        self.append_texts(p.groupBy("id", *self.payload).agg(F.collect_list(F.struct("term", "tf")).alias("terms")), segment)
+
+    def append_texts(self, texts: DataFrame, segment: str) -> None:
+        """As ``append``, of one row a text: ``id``, ``terms`` (array of term and tf, each term once) and the payload.
+
+        Postings are shuffled once, by bucket and a part of the bands, so that
+        a frequent term's blocks fall to several tasks.
+        """
         done = self.segments()
         if segment in done:
             return
-        p = postings.select(F.col(id_col).alias("id"), "term", F.col("tf").cast("long").alias("tf"), *self.payload).where("id is not null and term is not null and tf > 0")
         if done:
             known = self.spark.read.parquet(f"{self.path}/lengths").where(F.col("segment").isin([f"s_{x}" for x in done])).select("id")
-            p = p.join(known, "id", "left_anti")
-        p = settle(p.groupBy("id", "term", *self.payload).agg(F.sum("tf").alias("tf")), "postings")
-        texts = p.groupBy("id").agg(F.sum("tf").alias("dl"), F.max_by("term", F.struct("tf", "term")).alias("commonest"))
+            texts = texts.join(known, "id", "left_anti")
+        add = lambda s, x: s + x["tf"]
+        commonest = F.array_max(F.transform("terms", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"))))["term"]
+        t = texts.where(F.col("id").isNotNull() & (F.size("terms") > 0)).select("id", *self.payload, "terms", F.aggregate("terms", F.lit(0).cast("long"), add).alias("dl"), commonest.alias("commonest"))
         size = F.floor(F.log(F.col("dl").cast("double")) / math.log(WITHIN))
         kind = size * KINDS + F.pmod(F.crc32(F.col("commonest").cast("binary")), F.lit(KINDS))
-        texts = settle(texts.select("id", "dl", kind.alias("kind")), "texts")
-        sizes = texts.groupBy("kind").agg(F.greatest(F.ceil(F.count("*") / BAND), F.lit(1)).alias("parts"))  # a row a kind: some hundreds, however many texts
-        banded = texts.join(F.broadcast(sizes), "kind").withColumn("band", F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
+        t = settle(t.select("id", *self.payload, "terms", "dl", kind.alias("kind")), "texts")
+        sizes = t.groupBy("kind").agg(F.greatest(F.ceil(F.count("*") / BAND), F.lit(1)).alias("parts"))  # a row a kind: some hundreds, however many texts
+        banded = t.join(F.broadcast(sizes), "kind").withColumn("band", F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
+        p = banded.select("id", *self.payload, "dl", "band", F.explode("terms").alias("x")).select("id", *self.payload, "dl", "band", "x.term", F.col("x.tf").cast("long").alias("tf"))
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        p = p.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
+        p = p.withColumn("deal", F.pmod(F.xxhash64("band"), F.lit(max(1, 2 * tasks // self.buckets)))).repartition(tasks, "bucket", "deal")
         each = F.sort_array(F.collect_list(F.struct("id", "tf", "dl", *self.payload)))
-        blocks = p.join(banded.select("id", "dl", "band"), "id").groupBy("term", "band").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), each.alias("e"))
-        blocks = blocks.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
+        blocks = p.groupBy("bucket", "deal", "term", "band").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), each.alias("e"))
         arrays = [F.col(f"e.{c}").alias(f"{c}s") for c in ("id", "tf", "dl", *self.payload)]
-        flat = blocks.select("bucket", "term", "band", "n", "most", "least", *arrays)
-        flat = flat.repartitionByRange("bucket", "term", "band").sortWithinPartitions("bucket", "term", "band")  # a frequent term's blocks fill as many tasks as they need
+        flat = blocks.select("bucket", "term", "band", "n", "most", "least", *arrays).sortWithinPartitions("bucket", "term", "band")
         flat.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment=s_{segment}")
-        texts.select("id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/segment=s_{segment}")
-        total = texts.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
+        t.select("id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/segment=s_{segment}")
+        total = t.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
         total.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment=s_{segment}")
-        unsettle(p, texts)
+        unsettle(t)
 
     def blocks(self, terms: Sequence[str] | None = None, segments: Sequence[str] | None = None) -> DataFrame | None:
         """Blocks of the given terms, or of all; only the folders of these terms' buckets are opened. None if there is none."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.text import tokens
 from sedimenta.operators.chunks import fixed_windows
+from sedimenta.operators.lexical import term_counts
 from sedimenta.operators.text_index import TextIndex
 from sedimenta.operators.vector import similar_pairs
 from sedimenta.session import scratch_dir, stamp, table
@@ -92,16 +93,21 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return fixed_windows(documents(spark, sf).withColumn("tokens", tokens("text")))
 
 
+def chunk_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """``id`` (of the chunk), ``file_name``, ``doc_id``, ``position``, ``terms``: its lower-case words with their counts."""
+    words = F.transform(F.filter("tokens", lambda t: t.rlike(r"[\p{L}\p{N}_]")), F.lower)
+    return chunks(spark, sf).select("id", "file_name", "doc_id", "position", term_counts(words).alias("terms"))
+
+
 def terms(spark: SparkSession, sf: str) -> DataFrame:
     """``chunk_id``, ``file_name``, ``doc_id``, ``position``, ``term``, ``tf`` of every chunk."""
-    word = chunks(spark, sf).select(F.col("id").alias("chunk_id"), "file_name", "doc_id", "position", F.explode("tokens").alias("t")).where(F.col("t").rlike(r"[\p{L}\p{N}_]"))
-    return word.groupBy("chunk_id", "file_name", "doc_id", "position", F.lower("t").alias("term")).agg(F.count("*").alias("tf"))
+    return chunk_terms(spark, sf).select(F.col("id").alias("chunk_id"), "file_name", "doc_id", "position", F.inline("terms"))
 
 
 def index(spark: SparkSession, sf: str) -> TextIndex:
     """The stored index of all chunks' terms; the first call over a table builds it in the shared folder, later ones read it."""
     ix = TextIndex(spark, f"{scratch_dir(spark).rstrip('/')}/text-index-{stamp(spark, sf, 'documents')}", ("file_name", "doc_id"))
-    ix.append(terms(spark, sf), "documents")
+    ix.append_texts(chunk_terms(spark, sf), "documents")
     return ix
 
 
