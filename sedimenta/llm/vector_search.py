@@ -1,4 +1,4 @@
-"""Operator 10: approximate nearest neighbours by an inverted file with product-quantised residuals."""
+"""Operator 10: approximate nearest neighbours by an inverted file with product-quantised residuals, and an exact way by bounds of its lists."""
 
 from __future__ import annotations
 
@@ -18,7 +18,9 @@ from sedimenta.session import settle
 #: Rows that centroids and codebooks are fitted on at most; every row is indexed.
 SAMPLE = 20_000
 #: Neighbours that a query may miss in the lists it does not probe, as a share of ``k``, by the lists' own statistics.
-MISSED = 0.05
+MISSED = 0.02
+#: Lists of one centroid: shells of like residual length, STEPS of them while the length doubles, from 2^-16 to 2^16 times the usual length.
+SHELLS, STEPS = 64, 2
 #: Components in one part of the product quantiser, and codes of a part.
 PART, CODES = 4, 256
 #: Rows of a group: what one task holds at a time. Each hands on ``k`` rows a query, so groups do not shrink as partitions grow.
@@ -29,11 +31,12 @@ BLOCK = 128
 
 @dataclass
 class Index:
-    """Coarse centroids, and for each part of a vector the codewords of its residuals."""
+    """Coarse centroids, for each part of a vector the codewords of its residuals, and the usual length of a residual."""
 
     centroids: np.ndarray
     books: list[np.ndarray]
     dim: int
+    usual: float = 1.0
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         return (x @ self.centroids.T - 0.5 * (self.centroids**2).sum(axis=1)).argmax(axis=1)
@@ -42,6 +45,11 @@ class Index:
         r = x - self.centroids[lists]
         return np.stack([nearest(r[:, i * PART : (i + 1) * PART], b) for i, b in enumerate(self.books)], axis=1).astype(np.uint8)
 
+    def lists(self, own: np.ndarray, away: np.ndarray) -> np.ndarray:
+        """A row's list: its centroid and the shell of its squared distance ``away`` from it."""
+        length = np.sqrt(np.clip(away, 1e-300, 1e300)) / self.usual
+        return own * SHELLS + np.clip(np.floor(STEPS * np.log2(length)) + SHELLS // 2, 0, SHELLS - 1).astype(np.int64)
+
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return (x @ centers.T - 0.5 * (centers**2).sum(axis=1)).argmax(axis=1)
@@ -79,7 +87,8 @@ def fit(valid: DataFrame, n: int, dim: int, sample: int = SAMPLE) -> Index:
         x = np.zeros((1, dim))
     centroids = kmeans(x, max(1, min(4096, int(math.sqrt(n) / 2), len(x) // 8)))
     r = x - centroids[nearest(x, centroids)]
-    return Index(centroids, [kmeans(r[:, i : i + PART], CODES) for i in range(0, dim, PART)], dim)
+    usual = math.sqrt((r * r).sum(axis=1).mean())
+    return Index(centroids, [kmeans(r[:, i : i + PART], CODES) for i in range(0, dim, PART)], dim, usual if 1e-100 < usual < 1e100 else 1.0)
 
 
 def tail(z: np.ndarray) -> np.ndarray:
@@ -91,25 +100,25 @@ def tail(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Lists:
-    """Of each list that has rows: its number, rows, centroid and the spread of its residuals along a direction."""
+    """Of each list that has rows: its number, rows, centroid, and the root mean square and the largest of its residuals' lengths."""
 
     number: np.ndarray
     rows: np.ndarray
     mean: np.ndarray
-    spread: np.ndarray
+    length: np.ndarray
+    longest: np.ndarray
 
     def probes(self, q: np.ndarray, k: int, missed: float) -> np.ndarray:
         """The lists that a query needs, best first, so that those left out hold ``missed`` * ``k`` of its ``k`` nearest by expectation.
 
-        A list's scores are taken as normal: its centre's score, and the spread
-        of its residuals times the query's length. That gives the score that
-        ``k`` rows reach, and how many of these each list holds. Clustered
-        vectors need few lists and random ones most of them. Lists with a spread
-        too small to matter count with their centre.
+        A list's residuals are of like length, so its scores are taken as
+        normal: its centre's score, and the spread of such residuals times the query's
+        length. That gives the score that ``k`` rows reach, and how many of
+        these each list holds. Clustered vectors need few lists and random ones
+        most of them. Lists with a spread too small to matter count with their
+        centre. Lists are taken until they have 2k + 1 rows at least.
         """
-        if self.rows.sum() <= 10 * k:
-            return self.number[np.argsort(-(self.mean @ q), kind="stable")]
-        centre, wide = self.mean @ q, np.maximum(self.spread * math.sqrt(q @ q), 1e-12)
+        centre, wide = self.mean @ q, np.maximum(self.length * math.sqrt(q @ q / len(q)), 1e-12)
         low, high = float((centre - 9 * wide).min()), float((centre + 9 * wide).max())
         for _ in range(40):
             mid = (low + high) / 2
@@ -124,6 +133,11 @@ class Lists:
         upto = max(upto, int(np.searchsorted(np.cumsum(self.rows[order]), 2 * k + 1)) + 1)
         return self.number[order[:upto]]
 
+    def reach(self, q: np.ndarray, least: float) -> np.ndarray:
+        """The lists that can hold a row whose score is ``least`` or more, whatever its distribution: no inner product exceeds the product of the lengths."""
+        bound = self.mean @ q + math.sqrt(q @ q) * self.longest
+        return self.number[~(bound + 1e-9 * (1 + np.abs(bound)) < least)]
+
 
 def candidates(approx: np.ndarray, error: np.ndarray, exact: Callable[[np.ndarray], np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and exact scores of all rows that may be among the ``k`` best.
@@ -155,13 +169,20 @@ def search(
     no part, beside those that ``vectors`` leaves out. Rows of an id that
     repeats are candidates each. An empty table gives no rows.
 
-    Rows are grouped by list; a list of more rows than a group holds is split by a hash
+    Each centroid has a list for each shell of residual lengths that has rows
+    (``Index.lists``), so that few long vectors do not blur the statistics of
+    the others. Rows are grouped by list; a list of more rows than a group holds is split by a hash
     of the row's place, small lists share a group. A query is sent to the groups of the
     lists it probes (``Lists.probes``) and to no other, and no row is copied: a
     task holds one group, the queries pass by. In what is probed the result
     is exact: every row whose approximate score and quantiser error can
     reach the best ``k`` is scored by its own vector. A task hands on ``k``
     rows a query and group.
+
+    ``missed``: the share of the nearest that may be missed, by the lists'
+    statistics. 0 is exact: once ``MISSED`` has given each query ``k`` scores,
+    it also visits every other list whose bound reaches the ``k``-th
+    (``Lists.reach``), which on random vectors are nearly all.
     """
     spark = df.sparkSession
     small_batches(spark)
@@ -186,10 +207,10 @@ def search(
                 error = np.sqrt(((x - made) ** 2).sum(axis=1)) * (1 + 1e-9)
                 away = ((x - ix.centroids[own]) ** 2).sum(axis=1)
                 codes = pa.array([c.tobytes() for c in code], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own.astype(np.int32)), codes, pa.array(error), pa.array(away)], ["vec_id", "v", "list", "code", "error", "away"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ix.lists(own, away).astype(np.int32)), codes, pa.array(error), pa.array(away)], ["vec_id", "v", "list", "code", "error", "away"])
 
     coded = settle(valid.mapInArrow(encode, f"vec_id {kind}, v array<double>, list int, code binary, error double, away double"), "ivf")
-    stats = sorted(coded.groupBy("list").agg(F.count("*").alias("n"), F.avg("away").alias("away")).collect(), key=lambda r: r["list"])  # one row a list
+    stats = sorted(coded.groupBy("list").agg(F.count("*").alias("n"), F.avg("away").alias("away"), F.max("away").alias("far")).collect(), key=lambda r: r["list"])  # one row a list
     size = max(min(LEAST_GROUP, GROUP), min(GROUP, n // (2 * partitions(spark))))
     place, group, room = {}, 0, size  # list: its first group and its number of groups
     for r in stats:
@@ -203,15 +224,20 @@ def search(
                 group, room = group + 1, size
             place[at], room = (group, 1), room - c
     number = np.array([r["list"] for r in stats])
-    table = spark.sparkContext.broadcast(Lists(number, np.array([r["n"] for r in stats]), index.value.centroids[number], np.sqrt(np.array([r["away"] for r in stats]) / dim)))
+    length = lambda c: np.sqrt(np.minimum(np.array([r[c] for r in stats]), 1e300))
+    table = spark.sparkContext.broadcast(Lists(number, np.array([r["n"] for r in stats]), index.value.centroids[number // SHELLS], length("away"), length("far")))
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = table.value
         for b in batches:
-            x = flat(b.column(1), dim)
+            x, least = flat(b.column(1), dim), b.column(2).to_pylist()
             at, out = [], []
             for i, q in enumerate(x):
                 by: dict[int, list[int]] = {}
-                for one in table.value.probes(q, k, missed).tolist():
+                chosen = lists.probes(q, k, missed or MISSED)
+                if least[i] is not None:
+                    chosen = np.setdiff1d(lists.reach(q, least[i]), chosen)
+                for one in chosen.tolist():
                     first, parts = place[one]
                     for g in range(first, first + parts):
                         by.setdefault(g, []).append(one)
@@ -224,12 +250,9 @@ def search(
             )
 
     shape = f"group int, asks int, vec_id {kind}, v array<double>, list int, code binary, error double, lists array<int>"
-    asked = coded.where(queries).select("vec_id", "v").mapInArrow(probes, shape)
     where = spark.createDataFrame([(int(i), int(f), int(p)) for i, (f, p) in place.items()], "list int, first int, parts int")
-    dealt = coded.join(F.broadcast(where), "list")  # a row for each list: 4096 at most
+    dealt = coded.join(F.broadcast(where), "list")  # a row for each list: 4096 * SHELLS at most
     dealt = dealt.select((F.col("first") + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts"))).cast("int").alias("group"), F.lit(0).alias("asks"), "vec_id", "v", "list", "code", "error", F.lit(None).cast("array<int>").alias("lists"))
-    groups = dealt.unionByName(asked).repartition(wide(spark, group + 1, 4), "group").sortWithinPartitions("group", "asks", "vec_id")
-
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         held, now, ready = [], None, None
@@ -249,9 +272,23 @@ def search(
                     for i in range(0, part.num_rows, BLOCK):
                         yield ready.answer(part.slice(i, BLOCK), ix, k)
 
-    some = groups.mapInArrow(look, f"query_id {kind}, vec_id {kind}, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return some.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    def found(asking: DataFrame) -> DataFrame:
+        asked = asking.mapInArrow(probes, shape)
+        groups = dealt.unionByName(asked).repartition(wide(spark, group + 1, 4), "group").sortWithinPartitions("group", "asks", "vec_id")
+        return groups.mapInArrow(look, f"query_id {kind}, vec_id {kind}, score double")
+
+    def best(some: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return some.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    asking = coded.where(queries).select("vec_id", "v")
+    some = best(found(asking.withColumn("least", F.lit(None).cast("double"))))
+    if missed > 0:
+        return some
+    some = settle(some, "found")
+    upto = some.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    again = asking.join(upto, "vec_id", "left").select("vec_id", "v", F.coalesce("least", F.lit(float("-inf"))).alias("least"))
+    return best(some.select("query_id", "vec_id", "score").unionByName(found(again)))
 
 
 def flat(column: pa.Array, dim: int) -> np.ndarray:
@@ -279,13 +316,12 @@ class Group:
     def answer(self, asked: pa.RecordBatch, ix: Index, k: int) -> pa.RecordBatch:
         """The ``k`` best rows of this group for each query, of the lists that it probes."""
         q, who = flat(asked.column(3), ix.dim), asked.column(2).to_numpy(zero_copy_only=False)
-        approx = (q @ ix.centroids.T)[:, self.own]
+        approx = (q @ ix.centroids.T)[:, self.own // SHELLS]
         for i, book in enumerate(ix.books):
             approx += (q[:, i * PART : (i + 1) * PART] @ book.T)[:, self.codes[:, i]]
-        probed = np.zeros((len(q), len(ix.centroids)), bool)
-        for r, chosen in enumerate(asked.column(7).to_pylist()):
-            probed[r, chosen] = True
-        approx[~probed[:, self.own] | (who[:, None] == self.ids)] = -np.inf
+        there, at = np.unique(self.own, return_inverse=True)
+        probed = np.stack([np.isin(there, chosen) for chosen in asked.column(7).to_pylist()])
+        approx[~probed[:, at] | (who[:, None] == self.ids)] = -np.inf
         long = np.sqrt((q * q).sum(axis=1))
         ids, best, scores = [], [], []
         for r in range(len(q)):

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sedimenta.llm import vector_search as vs
@@ -34,6 +35,53 @@ def held(got, rows, want, k=20):
     return hit / total
 
 
+def lists_of(index, x):
+    own = index.assign(x)
+    away = ((x - index.centroids[own]) ** 2).sum(axis=1)
+    number, at, n = np.unique(index.lists(own, away), return_inverse=True, return_counts=True)
+    far = np.zeros(len(number))
+    np.maximum.at(far, at, away)
+    return vs.Lists(number, n, index.centroids[number // vs.SHELLS], np.sqrt(np.bincount(at, weights=away) / n), np.sqrt(far))
+
+
+def skewed(kind, n=8000, dim=32):
+    rng = np.random.default_rng(3)
+    x, near = rng.normal(size=(n, dim)), rng.normal(size=(40, dim))[rng.integers(0, 40, n)]
+    if kind == "lengths":
+        return x * rng.lognormal(0, 0.7, (n, 1))
+    if kind == "few long":
+        return x * np.where(rng.random((n, 1)) < 0.01, 6, 1)
+    if kind == "heavy rows":
+        return near + 0.15 * x * np.abs(rng.standard_cauchy((n, 1)))
+    return near + 0.3 * rng.standard_t(2, size=(n, dim))
+
+
+@pytest.mark.parametrize("kind", ["lengths", "few long", "heavy rows", "heavy components"])
+def test_recall_on_skewed_vectors(spark, kind):
+    """Vectors whose residuals are no normal sample: recall by brute force, and all of the nearest where nothing may be missed."""
+    rows = [(i, v.tolist()) for i, v in enumerate(skewed(kind))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8)
+    asked = [i for i, _ in rows if i % 20 == 0]
+    want = brute(rows, asked, 20)
+    assert held(vs.search(df, F.col("vec_id") % 20 == 0).collect(), rows, want) >= 0.95
+    assert held(vs.search(df, F.col("vec_id") % 20 == 0, missed=0).collect(), rows, want) == 1
+
+
+def test_no_list_that_can_reach_is_left_out():
+    """The bound holds for every row of a list, also where the usual length says nothing."""
+    for kind in ("few long", "heavy components"):
+        x = skewed(kind, 2000)
+        index = vs.Index(vs.kmeans(x[:500], 20), [], 32, 0.5)
+        lists = lists_of(index, x)
+        own = index.assign(x)
+        at = index.lists(own, ((x - index.centroids[own]) ** 2).sum(axis=1))
+        for q in x[::100]:
+            score = x @ q
+            least = np.sort(score)[-20]
+            assert set(at[score >= least].tolist()) <= set(lists.reach(q, least).tolist())
+            assert len(lists.reach(q, np.inf)) == 0 and len(lists.reach(q, -np.inf)) == len(lists.number)
+
+
 def test_recall_of_the_table(spark, sf):
     df = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
@@ -70,10 +118,8 @@ def test_a_dense_group_of_a_third_of_the_rows(spark):
     for some in (set(asked) & dense, set(asked) - dense):
         assert held([r for r in got if r.query_id in some], rows, {q: want[q] for q in some}) >= 0.9
     index = vs.fit(vs.vectors(df), 12_000, 32)
-    own = index.assign(x)
-    number, n = np.unique(own, return_counts=True)
-    spread = np.sqrt(np.array([((x[own == i] - index.centroids[i]) ** 2).sum(axis=1).mean() for i in number]) / 32)
-    lists = vs.Lists(number, n, index.centroids[number], spread)
+    lists = lists_of(index, x)
+    number, n = lists.number, lists.rows
     held_rows = dict(zip(number.tolist(), n.tolist(), strict=True))
     share = [sum(held_rows[i] for i in lists.probes(x[j], 20, vs.MISSED).tolist()) / 12_000 for j in range(4000, 12_000, 100)]
     assert np.mean(share) < 0.25
