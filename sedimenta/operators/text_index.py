@@ -36,9 +36,11 @@ class TextIndex:
     """An index under ``path``, a folder that all executors reach.
 
     Folders are named ``s_`` and the segment's name. ``postings/segment=/bucket=``: a row a block (``term``, ``band``, number of
-    postings, largest count, least length, and arrays of ids, counts, lengths
-    and the ``payload`` columns), sorted by term. ``lengths/segment=``: the ids
-    and lengths of its texts. ``stats/segment=``: number and total length of
+    postings, largest count, least length, and arrays of the texts' numbers,
+    counts and lengths), sorted by term. ``texts/segment=``: of each text its
+    number in the segment, band, id, length and the ``payload`` columns, sorted by
+    band; a posting carries the number alone, and what is found is named at the
+    end. ``stats/segment=``: number and total length of
     its texts, written last: a segment counts once that is there, so a
     build that was cut off leaves nothing behind that is read.
     """
@@ -82,26 +84,27 @@ class TextIndex:
         if segment in done:
             return
         if done:
-            known = self.spark.read.parquet(f"{self.path}/lengths").where(F.col("segment").isin([f"s_{x}" for x in done])).select("id")
+            known = self.spark.read.parquet(f"{self.path}/texts").where(F.col("segment").isin([f"s_{x}" for x in done])).select("id")
             texts = texts.join(known, "id", "left_anti")
         add = lambda s, x: s + x["tf"]
         commonest = F.array_max(F.transform("terms", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"))))["term"]
         t = texts.where(F.col("id").isNotNull() & (F.size("terms") > 0)).select("id", *self.payload, "terms", F.aggregate("terms", F.lit(0).cast("long"), add).alias("dl"), commonest.alias("commonest"))
         size = F.floor(F.log(F.col("dl").cast("double")) / math.log(WITHIN))
         kind = size * KINDS + F.pmod(F.crc32(F.col("commonest").cast("binary")), F.lit(KINDS))
-        t = settle(t.select("id", *self.payload, "terms", "dl", kind.alias("kind")), "texts")
+        t = settle(t.select(F.monotonically_increasing_id().alias("no"), "id", *self.payload, "terms", "dl", kind.alias("kind")), "texts")  # written, so numbers stay
         sizes = t.groupBy("kind").agg(F.greatest(F.ceil(F.count("*") / BAND), F.lit(1)).alias("parts"))  # a row a kind: some hundreds, however many texts
         banded = t.join(F.broadcast(sizes), "kind").withColumn("band", F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
-        p = banded.select("id", *self.payload, "dl", "band", F.explode("terms").alias("x")).select("id", *self.payload, "dl", "band", "x.term", F.col("x.tf").cast("long").alias("tf"))
+        p = banded.select("no", "dl", "band", F.explode("terms").alias("x")).select("no", "dl", "band", "x.term", F.col("x.tf").cast("long").alias("tf"))
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         p = p.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
         p = p.withColumn("deal", F.pmod(F.xxhash64("band"), F.lit(max(1, 2 * tasks // self.buckets)))).repartition(tasks, "bucket", "deal")
-        each = F.sort_array(F.collect_list(F.struct("id", "tf", "dl", *self.payload)))
+        each = F.sort_array(F.collect_list(F.struct("no", "tf", "dl")))
         blocks = p.groupBy("bucket", "deal", "term", "band").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), each.alias("e"))
-        arrays = [F.col(f"e.{c}").alias(f"{c}s") for c in ("id", "tf", "dl", *self.payload)]
+        arrays = [F.col(f"e.{c}").alias(f"{c}s") for c in ("no", "tf", "dl")]
         flat = blocks.select("bucket", "term", "band", "n", "most", "least", *arrays).sortWithinPartitions("bucket", "term", "band")
         flat.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment=s_{segment}")
-        t.select("id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths/segment=s_{segment}")
+        named = banded.select("no", "band", "id", "dl", *self.payload).sortWithinPartitions("band", "no")
+        named.write.mode("overwrite").parquet(f"{self.path}/texts/segment=s_{segment}")
         total = t.agg(F.count("*").alias("texts"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"))
         total.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment=s_{segment}")
         unsettle(t)
@@ -123,9 +126,18 @@ class TextIndex:
         return self._nothing().select("id", F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"), F.lit(0).cast("long").alias("dl"), *self.payload) if blocks is None else self.opened(blocks)
 
     def opened(self, blocks: DataFrame) -> DataFrame:
-        """A row a posting of some of the index's blocks."""
-        arrays = [F.col(f"{c}s").alias(c) for c in ("id", "tf", "dl", *self.payload)]
-        return blocks.select("term", F.explode(F.arrays_zip(*arrays)).alias("x")).select("x.id", "term", "x.tf", "x.dl", *[f"x.{c}" for c in self.payload])
+        """A row a posting of some of the index's blocks, with its text's id and payload."""
+        return self._named(self._numbered(blocks)).select("id", "term", "tf", "dl", *self.payload)
+
+    def _numbered(self, blocks: DataFrame) -> DataFrame:
+        """A row a posting of some of the index's blocks: its segment, its text's number there, ``term``, ``tf`` and ``dl``."""
+        arrays = [F.col(f"{c}s").alias(c) for c in ("no", "tf", "dl")]
+        return blocks.select("segment", "term", F.explode(F.arrays_zip(*arrays)).alias("x")).select("segment", "x.no", "term", "x.tf", "x.dl")
+
+    def _named(self, numbered: DataFrame) -> DataFrame:
+        """Rows with ``segment`` and ``no``, and the id and payload of these texts."""
+        texts = self.spark.read.parquet(f"{self.path}/texts").select("segment", "no", "id", *self.payload)
+        return numbered.join(texts, ["segment", "no"])
 
     def search(self, query: Sequence[str], k: int, per: str | None = None, k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
         """The ``k`` best texts by BM25: ``id``, ``score`` (six places), the payload, ``rank`` from 1; ties go to the smaller id.
@@ -146,9 +158,11 @@ class TextIndex:
         first = bound.orderBy(F.desc("bound"), "segment", "band").limit(k)
         scored = self._scores(blocks.join(F.broadcast(first.select("segment", "band")), ["segment", "band"]), part)
         found = self._top(scored, k, per).collect()
+        least = None
         if len(found) >= k:
-            bound = bound.where(F.col("bound") + ROUNDING >= found[-1]["score"])
-        return self._top(self._scores(blocks.join(bound.select("segment", "band"), ["segment", "band"]), part), k, per)
+            least = found[-1]["score"]
+            bound = bound.where(F.col("bound") + ROUNDING >= least)
+        return self._top(self._scores(blocks.join(bound.select("segment", "band"), ["segment", "band"]), part, least), k, per)
 
     def scores(self, query: Sequence[str], k1: float = DEFAULTS.bm25_k1, b: float = DEFAULTS.bm25_b) -> DataFrame:
         """``id``, ``score`` and the payload of every text that holds a term of the query."""
@@ -176,9 +190,10 @@ class TextIndex:
 
         return blocks, part, blocks.groupBy("segment", "band").agg(F.sum(part(F.col("most"), F.col("least"))).alias("bound"))
 
-    def _scores(self, blocks: DataFrame, part) -> DataFrame:
-        """Scores of the blocks' texts. All blocks of a band are there, so a band's texts are whole."""
-        return self.opened(blocks).groupBy("id", *self.payload).agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), 6).alias("score"))
+    def _scores(self, blocks: DataFrame, part, least: float | None = None) -> DataFrame:
+        """Scores of the blocks' texts, of those that reach ``least`` if given; only these are named. All blocks of a band are there, so a band's texts are whole."""
+        scored = self._numbered(blocks).groupBy("segment", "no").agg(F.round(F.sum(part(F.col("tf"), F.col("dl"))), 6).alias("score"))
+        return self._named(scored if least is None else scored.where(F.col("score") >= least)).select("id", *self.payload, "score")
 
     def _top(self, scored: DataFrame, k: int, per: str | None) -> DataFrame:
         return top(scored.groupBy(per).agg(F.max("score").alias("score")), k, per) if per else top(scored, k, "id")

@@ -106,7 +106,7 @@ def terms(spark: SparkSession, sf: str) -> DataFrame:
 
 def index(spark: SparkSession, sf: str) -> TextIndex:
     """The stored index of all chunks' terms; the first call over a table builds it in the shared folder, later ones read it."""
-    ix = TextIndex(spark, f"{scratch_dir(spark).rstrip('/')}/text-index-{stamp(spark, sf, 'documents')}", ("file_name", "doc_id"))
+    ix = TextIndex(spark, f"{scratch_dir(spark).rstrip('/')}/lexical-index-{stamp(spark, sf, 'documents')}", ("file_name", "doc_id"))
     ix.append_texts(chunk_terms(spark, sf), "documents")
     return ix
 
