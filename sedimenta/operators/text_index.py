@@ -77,8 +77,9 @@ class TextIndex:
     def append_texts(self, texts: DataFrame, segment: str) -> None:
         """As ``append``, of one row a text: ``id``, ``terms`` (array of term and tf, each term once) and the payload.
 
-        Postings are shuffled once, by bucket and a part of the bands, so that
-        a frequent term's blocks fall to several tasks.
+        Postings are shuffled once, by a share of the buckets and a part of the
+        bands, so that a frequent term's blocks fall to several tasks. A text
+        sends each share one row of arrays, which is far less than a row a posting.
         """
         done = self.segments()
         if segment in done:
@@ -91,15 +92,17 @@ class TextIndex:
         t = texts.where(F.col("id").isNotNull() & (F.size("terms") > 0)).select("id", *self.payload, "terms", F.aggregate("terms", F.lit(0).cast("long"), add).alias("dl"), commonest.alias("commonest"))
         size = F.floor(F.log(F.col("dl").cast("double")) / math.log(WITHIN))
         kind = size * KINDS + F.pmod(F.crc32(F.col("commonest").cast("binary")), F.lit(KINDS))
-        t = settle(t.select(F.monotonically_increasing_id().alias("no"), "id", *self.payload, "terms", "dl", kind.alias("kind")), "texts")  # written, so numbers stay
+        t = settle(t.select(F.monotonically_increasing_id().alias("no"), "id", *self.payload, "terms", "dl", kind.alias("kind")), "texts", "zstd")  # written, so numbers stay
         sizes = t.groupBy("kind").agg(F.greatest(F.ceil(F.count("*") / BAND), F.lit(1)).alias("parts"))  # a row a kind: some hundreds, however many texts
         banded = t.join(F.broadcast(sizes), "kind").withColumn("band", F.col("kind") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("parts")))
-        p = banded.select("no", "dl", "band", F.explode("terms").alias("x")).select("no", "dl", "band", "x.term", F.col("x.tf").cast("long").alias("tf"))
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        p = p.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(self.buckets)).cast("int"))
-        p = p.withColumn("deal", F.pmod(F.xxhash64("band"), F.lit(max(1, 2 * tasks // self.buckets)))).repartition(tasks, "bucket", "deal")
+        shares = min(self.buckets, max(8, tasks // 4))
+        deal = F.pmod(F.xxhash64("band"), F.lit(max(1, 2 * tasks // shares)))
+        p = banded.select("no", "dl", "band", deal.alias("deal"), F.explode(self._shares("terms", shares)).alias("x"))
+        p = p.select("no", "dl", "band", "deal", "x.share", "x.terms", "x.tfs").repartition(tasks, "share", "deal")
+        p = p.select("no", "dl", "band", "share", "deal", F.explode(F.arrays_zip("terms", "tfs")).alias("x")).select("no", "dl", "band", "share", "deal", F.col("x.terms").alias("term"), F.col("x.tfs").alias("tf"), self._bucket(F.col("x.terms")).alias("bucket"))
         each = F.sort_array(F.collect_list(F.struct("no", "tf", "dl")))
-        blocks = p.groupBy("bucket", "deal", "term", "band").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), each.alias("e"))
+        blocks = p.groupBy("share", "deal", "bucket", "term", "band").agg(F.count("*").alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), each.alias("e"))
         arrays = [F.col(f"e.{c}").alias(f"{c}s") for c in ("no", "tf", "dl")]
         flat = blocks.select("bucket", "term", "band", "n", "most", "least", *arrays).sortWithinPartitions("bucket", "term", "band")
         flat.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/segment=s_{segment}")
@@ -109,6 +112,21 @@ class TextIndex:
         total.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/segment=s_{segment}")
         unsettle(t)
 
+    def _bucket(self, term: Column) -> Column:
+        return F.pmod(F.crc32(term.cast("binary")), F.lit(self.buckets)).cast("int")
+
+    def _shares(self, terms: str, shares: int) -> Column:
+        """Array of (share, terms, tfs) of a text's terms: sorted by share, and cut where it changes."""
+        let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+        placed = F.array_sort(F.transform(terms, lambda x: F.struct((self._bucket(x["term"]) % shares).alias("share"), x["term"].alias("term"), x["tf"].cast("long").alias("tf"))))
+        starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["share"] != F.get(s, i - 1)["share"]))
+
+        def cut(s: Column, a: Column, p: Column, j: Column) -> Column:
+            part = F.slice(s, p + 1, F.coalesce(F.get(a, j + 1), F.size(s)) - p)
+            return F.struct(F.get(s, p)["share"].alias("share"), part["term"].alias("terms"), part["tf"].alias("tfs"))
+
+        return let(placed, lambda s: let(starts(s), lambda a: F.transform(a, lambda p, j: cut(s, a, p, j))))
+
     def blocks(self, terms: Sequence[str] | None = None, segments: Sequence[str] | None = None) -> DataFrame | None:
         """Blocks of the given terms, or of all; only the folders of these terms' buckets are opened. None if there is none."""
         at = [f"{self.path}/postings/segment=s_{x}" for x in (self.segments() if segments is None else segments)]

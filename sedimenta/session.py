@@ -44,14 +44,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return named
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+def settle(df: DataFrame, name: str = "t", codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs a re-read, not a recomputation.
+    ``codec``: how it is compressed, if not as the session says.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     back = spark.read.schema(df.schema).parquet(path)
     back._settled_at = path
     return back
