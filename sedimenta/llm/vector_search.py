@@ -23,7 +23,7 @@ MISSED = 0.02
 SHELLS, STEPS = 64, 2
 #: Components in one part of the product quantiser, and codes of a part.
 PART, CODES = 4, 256
-#: Rows of a group: what one task holds at a time. Each hands on ``k`` rows a query, so groups do not shrink as partitions grow.
+#: Rows of a group: what one task holds at a time. Each hands on ``k`` rows a query, so there are no more than partitions need, and they do not shrink as partitions grow.
 GROUP, LEAST_GROUP = 8192, 1024
 #: Queries that are scored at once.
 BLOCK = 128
@@ -211,7 +211,7 @@ def search(
 
     coded = settle(valid.mapInArrow(encode, f"vec_id {kind}, v array<double>, list int, code binary, error double, away double"), "ivf")
     stats = sorted(coded.groupBy("list").agg(F.count("*").alias("n"), F.avg("away").alias("away"), F.max("away").alias("far")).collect(), key=lambda r: r["list"])  # one row a list
-    size = max(min(LEAST_GROUP, GROUP), min(GROUP, n // (2 * partitions(spark))))
+    size = max(min(LEAST_GROUP, GROUP), min(GROUP, n // partitions(spark)))
     place, group, room = {}, 0, size  # list: its first group and its number of groups
     for r in stats:
         at, c = r["list"], r["n"]
