@@ -122,18 +122,3 @@ def split_large(docs: DataFrame, most: int, id_col: str = "doc_id", text_col: st
             yield pd.DataFrame(rows, columns=["doc_id", "n", "piece"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"doc_id {kind}, n long, piece string")
-
-
-def outside_boxes(chars: DataFrame, boxes: DataFrame) -> DataFrame:
-    """``page``, ``text`` of characters (page, x, top, c) whose place is in no box (page, x0, x1, y0, y1).
-
-    A character starts a new line if its top is over 3 from the one before, in
-    order of top, then x.
-    """
-    b = boxes.select(F.col("page").alias("_p"), "x0", "x1", "y0", "y1")
-    inside = (F.col("page") == F.col("_p")) & F.col("x").between(F.col("x0"), F.col("x1")) & F.col("top").between(F.col("y0"), F.col("y1"))
-    w = Window.partitionBy("page").orderBy("top", "x")
-    free = chars.join(b, inside, "left_anti").withColumn("jump", (F.col("top") - F.lag("top").over(w) > 3).cast("int"))
-    run = free.withColumn("line", F.coalesce(F.sum("jump").over(w), F.lit(0)))
-    lines = run.groupBy("page", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x", "c"))), lambda s: s["c"]), "").alias("t"))
-    return lines.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda s: s["t"]), "\n").alias("text"))

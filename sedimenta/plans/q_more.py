@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.functions import text as T
 from sedimenta.functions.vectors import dot, normalized
 from sedimenta.operators import graph as G
+from sedimenta.operators import layout as L
 from sedimenta.operators import repair as R
 from sedimenta.operators.chunks import first_links, next_links
 from sedimenta.operators.components import connected_components
@@ -193,7 +194,26 @@ def text_outside_tables(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber").distinct()
     chars = li.select(F.col("l_orderkey").alias("page"), F.lit(1).alias("x"), (F.col("l_linenumber") * 10).alias("top"), F.expr("char(65 + l_linenumber)").alias("c"))
     boxes = li.select(F.col("l_orderkey").alias("page")).distinct().select("page", F.lit(0).alias("x0"), F.lit(5).alias("x1"), F.lit(15).alias("y0"), F.lit(25).alias("y1"))
-    return R.outside_boxes(chars, boxes)
+    return L.outside_boxes(chars, boxes)
+
+
+@query("""WITH l AS (SELECT l_orderkey AS page, l_linenumber AS box, min(l_partkey) AS p, CAST(min(l_quantity) AS INTEGER) AS q, CAST(min(l_suppkey) AS INTEGER) AS s FROM lineitem GROUP BY ALL),
+b AS (SELECT *, 40 AS x0, 70 + s % 12 * 10 AS x1, box * 120 AS y0 FROM l),
+n AS (SELECT page, box * 120 - q - 5 AS top, p_name AS t FROM l JOIN part ON p_partkey = p UNION ALL SELECT page, box * 120 - q - 17, p_brand FROM l JOIN part ON p_partkey = p),
+c AS (SELECT page, top, unnest(generate_series(1, length(t))) AS i, t FROM n), d AS (SELECT page, top, top + 10 AS bottom, 32 + 8 * i AS x0, 38 + 8 * i AS x1, substr(t, i, 1) AS c FROM c WHERE substr(t, i, 1) <> ' '),
+h AS (SELECT b.page, b.box, d.top, d.x0, d.c, lag(d.top) OVER w AS before, lag(d.x1) OVER w AS x FROM b JOIN d ON b.page = d.page AND d.x0 >= b.x0 AND d.x1 <= b.x1 AND d.top >= b.y0 - 30 AND d.bottom <= b.y0 WINDOW w AS (PARTITION BY b.page, b.box ORDER BY d.top, d.x0)),
+s AS (SELECT page, box, string_agg(CASE WHEN top <> before OR x0 - x > 3 THEN ' ' ELSE '' END || c, '' ORDER BY top, x0) AS caption FROM h GROUP BY page, box)
+SELECT CAST(b.page AS BIGINT) AS page, CAST(b.box AS BIGINT) AS box, caption FROM b LEFT JOIN s USING (page, box)""")
+def table_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as pages, their lines as tables, each with its part's name and brand set above, near or too far, and cut off at the table's right."""
+    li = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("page"), F.col("l_linenumber").cast("long").alias("box"))
+    li = li.agg(F.min("l_partkey").alias("p"), F.min("l_quantity").cast("int").alias("q"), F.min("l_suppkey").cast("int").alias("s"))
+    boxes = li.select("page", "box", F.lit(40).alias("x0"), (70 + F.col("s") % 12 * 10).alias("x1"), (F.col("box") * 120).alias("y0"), (F.col("box") * 120 + 60).alias("y1"))
+    named = li.join(table(spark, sf, "part"), F.col("p") == F.col("p_partkey")).withColumn("top", F.col("box") * 120 - F.col("q") - 5)
+    lines = named.select("page", F.explode(F.array(F.struct("top", F.col("p_name").alias("t")), F.struct((F.col("top") - 12).alias("top"), F.col("p_brand").alias("t")))).alias("n"))
+    signs = lines.select("page", "n.top", F.posexplode(F.split("n.t", "")).alias("i", "c")).where("c not in (' ', '')")
+    chars = signs.select("page", (40 + 8 * F.col("i")).alias("x0"), (46 + 8 * F.col("i")).alias("x1"), "top", (F.col("top") + 10).alias("bottom"), "c")
+    return L.captions(chars, boxes)
 
 
 @query("SELECT c_mktsegment AS community, CAST(count(*) AS BIGINT) AS members, min(c_name) AS first_member FROM customer GROUP BY c_mktsegment HAVING count(*) >= 2")
