@@ -25,7 +25,8 @@ PII_SUPPLEMENT = (
     ("FINANCIAL_ACCOUNT_NUMBER", r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b"),
     ("CREDIT_CARD_NUMBER", r"\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}\b"),
     ("PHONE_NUMBER", r"(?:\+1[-\s]\d{3}[-\s]\d{3}[-\s]\d{4}|\(\d{3}\)\s*\d{3}[-.\s]\d{4}|\b\d{3}-\d{3}-\d{4}\b)"),
-    ("DATE_OF_BIRTH", r"(?:born|birth(?:day|date)?|DOB|date\s+of\s+birth)[^\d]{0,20}(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2})"),
+    ("STREET_ADDRESS", r"\b\d+\s+(?:(?:[NSEW]\.?|(?i:north|south|east|west))\s+)?(?:\w+\s+){1,5}(?i:boulevard|parkway|highway|terrace|street|avenue|circle|plaza|drive|court|place|trail|road|lane|loop|way|blvd|pkwy|hwy|ter|ave|cir|trl|dr|ct|pl|st|rd|ln)\b\.?(?:\W{1,3}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)?(?:\W{1,3}[A-Z]{2}\b)?(?:\W{1,3}\d{5}(?:-\d{4})?)?"),
+    ("DATE_OF_BIRTH", r"(?:born|birth(?:day|date)?|DOB|date\s+of\s+birth)[^\d]{0,20}(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})"),
 )
 # Words that a question's keywords leave out.
 STOPWORDS = "a an the is are was were be been being in on at to for with by about of and or".split()
@@ -128,7 +129,7 @@ def types_basic(t: Column) -> Column:
 
 def mask_supplement(t: Column) -> Column:
     """Bound as the basic mask, with context words; IBANs and names of places keep their case."""
-    case = lambda kind, p: p if p.startswith(r"\b[A-Z]{2}") else "(?i)" + p
+    case = lambda kind, p: p if p.startswith((r"\b[A-Z]{2}", r"\b\d+\s+")) else "(?i)" + p
     return reduce(lambda x, p: F.regexp_replace(x, case(*p), f"[PII:{p[0]}]"), PII_SUPPLEMENT, t)
 
 

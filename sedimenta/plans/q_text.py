@@ -39,7 +39,8 @@ SUPPLEMENT = [
     (r"(?:routing|ABA)[^\d]{0,15}\d{9}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "gi"), (r"(?:account|acct)\.?\s*(?:#|number|no\.?)?[^\w]{0,5}\d{8,17}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "gi"),
     (r"\b[A-Z]{2}\d{2}[A-Z0-9]{4,30}\b", "[PII:FINANCIAL_ACCOUNT_NUMBER]", "g"), (r"\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}\b", "[PII:CREDIT_CARD_NUMBER]", "gi"),
     (r"(?:\+1[-\s]\d{3}[-\s]\d{3}[-\s]\d{4}|\(\d{3}\)\s*\d{3}[-.\s]\d{4}|\b\d{3}-\d{3}-\d{4}\b)", "[PII:PHONE_NUMBER]", "gi"),
-    (r"(?:born|birth(?:day|date)?|DOB|date\s+of\s+birth)[^\d]{0,20}(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2})", "[PII:DATE_OF_BIRTH]", "gi"),
+    (r"\b\d+\s+(?:(?:[NSEW]\.?|(?i:north|south|east|west))\s+)?(?:\w+\s+){1,5}(?i:boulevard|parkway|highway|terrace|street|avenue|circle|plaza|drive|court|place|trail|road|lane|loop|way|blvd|pkwy|hwy|ter|ave|cir|trl|dr|ct|pl|st|rd|ln)\b\.?(?:\W{1,3}[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)?(?:\W{1,3}[A-Z]{2}\b)?(?:\W{1,3}\d{5}(?:-\d{4})?)?", "[PII:STREET_ADDRESS]", "g"),
+    (r"(?:born|birth(?:day|date)?|DOB|date\s+of\s+birth)[^\d]{0,20}(?:\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}|\d{4}[/.-]\d{1,2}[/.-]\d{1,2}|(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},?\s+\d{4})", "[PII:DATE_OF_BIRTH]", "gi"),
 ]
 
 
