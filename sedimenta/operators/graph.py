@@ -94,19 +94,24 @@ def distances(edges: DataFrame, start: Column, depth: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, depth: int = 3) -> DataFrame:
-    """One shortest path from ``a`` to ``b``, either direction of edges: the smallest by its nodes; no row if there is none."""
+def shortest_nodes(edges: DataFrame, a: str, b: str, depth: int = 3) -> DataFrame:
+    """``nodes``, ``hops`` of one shortest path from ``a`` to ``b``, either direction of edges: the smallest by its nodes; no row if there is none."""
     near = distances(edges, F.col("node") == b, depth).select(F.col("node").alias("n"), F.col("hops").alias("togo"))
     found = near.where(F.col("n") == a).first()
     if found is None:
-        return near.select(F.lit("").alias("path"), F.lit(0).cast("long").alias("hops")).where("false")
+        return near.select(F.array("n").alias("nodes"), F.lit(0).cast("long").alias("hops")).where("false")
     e = both_ways(edges).select("a", "b").distinct()
     level = near.where(F.col("n") == a).select(F.col("n").alias("node"), F.array("n").alias("nodes"))
     for left in range(found["togo"] - 1, -1, -1):  # only towards the goal
         step = e.join(near.where(F.col("togo") == left), e.b == near.n).select("a", "b")
         level = level.join(step, level.node == step.a).select(F.col("b").alias("node"), F.array_append("nodes", F.col("b")).alias("nodes"))
         level = level.groupBy("node").agg(F.min("nodes").alias("nodes"))
-    return level.select(F.array_join("nodes", " > ").alias("path"), F.lit(found["togo"]).cast("long").alias("hops"))
+    return level.select("nodes", F.lit(found["togo"]).cast("long").alias("hops"))
+
+
+def shortest_path(edges: DataFrame, a: str, b: str, depth: int = 3) -> DataFrame:
+    """``path``, ``hops``: ``shortest_nodes`` with its nodes joined by arrows."""
+    return shortest_nodes(edges, a, b, depth).select(F.array_join("nodes", " > ").alias("path"), "hops")
 
 
 def common_neighbors(edges: DataFrame, a: str, b: str) -> DataFrame:
