@@ -103,7 +103,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     tables = len(masks(radius))
     spread = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks(radius)])).alias("t", "key"))
     full = spread.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = spread.join(full, ["t", "key"])
+    shared = spread.join(full.hint("merge"), ["t", "key"])
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     shared = shared.withColumn("nb", blocks).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int"))
     other = F.when(F.col("nb") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
@@ -154,14 +154,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wordless texts have fingerprint 0 and link like any others. Rows with null
     id keep their row; they never name a component unless it has no other id.
     Repeated rows come back as often as they went in; an empty table is empty.
+    Its joins are sorted and merged: tables that grow with the texts never
+    pass through the driver for a broadcast.
     """
     fps = settle(fingerprints(df, id_col, text_col, shingle), "fp")
     least = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fp")
     cc = connected_components(links(least.select("fp"), radius))
-    named = least.join(cc, least.fp == cc.node, "left")
+    named = least.join(cc.hint("merge"), F.col("fp") == F.col("node"), "left")
     part = named.where("component is not null").groupBy("component").agg(F.min("least").alias("low"))
-    found = named.select("fp", "component", "least").join(part, "component", "left").select(F.col("fp").alias("f"), F.coalesce("low", "least").alias("component_id"))
-    return fps.join(found, fps.fp == found.f).select("doc_id", "fp", "component_id")
+    found = named.select("fp", "component", "least").join(part.hint("merge"), "component", "left").select(F.col("fp").alias("f"), F.coalesce("low", "least").alias("component_id"))
+    return fps.join(found.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
