@@ -79,14 +79,15 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the distinct pairs ``a``, ``b`` whose texts (``node``, ``text``) are alike.
 
     A group is one text and at most about BLOCK others, which pass by one at a
-    time, so neither a text with many partners nor a group fills a task.
+    time, so neither a text with many partners nor a group fills a task. Texts
+    are joined by sorting: a broadcast would pass them through the driver.
     """
     spark = pairs.sparkSession
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nb"))
-    p = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int").alias("salt"))
+    p = pairs.join(many.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("nb")).cast("int").alias("salt"))
     first = many.select("a", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("salt"))
-    first = first.join(texts, first.a == texts.node).select("a", "salt", F.lit(0).alias("k"), F.col("a").alias("b"), "text")
-    rest = p.join(texts, p.b == texts.node).select("a", "salt", F.lit(1).alias("k"), "b", "text")
+    first = first.join(texts.hint("merge"), first.a == texts.node).select("a", "salt", F.lit(0).alias("k"), F.col("a").alias("b"), "text")
+    rest = p.join(texts.hint("merge"), p.b == texts.node).select("a", "salt", F.lit(1).alias("k"), "b", "text")
     groups = first.unionByName(rest).repartition(wide(spark, 0, 1), "a", "salt").sortWithinPartitions("a", "salt", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,14 +107,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     """``members`` with ``part``, their component so far, of the buckets that hold more than one component."""
-    m = members.join(parts.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("component", "node").alias("part"))
+    m = members.join(parts.withColumnRenamed("node", "_n").hint("merge"), F.col("node") == F.col("_n"), "left").select(*members.columns, F.coalesce("component", "node").alias("part"))
     several = m.groupBy("t", "key").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("t", "key")
-    return m.join(several, ["t", "key"])
+    return m.join(several.hint("merge"), ["t", "key"])
 
 
 def _pairs(x: DataFrame, y: DataFrame) -> DataFrame:
     """Distinct pairs that share a bucket, are not of one component and are alike in size, the smaller node first."""
-    p = x.alias("x").join(y.alias("y"), [F.col("x.t") == F.col("y.t"), F.col("x.key") == F.col("y.key"), F.col("x.part") != F.col("y.part")])
+    p = x.alias("x").join(y.alias("y").hint("merge"), [F.col("x.t") == F.col("y.t"), F.col("x.key") == F.col("y.key"), F.col("x.part") != F.col("y.part")])
     p = p.where(F.least("x.n", "y.n") >= SIMILARITY * F.greatest("x.n", "y.n") - 1e-9)
     return p.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
@@ -130,12 +131,12 @@ def outside(left: DataFrame, texts: DataFrame) -> DataFrame:
     sizes = left.groupBy("t", "key", "part").agg(F.count("*").alias("c"))
     top = sizes.groupBy("t", "key").agg(F.max_by("part", F.struct("c", "part")).alias("top"), F.sum("c").alias("m"), F.max("c").alias("most"))
     top = top.select("t", "key", "top", F.ceil((F.col("m") - F.col("most")) / BLOCK).cast("int").alias("nf"), F.ceil(F.col("m") / PASSING).cast("int").alias("nm"))
-    x = left.join(top, ["t", "key"])
+    x = left.join(top.hint("merge"), ["t", "key"])
     of = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     held = x.where("part <> top").select("t", "key", of("nf", 0).alias("f"), every("nm").alias("p"), F.lit(0).alias("k"), "node", "part")
     passing = x.select("t", "key", every("nf").alias("f"), of("nm", 1).alias("p"), F.lit(1).alias("k"), "node", "part")
-    rows = held.unionByName(passing).join(texts, "node").select("t", "key", "f", "p", "k", "node", "part", "text")
+    rows = held.unionByName(passing).join(texts.hint("merge"), "node").select("t", "key", "f", "p", "k", "node", "part", "text")
     groups = rows.repartition(wide(spark, 0, 1), "t", "key", "f", "p").sortWithinPartitions("t", "key", "f", "p", "k", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +173,9 @@ def outside(left: DataFrame, texts: DataFrame) -> DataFrame:
 def covered(nodes: DataFrame) -> DataFrame:
     """Pairs ``a``, ``b`` that operator 6's tables propose: each fingerprint's first node with its others, and first nodes of linked fingerprints."""
     first = nodes.groupBy("fp").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("an"))
-    same = nodes.join(first, "fp").where("node <> a").select("a", F.col("node").alias("b"), "an", F.col("n").alias("bn"))
+    same = nodes.join(first.hint("merge"), "fp").where("node <> a").select("a", F.col("node").alias("b"), "an", F.col("n").alias("bn"))
     x, y = first.toDF("src", "a", "an"), first.toDF("dst", "b", "bn")
-    linked = simhash.links(first.select("fp")).join(x, "src").join(y, "dst").select("a", "b", "an", "bn")
+    linked = simhash.links(first.select("fp")).join(x.hint("merge"), "src").join(y.hint("merge"), "dst").select("a", "b", "an", "bn")
     return same.unionByName(linked).where(F.least("an", "bn") >= SIMILARITY * F.greatest("an", "bn") - 1e-9).select("a", "b").distinct()
 
 
@@ -194,10 +195,10 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     nodes = settle(sets.groupBy("node").agg(F.first("keys").alias("keys"), F.first("n").alias("n"), F.first("fp").alias("fp")), "nodes")
     spread = nodes.select("node", "n", F.posexplode("keys").alias("t", "key"))
     full = spread.groupBy("t", "key").agg(F.count("*").alias("c")).where("c > 1").select("t", "key")
-    members = settle(spread.join(full, ["t", "key"]), "members")
+    members = settle(spread.join(full.hint("merge"), ["t", "key"]), "members")
     pairs = settle(covered(nodes.where("n > 0")), "pairs")
     wanted = members.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    texts = settle(sets.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = settle(sets.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "texts")
     links = settle(confirmed(pairs, texts), "links")
     parts = settle(connected_components(links), "parts")
     done = [nodes, members, texts, pairs, links]
@@ -217,7 +218,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         links = links.unionByName(found)
         parts = settle(connected_components(links), "parts")
     unsettle(*done)
-    return sets.select("doc_id", "node").join(parts, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
+    return sets.select("doc_id", "node").join(parts.hint("merge"), "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
