@@ -317,3 +317,20 @@ def test_company_groups():
 
     assert group_companies(["WMT", "walmart", "AAPL", "apple", "tesla", "BRK.B", "F", "ford", "LONGNAME", "x"]) == [["WMT", "walmart"], ["AAPL", "apple"], ["tesla"], ["BRK.B"], ["F", "ford"], ["LONGNAME"], ["x"]]
     assert group_companies([]) == []
+
+
+def test_masks_read_letters_as_the_sql_does(spark):
+    """Words at letters of other scripts, the two signs whose other case is ASCII, vertical tabs, and a number after two context words."""
+    import duckdb
+
+    from sedimenta.functions import text as T
+    from sedimenta.plans import q_text as Q
+
+    texts = ["é123-45-6789", "123456789ü", "ſSN 1234", "social\x0bsecurity 1234", "social security SSN 1234", "account K12345678", "10 Oak ſtreet", "parKway 3 Main parKway, Boston", "x@ſ.comK", "]a@b.com", "ü4111-1111-1111-1111", "SSN 1234 SSN 5678"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    con = duckdb.connect()
+    con.execute("create table t (i int, text varchar)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(texts)))
+    want = con.execute(f"select i, {Q._replaced('text', Q.SUPPLEMENT)}, {Q.MASK} from t order by i").fetchall()
+    got = df.select("i", T.mask_supplement(F.col("text")), T.mask_basic(F.col("text"))).orderBy("i").collect()
+    assert [tuple(r) for r in got] == want
