@@ -20,7 +20,7 @@ ALLOW, BLOCK = "allow", "block"
 SAMPLE = 50_000
 #: Least share of the labelled URLs that hold a combination, and least share of these that are blocked.
 SUPPORT, CONFIDENCE = 0.002, 0.8
-#: Most tokens in a rule, and tokens of one URL that are mined: those that are blocked most often.
+#: Most tokens in a rule, and tokens of one URL that FP-growth mines: those that are blocked most often.
 WIDTH, TOKENS = 3, 10
 #: Least number of labelled URLs behind a rule.
 LEAST = 2
@@ -119,6 +119,31 @@ class Rules:
         return max((i for i, n in met.items() if n == len(self.sets[i])), key=lambda i: (self.confidence[i], -i), default=-1)
 
 
+def _grown(rows: DataFrame, first: list[str], bound: float, width: int) -> DataFrame:
+    """``set``, ``confidence`` of every combination of up to ``width`` tokens with one of ``first`` that at least ``bound`` blocked rows (``row``, ``bad``, ``all``) hold.
+
+    Grown token by token in one order, in which those of ``first`` come first:
+    only what is frequent is grown, and each combination once. One that is
+    always blocked is not grown, nor is another grown by a token that is: no
+    rule with such a part adds to it. Rows of equal tokens are counted as one.
+    """
+    place = F.when(F.col("t").isin(first), F.concat(F.lit("0"), "t")).otherwise(F.concat(F.lit("1"), "t"))
+    each = rows.groupBy("all").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("int")).alias("b")).withColumn("row", F.monotonically_increasing_id())
+    each = settle(each.select("row", "n", "b", F.explode("all").alias("t")).select("row", "n", "b", place.alias("at")), "grown")
+    sums = lambda df, *by: df.groupBy(*by).agg(F.sum("b").alias("blocked"), F.sum("n").alias("freq"))
+    pure = sums(each, "at").where("blocked = freq").select("at")
+    next_ = settle(each.join(pure, "at", "left_anti").select("row", "at"), "grown")
+    level = each.where(F.col("at").startswith("0")).select("row", "n", "b", F.array("at").alias("ats"))
+    out = None
+    for i in range(width):
+        found = settle(sums(level, "ats").where(F.col("blocked") >= bound), "grown")
+        out = found if out is None else out.unionByName(found)
+        if i + 1 < width:
+            more = level.join(found.where("blocked < freq").select("ats"), "ats", "left_semi").join(next_, "row").where(F.col("at") > F.element_at("ats", -1))
+            level = more.select("row", "n", "b", F.array_append("ats", F.col("at")).alias("ats"))
+    return out.select(F.array_sort(F.transform("ats", lambda x: F.substring(x, F.lit(2), F.char_length(x)))).alias("set"), (F.col("blocked") / F.col("freq")).alias("confidence"))
+
+
 def mine(labelled: DataFrame, sample: int = SAMPLE, support: float = SUPPORT, confidence: float = CONFIDENCE, width: int = WIDTH, least: int = 1) -> Rules:
     """Rules from rows of ``host``, ``path``, ``label`` (allow or block; other rows teach nothing).
 
@@ -127,10 +152,11 @@ def mine(labelled: DataFrame, sample: int = SAMPLE, support: float = SUPPORT, co
     whose support, count (``least``) and confidence reach their bounds is a
     rule, unless a part of it is one already with as much confidence.
 
-    Of a URL's tokens that are frequent with the label, the TOKENS with the
-    largest share of blocked URLs are mined (ties by name). So a URL adds at
-    most 2**TOKENS combinations however many parts it has, and there are at
-    most 2**TOKENS / ``support`` frequent ones however many URLs.
+    Of a URL's tokens that are frequent with the label, FP-growth takes the
+    TOKENS with the largest share of blocked URLs (ties by name), as it would
+    look at all 2**n combinations of n tokens. Its counts are whole for
+    combinations of tokens that no URL had to leave out; those with a token that
+    one did are counted in full by ``_grown``. So no combination is missed.
     """
     t = by_hash(labelled.where(F.col("label").isin(ALLOW, BLOCK)), sample, *labelled.columns)
     rows = t.select((F.col("label") == BLOCK).alias("bad"), tokens(F.col("host"), F.col("path")).alias("tokens"))
@@ -141,8 +167,9 @@ def mine(labelled: DataFrame, sample: int = SAMPLE, support: float = SUPPORT, co
     bound = max(least, support * n)
     spread = rows.select("row", "bad", F.explode("tokens").alias("token"))
     share = spread.groupBy("token").agg(F.avg(F.col("bad").cast("int")).alias("share"), F.sum(F.col("bad").cast("int")).alias("n")).where(F.col("n") >= bound).drop("n")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "token"))), 1, TOKENS)
-    few = spread.join(share, "token").groupBy("row", "bad").agg(F.transform(best, lambda x: x["token"]).alias("items"))
+    best = F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("s"), "token")))
+    few = spread.join(share, "token").groupBy("row", "bad").agg(best.alias("best"))
+    few = settle(few.select("row", "bad", F.transform("best", lambda x: x["token"]).alias("all")).select("*", F.slice("all", 1, TOKENS).alias("items")), "few")
     items = settle(few.select(F.concat("items", F.when(F.col("bad"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items")), "items")
     m = items.count()
     if not m:
@@ -152,6 +179,11 @@ def mine(labelled: DataFrame, sample: int = SAMPLE, support: float = SUPPORT, co
     blocked = with_label.select(F.array_sort(F.array_except("items", F.array(F.lit(BLOCKED)))).alias("set"), F.col("freq").alias("blocked"))
     every = frequent.where(~F.array_contains("items", BLOCKED)).select(F.array_sort("items").alias("set"), "freq")
     sure = blocked.join(every, "set").withColumn("confidence", F.col("blocked") / F.col("freq")).where(F.col("confidence") >= confidence)
+    left_out = few.select(F.explode(F.slice("all", TOKENS + 1, F.greatest(F.size("all") - TOKENS, F.lit(0)))).alias("token")).distinct()
+    left_out = [r["token"] for r in left_out.collect()]  # frequent tokens, of which there are a bounded number
+    if left_out:
+        sure = sure.where(~F.arrays_overlap("set", F.array(*[F.lit(t) for t in left_out]))).select("set", "confidence")
+        sure = sure.unionByName(_grown(few, left_out, max(1, bound), width).where(F.col("confidence") >= confidence))
     kept: dict[tuple[str, ...], float] = {}
     for r in sorted(sure.collect(), key=lambda r: (len(r["set"]), -r["confidence"], r["set"])):
         s = tuple(r["set"])

@@ -126,3 +126,20 @@ def test_sample_is_bounded_and_follows_the_hash(spark):
     few = {r.id for r in by_hash(df, 300, "id", "x").collect()}
     order = sorted(((r.h, r.id) for r in df.select("id", F.xxhash64("id", "x", F.lit("sample")).alias("h")).collect()))
     assert few == {i for _, i in order[:300]} and by_hash(df, 5000, "id").count() == 5000
+
+
+@pytest.mark.parametrize("tokens", [2, 4])
+def test_tokens_beyond_those_of_fp_growth(spark, monkeypatch, tokens):
+    """URLs with more frequent tokens than FP-growth takes: every combination is found with its whole count."""
+    monkeypatch.setattr(uf, "TOKENS", tokens)
+    rng = Random(11)
+    rows = []
+    for _ in range(400):
+        bad = rng.random() < 0.4
+        path = [f"t{i}" for i in range(9) if rng.random() < (0.75 if bad else 0.3)]
+        rows.append((f"x{rng.randrange(3)}", "/" + "/".join(path), uf.BLOCK if bad else uf.ALLOW))
+    df = spark.createDataFrame(rows, "host string, path string, label string")
+    got = uf.mine(df, support=0.02, confidence=0.7)
+    had = [(set(r.tokens), r.label == uf.BLOCK) for r in df.select(uf.tokens(F.col("host"), F.col("path")).alias("tokens"), "label").collect()]
+    want = count(had, 0.02, 0.7)
+    assert dict(zip(map(tuple, got.sets), got.confidence, strict=True)) == pytest.approx({tuple(sorted(k)): v for k, v in want.items()}) and want
