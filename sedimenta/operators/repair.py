@@ -41,7 +41,9 @@ def entity_text(entities: DataFrame) -> DataFrame:
 def mark_changed(chunks: DataFrame, mentions: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Chunks of the changed files, and the entities that these mention, to embed again."""
     c = chunks.join(files, "file_name", "left_semi").select("id")
-    e = mentions.join(c, mentions["chunk_id"] == c["id"], "left_semi").select(F.col("entity_id").alias("id")).distinct()
+    by_file = "file_name" in mentions.columns  # then the chunks themselves need not be read
+    e = mentions.join(files, "file_name", "left_semi") if by_file else mentions.join(c, mentions["chunk_id"] == c["id"], "left_semi")
+    e = e.select(F.col("entity_id").alias("id")).distinct()
     return c, e
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import DEFAULTS
 from sedimenta.operators.lexical import top
-from sedimenta.session import settle, unsettle
+from sedimenta.session import exists, settle, unsettle
 
 #: Hash buckets of terms, each a folder of Parquet files: a query opens those of its terms.
 BUCKETS = 64
@@ -26,11 +26,6 @@ KINDS = 16
 ROUNDING = 1e-6
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
-
-
 @dataclass(frozen=True)
 class TextIndex:
     """An index under ``path``, a folder that all executors reach.
@@ -52,7 +47,7 @@ class TextIndex:
 
     def committed(self) -> list[tuple[str, int, int]]:
         """Name, number of texts and their total length of the segments that are complete."""
-        if not _exists(self.spark, f"{self.path}/stats"):
+        if not exists(self.spark, f"{self.path}/stats"):
             return []
         stats = self.spark.read.schema("texts long, total long, segment string").parquet(f"{self.path}/stats")
         return sorted((r["segment"][2:], r["texts"], r["total"]) for r in stats.collect())
@@ -132,7 +127,7 @@ class TextIndex:
         at = [f"{self.path}/postings/segment=s_{x}" for x in (self.segments() if segments is None else segments)]
         if terms is not None:
             at = [f"{x}/bucket={i}" for x in at for i in sorted({zlib.crc32(t.encode()) % self.buckets for t in terms})]
-        at = [x for x in at if _exists(self.spark, x)]
+        at = [x for x in at if exists(self.spark, x)]
         if not at:
             return None
         b = self.spark.read.option("basePath", f"{self.path}/postings").parquet(*at)

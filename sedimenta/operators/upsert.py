@@ -62,6 +62,6 @@ def needs_embedding(embedding: Column, flag: Column, updated: Column, embedded:
 
 def delete_cascade(mentions: DataFrame, gone_files: DataFrame) -> DataFrame:
     """Entities that only chunks of the gone files mention: what a deletion takes with it."""
-    inside = gone_files.select(F.col("file_name"), F.lit(1).alias("_gone")).distinct()
-    refs = mentions.join(inside, "file_name", "left").groupBy("entity_id").agg(F.count("*").alias("refs"), F.count("_gone").alias("gone"))
-    return refs.where("refs = gone").select("entity_id", "refs")
+    count = lambda m, n: m.groupBy("entity_id").agg(F.count("*").alias(n))
+    gone = count(mentions.join(gone_files.select("file_name"), "file_name", "left_semi"), "gone")  # counted on both sides before they meet
+    return count(mentions, "refs").join(gone, "entity_id").where("refs = gone").select("entity_id", "refs")

@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
+from sedimenta.catalog import QUERIES
 from sedimenta.operators import consistency as C
+from sedimenta.operators import lexical as L
 from sedimenta.operators import retrieve as V
+from sedimenta.operators.lexical import in_two_or_more
+from sedimenta.plans import fixtures as fx
 
 
 def sections(spark, rows):
@@ -65,3 +69,33 @@ def test_report_finds_and_mends(spark):
     assert {tuple(r) for r in m.following.collect()} == {("f1", "f2"), ("f2", "f3")}
     assert {tuple(r) for r in m.first.collect()} == {("f", "f1"), ("g", "g1")}
     assert C.checks(C.repaired(m)).agg(F.sum("n")).head()[0] == 1
+
+
+def test_words_of_one_text_only_go(spark):
+    rows = [(1, ["alpha", "beta", "own"]), (2, ["alpha", "beta"]), (3, ["alone", "single"]), (4, []), (5, ["beta"])]
+    got = in_two_or_more(spark.createDataFrame(rows, "no long, words array<string>")).collect()
+    assert {r.no: r.words for r in got} == {1: ["alpha", "beta"], 2: ["alpha", "beta"], 3: [], 4: [], 5: ["beta"]}
+
+
+def test_mentions_and_one_question_build_no_index(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fx, "scratch_dir", lambda s: str(tmp_path))
+    monkeypatch.setattr(fx, "index", None)  # none of these may ask for it
+    text = "The nation mentions that something; something elle with elle. "
+    spark.createDataFrame([(i, text + "Unique%d" % i, "en", "src2", 60) for i in range(4)] + [(9, None, "en", "src2", 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, [1.0, 0.0]), (8, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    m = QUERIES["mention_edges"](spark, str(tmp_path))
+    assert sorted({r.dst for r in m.collect()}) == ["mentions", "nation", "something"] and m.count() == 12
+    assert {r.id for r in QUERIES["entity_scope_semi"](spark, str(tmp_path)).collect()} == {"mentions", "nation", "something"}
+    assert {(r.entity_id, r.refs) for r in QUERIES["delete_cascade"](spark, str(tmp_path)).collect()} == set()
+    assert [r.id for r in QUERIES["hybrid_topk"](spark, str(tmp_path)).collect()] == [0, 7, 1]
+
+
+def test_a_scan_scores_as_the_postings_do(spark):
+    rows = [("a", 1, "x", 2), ("a", 1, "y", 1), ("b", 1, "x", 5), ("c", 2, "z", 3), ("d", 3, "x", 1), ("d", 3, "w", 9)]
+    p = spark.createDataFrame(rows, "chunk_id string, doc_id long, term string, tf long")
+    texts = p.groupBy("chunk_id", "doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    want = {r.chunk_id: r.score for r in L.bm25(p, ["x", "z", "none"]).collect()}
+    got = [(r.doc_id, r.score, r["rank"]) for r in L.scan(texts, ["x", "z", "none"], 2, "doc_id").collect()]
+    best = sorted(((max(want["a"], want["b"]), 1), (want["c"], 2), (want["d"], 3)), key=lambda x: (-x[0], x[1]))[:2]
+    assert got == [(d, s, i) for i, (s, d) in enumerate(best, 1)]
+    assert L.scan(texts, ["none"], 2, "doc_id").count() == 0 and L.scan(texts, [], 2, "doc_id").count() == 0
