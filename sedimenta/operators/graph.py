@@ -49,12 +49,16 @@ def trails_between(edges: DataFrame, a: str, b: str, depth: int) -> DataFrame:
     the goal is still in reach; hubs that lead elsewhere are not expanded.
     """
     togo = distances(edges, F.col("node") == b, depth).select(F.col("node").alias("_n"), F.col("hops").alias("_togo"))
-    e = both_ways(edges).join(togo, F.col("b") == F.col("_n"))
-    level = e.where((F.col("a") == a) & (F.col("_togo") <= depth - 1))
+    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "type", F.lit(True).alias("_on"))
+    e = e.unionByName(edges.where("src <> dst").select(F.col("dst").alias("a"), F.col("src").alias("b"), "type", F.lit(False).alias("_on")))
+    # ids of edges are made of those on a walk, not of all
+    eid = F.sha1(F.when(F.col("_on"), F.concat_ws("|", "a", "type", "b")).otherwise(F.concat_ws("|", "b", "type", "a")))
+    level = e.where(F.col("a") == a).join(togo.where(F.col("_togo") <= depth - 1), F.col("b") == F.col("_n")).withColumn("eid", eid)
     level = level.select(F.col("a").alias("start"), F.col("b").alias("node"), F.lit(1).alias("hops"), F.array("a", "b").alias("nodes"), F.array("eid").alias("eids"), F.array("type").alias("types"))
     out = level
     for n in range(2, depth + 1):
-        level = level.join(e.where(F.col("_togo") <= depth - n), F.col("node") == F.col("a")).where(~F.array_contains("eids", F.col("eid")))
+        inner = e.join(togo.where(F.col("_togo") <= depth - n), F.col("b") == F.col("_n"))
+        level = level.join(inner, F.col("node") == F.col("a")).withColumn("eid", eid).where(~F.array_contains("eids", F.col("eid")))
         level = level.select("start", F.col("b").alias("node"), F.lit(n).alias("hops"), F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("eids", F.col("eid")).alias("eids"), F.array_append("types", F.col("type")).alias("types"))
         out = out.unionByName(level)
     return out.where(F.col("node") == b)
@@ -79,18 +83,18 @@ def co_mentions(mentions: DataFrame) -> DataFrame:
 def distances(edges: DataFrame, start: Column, depth: int) -> DataFrame:
     """``node``, ``hops``: fewest edges, in either direction, from the nodes that meet ``start``; at most ``depth``.
 
-    Breadth first: each round joins the frontier only and drops what was reached before.
+    Breadth first: each round joins the frontier with the edges at either end
+    and drops what was reached before; the edges themselves are never sorted or made distinct.
     """
-    e = both_ways(edges).select("a", "b").distinct()
-    ends = e.select(F.col("a").alias("node")).distinct()
-    seen = settle(ends.where(start).withColumn("hops", F.lit(0)), "bfs")
+    ends = edges.select(F.col("src").alias("node")).union(edges.select("dst"))
+    front = settle(ends.where(start).distinct(), "bfs")
+    seen = front.withColumn("hops", F.lit(0))
     for n in range(1, depth + 1):
-        front = seen.where(F.col("hops") == n - 1)
-        new = front.join(e, front.node == e.a).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = settle(new.withColumn("hops", F.lit(n)), "bfs")
-        if new.isEmpty():
+        met = [front.join(edges, front.node == edges[x]).select(F.col(y).alias("node")) for x, y in (("src", "dst"), ("dst", "src"))]
+        front = settle(met[0].union(met[1]).distinct().join(seen, "node", "left_anti"), "bfs")
+        if front.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = seen.unionByName(front.withColumn("hops", F.lit(n)))  # a constant, so that a plan that asks for few hops reads no other
     return seen
 
 
@@ -100,7 +104,7 @@ def shortest_nodes(edges: DataFrame, a: str, b: str, depth: int = 3) -> DataFram
     found = near.where(F.col("n") == a).first()
     if found is None:
         return near.select(F.array("n").alias("nodes"), F.lit(0).cast("long").alias("hops")).where("false")
-    e = both_ways(edges).select("a", "b").distinct()
+    e = both_ways(edges).select("a", "b")
     level = near.where(F.col("n") == a).select(F.col("n").alias("node"), F.array("n").alias("nodes"))
     for left in range(found["togo"] - 1, -1, -1):  # only towards the goal
         step = e.join(near.where(F.col("togo") == left), e.b == near.n).select("a", "b")
@@ -126,7 +130,7 @@ def cycles(edges: DataFrame, start: Column, depth: int = 4) -> DataFrame:
     Edges from a node that none leads to, or to one that none leaves, are on no
     cycle; dropped before, they keep leaves and hubs of a tree out of the walk.
     """
-    edges = settle(edges.select("src", "dst", "type"), "cycles")
+    edges = edges.select("src", "dst", "type")
     for _ in range(2):
         edges = edges.join(edges.select(F.col("dst").alias("_n")).distinct(), F.col("src") == F.col("_n"), "left_semi")
         edges = edges.join(edges.select(F.col("src").alias("_n")).distinct(), F.col("dst") == F.col("_n"), "left_semi")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import graph as G
 from sedimenta.operators.retrieve import stored_community
+from sedimenta.session import settle
 
 #: Paths and cycles shown of one question: the first by length, then by nodes.
 SHOWN = 10
@@ -51,9 +52,13 @@ def _links(edges: DataFrame) -> DataFrame:
 
 def _of_trails(q: Question, trails: DataFrame) -> DataFrame:
     """The nodes and links of some trails, each once."""
+    trails = settle(trails.select("nodes", "eids", "types"), "trails")
     ids = trails.select(F.explode("nodes").alias("id")).distinct()
+    walked = trails.select("nodes", F.posexplode("types").alias("i", "type")).select(F.get("nodes", F.col("i")).alias("src"), F.get("nodes", F.col("i") + 1).alias("dst"), "type")
+    walked = settle(walked.union(walked.select("dst", "src", "type")).distinct(), "walked")  # written, so that its size tells how it is joined
     eids = trails.select(F.explode("eids").alias("eid")).distinct()
-    return _nodes(q, ids).unionByName(_links(G.numbered(q.edges).join(eids, "eid", "left_semi")))
+    there = G.numbered(q.edges.join(walked, ["src", "dst", "type"], "left_semi"))
+    return _nodes(q, ids).unionByName(_links(there.join(eids, "eid", "left_semi")))
 
 
 def _first(trails: DataFrame) -> DataFrame:
@@ -104,18 +109,19 @@ KINDS: dict[str, tuple[bool, Callable[[Question], DataFrame]]] = {
 }
 
 
-def reason(entities: DataFrame, edges: DataFrame, kind: str, a: str, b: str | None = None, depth: int = 3, membership: DataFrame | None = None) -> DataFrame:
+def reason(entities: DataFrame, edges: DataFrame, kind: str, a: str, b: str | None = None, depth: int = 3, membership: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """The answer to one question: ``kind``, ``id``, ``other``, ``label``.
 
     ``depth`` is moved into 1 to 5. A missing entity, a missing second one where
     the kind needs it, and an unknown kind give one row of kind ``error``;
     entities that are not in the graph give no paths. ``membership`` (``id``,
     ``community``) is for ``entity_community``, which without it takes the
-    neighbourhood. Rows of ``edges`` that are equal count once.
+    neighbourhood. Rows of ``edges`` that are equal count once; ``distinct``: there are none.
     """
     a, b = (a or "").strip(), (b or "").strip()
     needs, answer = KINDS.get(kind, (False, None))
     wrong = "unknown kind of reasoning" if answer is None else "an entity is needed" if not a else f"{kind} needs two entities" if needs and not b else None
     if wrong:
         return entities.sparkSession.createDataFrame([("error", None, None, wrong)], "kind string, id string, other string, label string")
-    return answer(Question(entities, edges.select("src", "dst", "type").distinct(), a, b, min(max(LEAST, depth), MOST), membership))
+    edges = edges.select("src", "dst", "type") if distinct else settle(edges.select("src", "dst", "type").distinct(), "edges")
+    return answer(Question(entities, edges, a, b, min(max(LEAST, depth), MOST), membership))

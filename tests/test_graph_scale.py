@@ -46,3 +46,10 @@ def test_conflicts_are_those_of_all_pairs_of_ids(spark):
     assert {k: a * b for k, (_, a, b) in got.items()} == pairs
     degrees = spark.createDataFrame([("i0", 5), ("i3", 5), ("i1", 1)], "id string, degree int")
     assert {r.group: r.winner for r in R.most_related(df, degrees).collect()} == {"g0": "i0", "g1": "i1", "g2": "i11"}
+
+
+def test_few_hops_read_few_files(spark):
+    df = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "x") for i in range(6)] + [("n0", None, "x"), (None, "n0", "x")] * 2, "src string, dst string, type string")
+    d = G.distances(df.where("src is not null and dst is not null"), F.col("node") == "n0", 4)
+    assert {(r.node, r.hops) for r in d.collect()} == {(f"n{i}", i) for i in range(5)}
+    assert len(d.where("hops <= 1").inputFiles()) < len(d.inputFiles())
