@@ -47,8 +47,7 @@ def xbrl_units(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT o_custkey AS doc_id, 'us-gaap:Orders' AS name, round(CAST(printf('%.2f', o_totalprice) AS DOUBLE) * 1000 * CASE WHEN o_orderstatus = 'F' THEN -1 ELSE 1 END, 2) AS value, 'USD' AS unit, strftime(o_orderdate, '%Y-%m-%d') AS period_end, 'c' || o_orderkey AS context_ref, CAST(3 AS INTEGER) AS scale FROM orders""")
 def xbrl_facts(spark: SparkSession, sf: str) -> DataFrame:
-    f = filings(spark, sf)
-    n = H.numeric_facts(H.inline_facts(f), H.contexts(f), H.units(f))
+    n = H.filing_facts(filings(spark, sf))
     return n.select("doc_id", "name", F.round("value", 2).alias("value"), "unit", "period_end", "context_ref", "scale")
 
 

@@ -87,7 +87,42 @@ class _Tree(HTMLParser):
         self.top.children.append(data)
 
 
+#: Plain markup, piece by piece: text, then a tag whose attributes are all in double quotes; no references, comments or declarations.
+PLAIN = re.compile(r'''([^<&]*+)(?:<(/?)([A-Za-z][A-Za-z0-9:_-]*+)((?: +[A-Za-z_:][A-Za-z0-9:_.-]*+="[^"&<>]*+")*+) *(/?)>|\Z)''')
+ATTRIBUTE = re.compile(r'([^ =]+)="([^"]*)"')
+# Elements whose content the full parser reads by rules of its own.
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext svg math".split())
+
+
+def _plain_tree(markup: str) -> Node | None:
+    """The tree of plain markup, as the full parser gives it in several times the time; None of any other."""
+    t, at, end = _Tree(), 0, len(markup)
+    while at < end:
+        m = PLAIN.match(markup, at)
+        if m is None:
+            return None
+        at = m.end()
+        text, close, tag, attrs, empty = m.groups()
+        if text:
+            t.handle_data(text)
+        if tag is None:
+            break
+        tag = tag.lower()
+        if close:
+            if attrs or empty or not m[0].endswith(m[3] + ">"):
+                return None
+            t.handle_endtag(tag)
+        elif tag in RAW:
+            return None
+        else:
+            (t.handle_startendtag if empty else t.handle_starttag)(tag, [(k.lower(), v) for k, v in ATTRIBUTE.findall(attrs)] if attrs else [])
+    return t.root
+
+
 def tree(markup: str) -> Node:
+    plain = _plain_tree(markup or "")
+    if plain is not None:
+        return plain
     t = _Tree()
     t.feed(markup or "")
     t.close()
@@ -132,9 +167,9 @@ def stripped(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> D
     return _per_document(df, lambda m: [(strip_tags(m),)], "text string", id_col, html_col)
 
 
-def _contexts(markup: str) -> list[tuple]:
+def _contexts(root: Node) -> list[tuple]:
     out = []
-    for n in tree(markup).walk():
+    for n in root.walk():
         if local(n.tag) == "context" and n.attrs.get("id"):
             got: dict[str, str | None] = dict.fromkeys(("identifier", "startdate", "enddate", "instant"))
             segment = []
@@ -150,24 +185,24 @@ def _contexts(markup: str) -> list[tuple]:
 
 def contexts(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
     """``doc_id``, ``context_ref``, ``entity``, ``segment``, ``period_start``, ``period_end``; contexts without id are skipped."""
-    return _per_document(df, _contexts, "context_ref string, entity string, segment string, period_start string, period_end string", id_col, html_col)
+    return _per_document(df, lambda m: _contexts(tree(m)), "context_ref string, entity string, segment string, period_start string, period_end string", id_col, html_col)
 
 
-def _units(markup: str) -> list[tuple]:
+def _units(root: Node) -> list[tuple]:
     out = []
-    for n in tree(markup).walk():
+    for n in root.walk():
         if local(n.tag) == "unit" and n.attrs.get("id"):
             out.append((n.attrs["id"], next((c.text().strip() for c in n.walk() if local(c.tag) == "measure"), None)))
     return out
 
 
 def units(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    return _per_document(df, _units, "unit_ref string, measure string", id_col, html_col)
+    return _per_document(df, lambda m: _units(tree(m)), "unit_ref string, measure string", id_col, html_col)
 
 
-def _inline(markup: str) -> list[tuple]:
+def _inline(root: Node) -> list[tuple]:
     found = []
-    for n in tree(markup).walk():
+    for n in root.walk():
         if n.tag in ("ix:nonfraction", "ix:nonnumeric"):
             a = n.attrs
             place = 2 if n.inside("table") else 0
@@ -175,9 +210,28 @@ def _inline(markup: str) -> list[tuple]:
     return sorted(found, key=lambda r: r[:2])  # narrative first, then what tables hold
 
 
+FACT = "place int, seq int, numeric boolean, name string, context_ref string, unit_ref string, scale string, sign string, decimals string, format string, fact_id string, raw string"
+
+
 def inline_facts(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
-    fields = "place int, seq int, numeric boolean, name string, context_ref string, unit_ref string, scale string, sign string, decimals string, format string, fact_id string, raw string"
-    return _per_document(df, _inline, fields, id_col, html_col)
+    return _per_document(df, lambda m: _inline(tree(m)), FACT, id_col, html_col)
+
+
+def _facts(markup: str) -> list[tuple]:
+    """Facts with the contexts and units that they refer to in their document: a row each, as left joins give them."""
+    root = tree(markup)
+    ctx, unit = {}, {}
+    for c in _contexts(root):
+        ctx.setdefault(c[0], []).append(c[1:])
+    for u, measure in _units(root):
+        unit.setdefault(u, []).append(measure)
+    return [(*f, *c, u) for f in _inline(root) if f[2] and f[3] is not None for c in ctx.get(f[4], [(None,) * 4]) for u in unit.get(f[5], [None])]
+
+
+def filing_facts(df: DataFrame, id_col: str = "doc_id", html_col: str = "html") -> DataFrame:
+    """``numeric_facts`` of whole filings, each parsed once: a fact's context and unit lie in its own document, so nothing is shuffled."""
+    fields = f"{FACT}, entity string, segment string, period_start string, period_end string, measure string"
+    return _valued(_per_document(df, _facts, fields, id_col, html_col).withColumn("value", _value()).where("value is not null"))
 
 
 def numeric_facts(facts: DataFrame, ctx: DataFrame, unit: DataFrame) -> DataFrame:
@@ -186,10 +240,15 @@ def numeric_facts(facts: DataFrame, ctx: DataFrame, unit: DataFrame) -> DataFram
     Context and unit are left joins on (document, reference): a fact whose
     context is missing keeps null periods.
     """
-    number = display_number(F.col("raw"))
-    value = number * F.pow(F.lit(10.0), F.coalesce(F.col("scale").try_cast("int"), F.lit(0))) * F.when(F.col("sign") == "-", -1.0).otherwise(1.0)
-    f = facts.where("numeric and name is not null").withColumn("value", value).where("value is not null")
-    f = f.join(ctx, ["doc_id", "context_ref"], "left").join(unit, ["doc_id", "unit_ref"], "left")
+    f = facts.where("numeric and name is not null").withColumn("value", _value()).where("value is not null")
+    return _valued(f.join(ctx, ["doc_id", "context_ref"], "left").join(unit, ["doc_id", "unit_ref"], "left"))
+
+
+def _value() -> Column:
+    return display_number(F.col("raw")) * F.pow(F.lit(10.0), F.coalesce(F.col("scale").try_cast("int"), F.lit(0))) * F.when(F.col("sign") == "-", -1.0).otherwise(1.0)
+
+
+def _valued(f: DataFrame) -> DataFrame:
     decimals = F.col("decimals").try_cast("int")
     return f.select("doc_id", "seq", "name", "value", "raw", resolve_unit(F.col("measure")).alias("unit"), "period_start", "period_end", "segment", "context_ref", "entity", F.col("scale").try_cast("int").alias("scale"), decimals.alias("decimals"), "fact_id")
 

@@ -2,6 +2,7 @@
 
 import random
 
+from sedimenta.sources import html
 from sedimenta.operators.layout import captions, outside_boxes
 
 CHAR = "page long, x0 double, x1 double, top double, bottom double, c string"
@@ -66,3 +67,30 @@ def test_outside_brute_force(spark):
 def test_places_meet_by_cells(spark):
     plan = captions(spark.createDataFrame([], CHAR), spark.createDataFrame([], BOX))._jdf.queryExecution().optimizedPlan().toString()
     assert "_gx" in plan and "_gy" in plan and "Cross" not in plan
+
+
+def test_plain_markup_gives_the_full_parsers_tree():
+    def shape(n):
+        return n if isinstance(n, str) else (n.tag, n.attrs, [shape(c) for c in n.children])
+
+    def full(markup):
+        t = html._Tree()
+        t.feed(markup)
+        t.close()
+        return t.root
+
+    plain = ['a <p>b<p>c</p> d<BR/>e<br>f', '<TABLE Role="x"  id="A"><tr><td>1<td colspan="2">2<tr><th>3</table>t', '<ix:nonFraction name="us-gaap:A" sign="-">1,0</ix:nonFraction></b>', "", "text", '<a x="1" x="2" />']
+    other = ["a &amp; b", "<!-- c --><p>x", "<script>a<b</script>", "<a b=c>", "<a b>", "a < b", "<p", "</a >x", "<a b='c'>", "<p>\x00<", "</p/>", '<a b="x&y">', "<title><b></title>"]
+    assert all(html._plain_tree(m) is not None for m in plain) and all(html._plain_tree(m) is None for m in other)
+    assert [shape(html.tree(m)) for m in plain + other] == [shape(full(m)) for m in plain + other]
+
+
+def test_facts_of_a_filing_parsed_once_are_those_of_the_joins(spark):
+    page = '<xbrli:context id="c"><xbrli:identifier>7</xbrli:identifier><xbrli:instant>2020-01-02</xbrli:instant></xbrli:context>' * 2
+    page += '<xbrli:unit id="u"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit><ix:nonFraction name="n" contextRef="c" unitRef="u" scale="3" sign="-">1,5</ix:nonFraction>'
+    page += '<ix:nonFraction name="n" contextRef="none" unitRef="none">2</ix:nonFraction><ix:nonFraction contextRef="c">3</ix:nonFraction><ix:nonNumeric name="t">4</ix:nonNumeric><ix:nonFraction name="n">no number</ix:nonFraction>'
+    df = spark.createDataFrame([(1, page), (2, page.replace('"c"', '"d"')), (3, None), (4, "")], "doc_id long, html string")
+    want = html.numeric_facts(html.inline_facts(df), html.contexts(df), html.units(df))
+    got = html.filing_facts(df)
+    key = lambda d: sorted(map(repr, d.select(*sorted(d.columns)).collect()))
+    assert got.columns == want.columns and key(got) == key(want) and got.count() == 6
