@@ -12,7 +12,7 @@ from sedimenta.operators.sections import sections
 from sedimenta.plans import fixtures as fx
 from sedimenta.plans.q_parse import SECTIONS
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import settle, table
 
 
 @query(rf"""WITH {SECTIONS}, p AS (SELECT doc.file_name, item, title, s.content, s.start, CASE WHEN contains(lower(doc.file_name), 'src1') THEN 1 ELSE 2 END AS pass FROM s JOIN doc USING (doc_id)
@@ -62,7 +62,8 @@ UNION ALL SELECT 'broken_chains', count(*), 0 FROM chunk WHERE position > 1 AND
 def consistency_report(spark: SparkSession, sf: str) -> DataFrame:
     """A graph with lone entities, documents that went, emptied chunks and lost links: what the checks find, and what is left after the repair."""
     c = fx.chunks(spark, sf).select("id", "file_name", "doc_id", "position", F.when(F.col("position") % 5 != 0, F.col("text")).alias("text"))
+    c = settle(c, "chunks", "zstd")  # written once: the checks and the repair read chunks and edges many times
     follow = next_links(c).join(c.where("position % 3 <> 0").select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
     lone = table(spark, sf, "region").select(F.concat(F.lit("alone "), "r_name").alias("id"))
     docs = fx.documents(spark, sf).where("n_chars > 500").select("file_name")
-    return C.report(C.Graph(docs, c, first_links(c.where("doc_id % 9 <> 0")), follow, fx.entities(spark, sf).select("id").union(lone), fx.edges(spark, sf)))
+    return C.report(C.Graph(docs, c, first_links(c.where("doc_id % 9 <> 0")), follow, fx.entities(spark, sf).select("id").union(lone), settle(fx.edges(spark, sf).select("src", "dst"), "edges")))

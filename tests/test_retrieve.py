@@ -99,3 +99,8 @@ def test_a_scan_scores_as_the_postings_do(spark):
     best = sorted(((max(want["a"], want["b"]), 1), (want["c"], 2), (want["d"], 3)), key=lambda x: (-x[0], x[1]))[:2]
     assert got == [(d, s, i) for i, (s, d) in enumerate(best, 1)]
     assert L.scan(texts, ["none"], 2, "doc_id").count() == 0 and L.scan(texts, [], 2, "doc_id").count() == 0
+
+
+def test_the_report_reads_written_chunks(spark):
+    plan = QUERIES["consistency_report"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "l_suppkey" not in plan  # chunks and edges are not derived anew for each check
