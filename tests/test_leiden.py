@@ -103,3 +103,12 @@ def test_odd_edges(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 2.0), (None, "a", 1.0), ("c", "c", 4.0), ("d", None, 1.0), ("a", "b", 1.0)], EDGES)
     got = {r["node"]: r["community"] for r in M.leiden(df, levels=1, turns=4).where("level = 0").collect()}
     assert set(got) == {"a", "b", "c"} and got["a"] == got["b"] != got["c"]
+
+
+def test_a_turn_deals_edges_out_twice(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0), (2, 3, 2.0), (3, 2, 2.0)], "a long, b long, w double")
+    part = spark.createDataFrame([(1, 1, 1.0), (2, 2, 3.0), (3, 3, 2.0)], "node long, c long, k double")
+    moved = M._moved(e, part, 3.0, 1.0, 0)
+    plan = moved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 4 and plan.count("RepartitionByExpression") == 1  # two of the joins are of nodes only, not of edges or options
+    assert {r.node: r.k for r in moved.collect()} == {1: 1.0, 2: 3.0, 3: 2.0}
