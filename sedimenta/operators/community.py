@@ -6,11 +6,13 @@ shared folder; no step holds a community or the graph in one task.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.operators.components import connected_components
-from sedimenta.session import settle, unsettle
+from sedimenta.session import scratch_dir, settle, unsettle
 
 
 #: Turns in which nodes may join parts of their community.
@@ -162,21 +164,71 @@ def modularity(edges: DataFrame, members: DataFrame, gamma: float = 1.0) -> Data
     return all_.select("level", "communities", F.round(F.try_divide("inside", "m2") - gamma * F.try_divide("d2", F.col("m2") ** 2), 9).alias("modularity"))
 
 
+#: Edges of one bucket, if the session asks for fewer buckets.
+BUCKET = 1_000_000
+
+
+def numbered(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id``, ``name`` of all ends, numbered in the order of their names, and ``pairs`` (``x``, ``y``) with numbers for names."""
+    ends = pairs.select(F.col("x").alias("name")).union(pairs.select("y")).distinct()
+    names = settle(ends.orderBy("name").select(F.monotonically_increasing_id().alias("id"), "name"), "names")  # written, so numbers stay
+    for end in ("x", "y"):
+        pairs = pairs.join(names.select(F.col("id").alias("_id"), F.col("name").alias(end)), end).drop(end).withColumnRenamed("_id", end)
+    return names, pairs
+
+
+class Bucketed:
+    """Directed edges (``a``, ``b``) as a table in buckets of ``b``: what nodes say meets them each turn without a shuffle of edges."""
+
+    def __init__(self, edges: DataFrame, rows: int) -> None:
+        self.spark, self.name = edges.sparkSession, f"edges_{uuid.uuid4().hex}"
+        self.n = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // BUCKET))
+        path = f"{scratch_dir(self.spark).rstrip('/')}/{self.name}"
+        edges.repartition(self.n, "b").write.bucketBy(self.n, "b").option("path", path).saveAsTable(self.name)
+        self.edges = self.spark.table(self.name)
+        self.edges._settled_at = path
+
+    def said(self, nodes: DataFrame) -> DataFrame:
+        """Edges with the columns of the node (``b``) that speaks; nodes are few against edges."""
+        return self.edges.join(nodes.hint("shuffle_hash"), "b")
+
+    def drop(self) -> None:
+        """Remove the table; no plan may read it any more."""
+        self.spark.sql(f"DROP TABLE {self.name}")
+        unsettle(self.edges)
+
+
 def overlapping(edges: DataFrame, turns: int = 10, least: float = 0.2) -> DataFrame:
     """``node``, ``label``, ``share``: labels that speaker-listener propagation leaves a node with at least ``least`` of the time.
 
     Each turn every neighbour says one label of its memory, drawn by a hash of
     speaker, listener and turn, and the listener keeps the one it heard most.
+    A memory has one label more each turn, so all draws are made before the
+    first one, and edges hold numbers only. A turn shuffles what was said, by listener.
     """
-    e = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b")
-    e = settle(e.union(e.select("b", "a")).distinct(), "sllpa")
-    memory = settle(e.select(F.col("a").alias("node")).distinct().select("node", F.array("node").alias("memory")), "sllpa")
+    given = edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct()
+    given = settle(given, "sllpa")
+    draw = lambda a, b, t: (F.pmod(F.xxhash64(a, b, F.lit(t)), F.lit(t + 1)) + 1).cast("short")
+    draws = [draw("x", "y", t).alias(f"p{t}") for t in range(turns)] + [draw("y", "x", t).alias(f"q{t}") for t in range(turns)]
+    rows = given.count()
+    names, pairs = numbered(given.select("x", "y", *draws))
+    pairs = settle(pairs, "sllpa")
+    one = lambda a, b, p: pairs.select(F.col(a).alias("a"), F.col(b).alias("b"), *[F.col(f"{p}{t}").alias(f"d{t}") for t in range(turns)])
+    table = Bucketed(one("x", "y", "p").union(one("y", "x", "q")), 2 * rows)
+    unsettle(given, pairs)
+    memory = settle(names.select(F.col("id").alias("b"), F.array(F.struct("id", "name")).alias("memory")), "sllpa")
     for t in range(turns):
-        said = e.join(memory, e.b == memory.node).select("a", F.element_at("memory", (F.pmod(F.xxhash64("a", "b", F.lit(t)), F.size("memory")) + 1).cast("int")).alias("label"))
-        heard = said.groupBy("a", "label").agg(F.count("*").alias("n")).groupBy("a").agg(F.min_by("label", F.struct(-F.col("n"), F.xxhash64("label", F.lit(t)), F.col("label"))).alias("label"))
-        memory = settle(memory.join(heard, memory.node == heard.a).select("node", F.array_append("memory", F.col("label")).alias("memory")), "sllpa")
-    one = memory.select("node", F.size("memory").alias("n"), F.explode("memory").alias("label")).groupBy("node", "label").agg((F.count("*") / F.first("n")).alias("share"))
-    return one.where(F.col("share") >= least)
+        # labels go by their hash of the turn first, as ties do
+        known = memory.select("b", F.transform("memory", lambda x: F.struct(F.xxhash64(x["name"], F.lit(t)).alias("h"), x["id"].alias("id"))).alias("labels"))  # noqa: B023
+        said = table.said(known).select("a", F.element_at("labels", F.col(f"d{t}").cast("int")).alias("s")).select("a", "s.h", "s.id")
+        counts = said.repartition(table.n, "a").groupBy("a", "h", "id").agg(F.count("*").alias("n"))  # once by listener, for both aggregates
+        heard = counts.groupBy("a").agg(F.min(F.struct(-F.col("n"), "h", "id"))["id"].alias("id"))
+        heard = heard.join(names, "id").select(F.col("a").alias("b"), F.struct("id", "name").alias("label"))
+        before, memory = memory, settle(memory.join(heard, "b").select("b", F.array_append("memory", F.col("label")).alias("memory")), "sllpa")
+        unsettle(before)
+    table.drop()
+    one = memory.select(F.col("b").alias("id"), F.size("memory").alias("n"), F.explode("memory.name").alias("label")).groupBy("id", "label").agg((F.count("*") / F.first("n")).alias("share"))
+    return one.where(F.col("share") >= least).join(names, "id").select(F.col("name").alias("node"), "label", "share")
 
 
 def ranked(membership: DataFrame, mentions: DataFrame) -> DataFrame:
