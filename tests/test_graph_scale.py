@@ -6,6 +6,7 @@ from random import Random
 
 from pyspark.sql import functions as F
 
+from sedimenta.operators import community as M
 from sedimenta.operators import graph as G
 from sedimenta.operators import resolve as R
 
@@ -53,3 +54,27 @@ def test_few_hops_read_few_files(spark):
     d = G.distances(df.where("src is not null and dst is not null"), F.col("node") == "n0", 4)
     assert {(r.node, r.hops) for r in d.collect()} == {(f"n{i}", i) for i in range(5)}
     assert len(d.where("hops <= 1").inputFiles()) < len(d.inputFiles())
+
+
+def test_propagation_meets_edges_where_they_lie(spark):
+    """What nodes say meets the edges without a shuffle of edges, and labels are those of plain rounds."""
+    rng = Random(5)
+    rows = [(f"n{a}", f"n{b}", float(rng.randint(1, 3))) for a, b in ((rng.randint(0, 14), rng.randint(0, 14)) for _ in range(50))] + [(None, "n1", 1.0), ("n3", "n3", 9.0)]
+    df = spark.createDataFrame(rows, "src string, dst string, weight double")
+    w = {}
+    for a, b, x in rows:
+        if a and a != b:
+            for e in ((a, b), (b, a)):
+                w[e] = w.get(e, 0.0) + x
+    label = {a: a for a, _ in w}
+    for _ in range(5):
+        votes = {a: {label[a]: 1e-6} for a in label}
+        for (a, b), x in w.items():
+            votes[a][label[b]] = votes[a].get(label[b], 0.0) + x
+        label = {a: min(v, key=lambda c: (-round(v[c], 6), c)) for a, v in votes.items()}
+    assert {r.node: r.label for r in R.label_propagation(df).collect()} == label
+    table = M.Bucketed(spark.range(200).select((F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b")), 200)
+    plan = table.said(spark.range(5).select(F.col("id").alias("b")))._jdf.queryExecution().executedPlan().toString()
+    table.drop()
+    scan = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
+    assert "Bucketed: true" in plan and "Exchange" not in scan.split("ShuffledHashJoin")[-1]
