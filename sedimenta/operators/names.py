@@ -190,8 +190,8 @@ def _batches(segs: list[list], cells: int = 60_000) -> Iterator[list[int]]:
         yield held
 
 
-def _decoded(m: Model, segs: list[list]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Each segment's number, labels, posteriors and log scores."""
+def _decoded(m: Model, segs: list[list], spans_only: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each segment's number, labels, posteriors and log scores; ``spans_only``: of the segments that have a label other than ``O``."""
     words: dict[str, int] = {}
     ids = [np.array([words.setdefault(k, len(words)) for _, _, k in s]) for s in segs]
     share = m.scores(list(words))
@@ -202,6 +202,11 @@ def _decoded(m: Model, segs: list[list]) -> Iterator[tuple[int, np.ndarray, np.n
         for r, i in enumerate(some):
             e[r, :lengths[r]] = emissions(share, ids[i])
         y = viterbi(e, pairs, lengths)
+        if spans_only:  # segments without a span have no score to tell
+            on = y.any(1)
+            some, lengths, e, y = [i for i, o in zip(some, on, strict=True) if o], lengths[on], e[on], y[on]
+            if not some:
+                continue
         p = posteriors(e.astype(np.float64) * m.scale, m.pairs.astype(np.float64) * m.scale + ALLOWED, lengths)
         for r, i in enumerate(some):
             yield i, y[r, :lengths[r]], p[r, :lengths[r]], e[r, :lengths[r]]
@@ -222,7 +227,7 @@ def found(m: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]]]
             segs.append(s)
             of.append(d)
     out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
-    for i, y, p, _ in _decoded(m, segs):
+    for i, y, p, _ in _decoded(m, segs, spans_only=True):
         for a, z, kind in spans_of(y):
             score = min(float(p[t, y[t]]) for t in range(a, z))
             start, end = segs[i][a][0], segs[i][z - 1][1]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import names as N
 from sedimenta.plans.registry import query
-from sedimenta.session import table
+from sedimenta.session import settle, table
 
 # Sentences with places for spans (upper case) and for other words (lower case).
 SENTENCES = """
@@ -98,30 +98,40 @@ def sentence(r: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     return text, spans
 
 
+#: Customers whose texts one task makes, if the session asks for fewer tasks.
+DEALT = 10_000
 LETTER = "id long, text string, spans array<struct<start:int,end:int,type:string>>"
 
 
 def letters(spark: SparkSession, sf: str) -> DataFrame:
-    """A text of each customer with the spans it was made with: ``id``, ``text``, ``spans``."""
+    """A text of each customer with the spans it was made with: ``id``, ``text``, ``spans``.
 
+    Keys are a few bytes of a table, so a file of them is one task however many
+    they are; they are dealt out before texts are made, and texts are written once for all that reads them.
+    """
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(i, *sentence(random.Random(int(i) * 7919 + 17))) for i in pdf["id"]]
             yield pd.DataFrame([(i, t, [{"start": a, "end": z, "type": k} for a, z, k in s]) for i, t, s in rows], columns=["id", "text", "spans"])
 
-    return table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id")).mapInPandas(made, LETTER)
+    keys = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("id"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // DEALT))
+    return settle(keys.repartition(tasks, "id").mapInPandas(made, LETTER), "letters")
 
 
-def model(spark: SparkSession, sf: str) -> N.Model:
-    """Learned from the texts of customers whose key 5 does not divide."""
-    return N.fit(letters(spark, sf).where("id % 5 <> 0"))
+def model(made: DataFrame) -> N.Model:
+    """Learned from the texts (``letters``) of customers whose key 5 does not divide."""
+    return N.fit(made.where("id % 5 <> 0"))
 
 
 @query()
 def name_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans found in the text of each customer, and whether it was held out."""
-    d = letters(spark, sf).select("id", "text")
-    s = N.with_spans(d, model(spark, sf)).select("id", F.explode("spans").alias("s"))
+    made = letters(spark, sf)
+    m = model(made)
+    d = made.select("id", "text")
+    d = d.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-d.count() // DEALT)), "id")
+    s = N.with_spans(d, m).select("id", F.explode("spans").alias("s"))
     return s.select("id", (F.col("id") % 5 == 0).alias("held_out"), "s.start", "s.end", "s.type", F.round("s.score", 4).alias("score"))
 
 
@@ -129,4 +139,4 @@ def name_spans(spark: SparkSession, sf: str) -> DataFrame:
 def masked_persons(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts of all conversations, with what the tagger and the supplemental rules find replaced."""
     c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
-    return N.masked(c, model(spark, sf)).select("conv_id", "turn", F.md5("masked").alias("masked_md5"), F.size("spans").alias("n_spans"))
+    return N.masked(c, model(letters(spark, sf))).select("conv_id", "turn", F.md5("masked").alias("masked_md5"), F.size("spans").alias("n_spans"))

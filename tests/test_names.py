@@ -131,3 +131,16 @@ def test_learning_is_repeatable_and_bounded(spark):
     a, b = N.fit(d, rows=150, shards=2, rounds=1), N.fit(d.repartition(5), rows=150, shards=2, rounds=1)
     assert a.traits == b.traits and np.allclose(a.weights, b.weights)
     assert len(a.traits) < len(N.fit(d, shards=2, rounds=1).traits)
+
+
+def test_texts_are_made_once_by_many_tasks(spark, tmp_path):
+    spark.range(100).select(Q.F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    made = Q.letters(spark, str(tmp_path))
+    assert made.count() == 100 and len(made.inputFiles()) >= 8
+
+
+def test_segments_without_spans_need_no_posteriors(monkeypatch):
+    """A model without weights labels all tokens O, so no sums are made."""
+    m = N.Model({}, np.zeros((0, len(N.WINDOW), len(N.LABELS)), np.float32), np.zeros((len(N.LABELS),) * 2, np.float32))
+    monkeypatch.setattr(N, "posteriors", lambda *_: pytest.fail("called"))
+    assert N.found(m, ["John Smith", "", "a b"]) == [[], [], []]
