@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.co_occurrence import pair_counts
 from sedimenta.session import settle
 
 
@@ -73,11 +74,9 @@ def co_mentions(mentions: DataFrame) -> DataFrame:
     """Pairs ``src`` < ``dst`` of entities with the number ``n`` of chunks that mention both.
 
     The pairs of a chunk are bounded by its length, not by the corpus; they
-    are made in its own row and counted before they are shuffled.
+    are made and counted where all chunks of both entities are, and not shuffled.
     """
-    m = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_set("entity_id")).alias("e"))
-    pair = F.explode(F.flatten(F.transform("e", lambda x, i: F.transform(F.slice("e", i + 2, F.size("e")), lambda y: F.struct(x.alias("src"), y.alias("dst"))))))
-    return m.select(pair.alias("p")).groupBy("p.src", "p.dst").agg(F.count("*").alias("n"))
+    return pair_counts(settle(mentions.groupBy("chunk_id").agg(F.collect_set("entity_id").alias("e")).select("e"), "mentioned", "zstd"))
 
 
 def distances(edges: DataFrame, start: Column, depth: int) -> DataFrame:
