@@ -1,10 +1,10 @@
 """Names, numbers of persons and of accounts in texts, by a linear-chain tagger.
 
 An averaged perceptron over words in a window of five and over pairs of labels,
-trained by iterative parameter mixing: each round, every shard of the labelled
-rows learns from the mean of all shards' weights. Decoding is Viterbi; a span's
+trained on all labelled rows by iterative parameter mixing: each round, every
+shard of them learns from the mean of all shards' weights. Decoding is Viterbi; a span's
 score is the least posterior of its tokens, by forward and backward sums of the
-same scores, scaled so that the labels of a shard kept apart are likeliest.
+same scores, scaled so that the labels of the rows kept apart are likeliest.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions import text as T
+from sedimenta.session import settle, unsettle
 
 #: The types found, and what a mask calls them.
 MASKS = {
@@ -34,8 +36,12 @@ MASKS = {
 LABELS = ["O", *(f"{p}-{t}" for t in MASKS for p in "BI")]
 #: A span counts from this score on.
 THRESHOLD = 0.7
-#: At most so many labelled rows are learned from, by so many shards in so many rounds.
-ROWS, SHARDS, ROUNDS = 6000, 8, 4
+#: One of so many parts of the labelled rows sets the scale, the others are learned from in so many rounds, by shards of about so many rows.
+SHARDS, ROUNDS, SHARD_ROWS = 8, 4, 4000
+#: Traits share so many blocks of weights, by a hash, so the model's size has a bound however many words there are.
+BUCKETS = 1 << 16
+#: Segments that are labelled by the same weights while these are learned; fractions of weights are counted in units of 1 / UNIT.
+TOGETHER, UNIT = 32, 1 << 20
 #: Offsets of the words that a token's score reads.
 WINDOW = (-2, -1, 0, 1, 2)
 SCALES = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0]
@@ -92,11 +98,15 @@ def traits(key: str) -> list[str]:
     return out + [name for name, s in SETS if low in s]
 
 
+def bucket(trait: str) -> int:
+    return crc32(trait.encode()) % BUCKETS
+
+
 @dataclass
 class Model:
-    """Weights: of each trait at each place of the window for each label, of pairs of labels, and the scale of scores."""
+    """Weights: of each bucket of traits (its row is told by ``traits``; others have no weight) at each place of the window for each label, of pairs of labels, and the scale of scores."""
 
-    traits: dict[str, int]
+    traits: dict[int, int]
     weights: np.ndarray
     pairs: np.ndarray
     scale: float = 1.0
@@ -106,7 +116,7 @@ class Model:
         out = np.zeros((len(keys), len(WINDOW), len(LABELS)), np.float32)
         for i, k in enumerate(keys):
             for t in traits(k):
-                j = self.traits.get(t)
+                j = self.traits.get(bucket(t))
                 if j is not None:
                     out[i] += self.weights[j]
         return out
@@ -261,43 +271,102 @@ def gold(seg: list[tuple[int, int, str]], spans: list[tuple[int, int, str]]) ->
 
 
 def _learn(rows: list[tuple[list, np.ndarray]], m: Model) -> tuple[np.ndarray, np.ndarray]:
-    """One pass over labelled segments from the weights given; the mean of all weights on the way."""
-    w, pairs = m.weights.copy(), m.pairs.copy()
-    sum_w, sum_p, n = np.zeros_like(w), np.zeros_like(pairs), 1
-    for seg, y in rows:
-        cols = [[m.traits[t] for t in traits(k) if t in m.traits] for _, _, k in seg]
-        share = np.stack([w[c].sum(0) for c in cols])
-        e = emissions(share, np.arange(len(seg)))
-        z = viterbi(e[None], pairs + ALLOWED, np.array([len(seg)]))[0]
-        for t in np.nonzero(z != y)[0]:
-            for k, o in enumerate(WINDOW):
-                if 0 <= t + o < len(seg):
-                    for c in cols[t + o]:
-                        for lab, by in ((y[t], 1), (z[t], -1)):
-                            w[c, k, lab] += by
-                            sum_w[c, k, lab] += by * n
-        for t in range(1, len(seg)):
-            if (y[t - 1], y[t]) != (z[t - 1], z[t]):
-                for a, b, by in ((y[t - 1], y[t], 1), (z[t - 1], z[t], -1)):
-                    pairs[a, b] += by
-                    sum_p[a, b] += by * n
-        n += 1
-    return w - sum_w / n, pairs - sum_p / n
-
-
-def fit(labelled: DataFrame, rows: int = ROWS, shards: int = SHARDS, rounds: int = ROUNDS) -> Model:
+    """One pass over labelled segments from the weights given: places of weights (by bucket, place of the window and label, those of pairs of labels last) and how far they move, in units.
+
+    The end of the pass is the mean of all weights on the way. ``TOGETHER``
+    segments at a time are labelled by the same weights; those with a mistake
+    are then labelled anew, one by one, and learned from.
+    """
+    k = len(LABELS)
+    words: dict[str, int] = {}
+    ids = [np.array([words.setdefault(key, len(words)) for _, _, key in seg]) for seg, _ in rows]
+    told = [[bucket(t) for t in traits(w)] for w in words]
+    seen = np.unique([b for w in told for b in w])
+    w = np.zeros((len(seen) + 1, len(WINDOW), k), np.float32)  # the last one fills up the lists of words with fewer traits
+    here = {int(b): i for i, b in enumerate(seen)}
+    known = [(i, m.traits[b]) for b, i in here.items() if b in m.traits]
+    if known:
+        w[[i for i, _ in known]] = m.weights[[j for _, j in known]]
+    cols = np.full((len(told), max(map(len, told), default=0)), len(seen))
+    for i, bs in enumerate(told):
+        cols[i, :len(bs)] = [here[b] for b in bs]
+    pairs = m.pairs.copy()
+    by_w, late_w = np.zeros(w.shape, np.int32), np.zeros(w.shape, np.int64)
+    by_p, late_p = np.zeros((k, k), np.int32), np.zeros((k, k), np.int64)
+    n = len(rows) + 1
+    for lo in range(0, len(rows), TOGETHER):
+        some = range(lo, min(lo + TOGETHER, len(rows)))
+        lengths = np.array([len(ids[i]) for i in some])
+        on = np.arange(lengths.max()) < lengths[:, None]
+        y = np.zeros(on.shape, np.int64)
+        y[on] = np.concatenate([rows[i][1] for i in some])
+        met, at = np.unique(np.concatenate([ids[i] for i in some]), return_inverse=True)
+        share = np.zeros((*on.shape, len(WINDOW), k), np.float32)
+        share[on] = w[cols[met]].sum(1)[at]
+        e = np.zeros((*on.shape, k), np.float32)
+        for j, o in enumerate(WINDOW):
+            a, z = max(0, -o), min(on.shape[1], on.shape[1] - o)
+            if a < z:
+                e[:, a:z] += share[:, a + o:z + o, j]
+        wrong = ((viterbi(e, pairs + ALLOWED, lengths) != y) & on).any(1)
+        for i in np.array(some)[wrong]:
+            word, want = ids[i], rows[i][1]
+            got = viterbi(emissions(w[cols[word]].sum(1), np.arange(len(word)))[None], pairs + ALLOWED, lengths[[i - lo]])[0]
+            t = np.flatnonzero(got != want)
+            for j, o in enumerate(WINDOW):
+                inside = t[(t + o >= 0) & (t + o < len(word))]
+                for lab, by in ((want, 1), (got, -1)):
+                    put = (cols[word[inside + o]], j, lab[inside][:, None])
+                    np.add.at(w, put, by)
+                    np.add.at(by_w, put, by)
+                    np.add.at(late_w, put, by * (i + 1))
+            t = np.flatnonzero((want[1:] != got[1:]) | (want[:-1] != got[:-1]))
+            for lab, by in ((want, 1), (got, -1)):
+                put = (lab[t], lab[t + 1])
+                np.add.at(pairs, put, by)
+                np.add.at(by_p, put, by)
+                np.add.at(late_p, put, by * (i + 1))
+            w[-1] = 0
+    far = np.rint((by_w[:-1] - late_w[:-1] / n) * UNIT).astype(np.int64)
+    i, j, lab = np.nonzero(far)
+    cells = (seen[i].astype(np.int64) * len(WINDOW) + j) * k + lab if len(i) else np.zeros(0, np.int64)
+    far_p = np.rint((by_p - late_p / n) * UNIT).astype(np.int64).ravel()
+    there = np.flatnonzero(far_p)
+    return np.r_[cells, there + BUCKETS * len(WINDOW) * k], np.r_[far[i, j, lab], far_p[there]]
+
+
+def _mixed(m: Model, cells: np.ndarray, by: np.ndarray) -> Model:
+    """The model with its weights at ``cells`` moved by ``by``."""
+    width = len(WINDOW) * len(LABELS)
+    own = cells < BUCKETS * width
+    new = sorted(set((cells[own] // width).tolist()) - m.traits.keys())
+    places = {**m.traits, **{b: len(m.traits) + i for i, b in enumerate(new)}}
+    w, p = np.concatenate([m.weights.reshape(-1, width), np.zeros((len(new), width), np.float32)]), m.pairs.copy().ravel()
+    w[[places[b] for b in (cells[own] // width).tolist()], cells[own] % width] += by[own].astype(np.float32)
+    p[cells[~own] - BUCKETS * width] += by[~own].astype(np.float32)
+    return Model(places, w.reshape(-1, len(WINDOW), len(LABELS)), p.reshape(m.pairs.shape), m.scale)
+
+
+def fit(labelled: DataFrame, rows: int | None = None, shards: int = SHARDS, rounds: int = ROUNDS) -> Model:
     """Learn from ``labelled`` (``text``, ``spans``: array of start, end, type; null texts are left out).
 
-    At most about ``rows`` rows count, chosen by a bound on a hash of the text.
-    The driver sees their distinct traits and one block of weights a shard and
-    round, both bounded by ``rows`` and ``shards``. Spans of unknown types and
-    ones that cut a token are not learned. No rows give a model that finds nothing.
+    All rows count: one of ``shards`` parts of them, by a hash of the text, sets the
+    scale, and weights come from all others, cut into as many shards as they
+    need to be of about ``SHARD_ROWS`` rows. Only a caller that names ``rows`` gets
+    a model of about as many, chosen by a bound on a hash of the text. What shards
+    learned is added up by weight, in whole numbers, so the same rows give the same
+    model. The driver sees the weights that moved, which ``BUCKETS`` bounds. Spans of
+    unknown types and ones that cut a token are not learned. No rows give a
+    model that finds nothing.
     """
     d = labelled.where(F.col("text").isNotNull()).select("text", F.coalesce("spans", F.array()).alias("spans"))
     n = d.count()
-    share = min(1.0, rows / n) if n else 1.0
-    d = d.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))) if share < 1 else d
-    d = d.withColumn("shard", F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)).cast("int")).cache()  # shard 0 sets the scale only
+    if rows is not None and n > rows:
+        d = d.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(rows / n * (1 << 20)))
+        n = rows
+    cuts = max(1, -(-n // (shards * SHARD_ROWS)))
+    part, cut = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(shards)), F.pmod(F.xxhash64("text", F.lit(8)), F.lit(cuts))
+    d = settle(d.withColumn("shard", ((part - 1) * cuts + cut).cast("int")).withColumn("apart", part == 0), "labelled")
 
     def lines(pdf: pd.DataFrame) -> list[tuple[list, np.ndarray]]:
         out = []
@@ -306,26 +375,24 @@ def fit(labelled: DataFrame, rows: int = ROWS, shards: int = SHARDS, rounds: int
             out += [(s, gold(s, known)) for s in segments(t)]
         return out
 
-    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"trait": sorted({x for t in pdf["text"] for s in segments(t) for _, _, k in s for x in traits(k)})})
-
-    seen = [r[0] for r in d.select("text").mapInPandas(told, "trait string").distinct().orderBy("trait").collect()]
     k = len(LABELS)
-    m = Model({t: i for i, t in enumerate(seen)}, np.zeros((len(seen), len(WINDOW), k), np.float32), np.zeros((k, k), np.float32))
+    m = Model({}, np.zeros((0, len(WINDOW), k), np.float32), np.zeros((k, k), np.float32))
+    learned = d.where("not apart").select("text", "spans", "shard")
     for _ in range(rounds):
         start = labelled.sparkSession.sparkContext.broadcast(m)
 
-        def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-            w, p = _learn(lines(pdf.sort_values("text", kind="stable")), start.value)  # noqa: B023  (used within this round)
-            return pd.DataFrame({"w": [w.astype(np.float32).tobytes()], "p": [p.astype(np.float32).tobytes()]})
+        def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            parts = list(batches)
+            for _, pdf in pd.concat(parts).groupby("shard") if parts else ():
+                cells, by = _learn(lines(pdf.sort_values("text", kind="stable")), start.value)  # noqa: B023  (used within this round)
+                yield pd.DataFrame({"cell": np.r_[-1, cells], "by": np.r_[1, by]})  # -1: how many shards there are
 
-        parts = d.where("shard > 0").groupBy("shard").applyInPandas(learn, "w binary, p binary").collect()
+        by_shard = learned.repartitionById(max(1, (shards - 1) * cuts), "shard").mapInPandas(learn, "cell long, by long")
+        moved = by_shard.groupBy("cell").agg(F.sum("by").alias("by")).where("by <> 0").orderBy("cell").toArrow()
         start.unpersist()
-        if parts:
-            w = sum(np.frombuffer(r.w, np.float32).reshape(m.weights.shape) for r in parts) / len(parts)
-            p = sum(np.frombuffer(r.p, np.float32).reshape(m.pairs.shape) for r in parts) / len(parts)
-            m = Model(m.traits, w.astype(np.float32), p.astype(np.float32))
+        cells, by = (moved[c].to_numpy() for c in ("cell", "by"))
+        if len(cells):
+            m = _mixed(m, cells[1:], by[1:] / (by[0] * UNIT))
     last = labelled.sparkSession.sparkContext.broadcast(m)
 
     def likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -336,9 +403,9 @@ def fit(labelled: DataFrame, rows: int = ROWS, shards: int = SHARDS, rounds: int
                 got = sum(float(np.log(np.maximum(p[np.arange(len(p)), some[i][1]], 1e-9)).sum()) for i, _, p, _ in _decoded(scaled, [x for x, _ in some]))
                 yield pd.DataFrame({"scale": [s], "ll": [got]})
 
-    best = d.where("shard = 0").select("text", "spans").mapInPandas(likely, "scale double, ll double").groupBy("scale").agg(F.sum("ll").alias("ll")).orderBy(F.desc("ll"), "scale").first()
+    best = d.where("apart").select("text", "spans").mapInPandas(likely, "scale double, ll double").groupBy("scale").agg(F.sum("ll").alias("ll")).orderBy(F.desc("ll"), "scale").first()
     last.unpersist()
-    d.unpersist()
+    unsettle(d)
     return Model(m.traits, m.weights, m.pairs, best[0] if best else 1.0)
 
 

@@ -144,3 +144,23 @@ def test_segments_without_spans_need_no_posteriors(monkeypatch):
     m = N.Model({}, np.zeros((0, len(N.WINDOW), len(N.LABELS)), np.float32), np.zeros((len(N.LABELS),) * 2, np.float32))
     monkeypatch.setattr(N, "posteriors", lambda *_: pytest.fail("called"))
     assert N.found(m, ["John Smith", "", "a b"]) == [[], [], []]
+
+
+def test_no_row_is_left_out(spark):
+    """6500 rows without spans, and a few with one: with the 6000 rows that once counted these were never seen."""
+    some = spark.range(400).select(Q.F.concat(Q.F.lit("Zork"), Q.F.translate(Q.F.col("id").cast("string"), "0123456789", "abcdefghij"), Q.F.lit(" Quux")).alias("text"))
+    last = some.where("pmod(xxhash64(text), 1048576) >= int(0.95 * 1048576) and pmod(xxhash64(text, 7), 8) <> 0").limit(6)
+    names = [r.text for r in last.collect()]
+    assert len(names) == 6
+    rows = [(i, f"alpha beta {i % 50}", []) for i in range(6500)] + [(i, t, [(0, len(t), "PERSON")]) for i, t in enumerate(names)]
+    m = N.fit(spark.createDataFrame(rows, Q.LETTER))
+    for t in names:
+        assert [s[:3] for s in N.found(m, [t])[0]] == [(0, len(t), "PERSON")]
+    assert N.found(m, ["alpha beta 3"]) == [[]]
+
+
+def test_many_shards_learn_the_same_from_any_order(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD_ROWS", 20)
+    d = made(spark, range(400))
+    a, b = N.fit(d, shards=4, rounds=2), N.fit(d.repartition(5), shards=4, rounds=2)
+    assert len(a.traits) > 0 and a.traits == b.traits and (a.weights == b.weights).all() and (a.pairs == b.pairs).all() and a.scale == b.scale
