@@ -1,5 +1,6 @@
 """Leiden: connected communities, no level that loses modularity, refinement inside communities."""
 
+import itertools
 import random
 from itertools import combinations
 
@@ -112,3 +113,49 @@ def test_a_turn_deals_edges_out_twice(spark):
     plan = moved._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 4 and plan.count("RepartitionByExpression") == 1  # two of the joins are of nodes only, not of edges or options
     assert {r.node: r.k for r in moved.collect()} == {1: 1.0, 2: 3.0, 3: 2.0}
+
+
+def test_a_turn_over_blocks_equals_joins_and_shuffles_no_edge(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.randint(-9, 9) * 10**17, rng.randint(-9, 9) * 10**17, float(rng.randint(1, 3))) for _ in range(300)]
+    e = spark.createDataFrame(rows, "a long, b long, w double").where("a <> b or a > 0")
+    level = e.union(e.select("b", "a", "w"))
+    k = level.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
+    part = k.select("node", (F.col("node") / 10**17 % 4).cast("long").alias("c"), "k")
+    m = level.agg(F.sum("w")).first()[0] / 2
+    monkeypatch.setattr(M, "FEW", 100)  # several blocks
+    monkeypatch.setattr(M, "PIECE", 7)
+    blocks = M.Blocks(level)
+    assert blocks.n > 2
+    summed = level.where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("w"))
+    for turn in (0, 5):
+        got = M._turned(blocks, part, m, 1.0, turn)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, M._moved(summed, part, m, 1.0, turn).collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FlatMapCoGroupsInArrow"):]
+    assert "Exchange" not in scan[: scan.index("Scan")], "edges stay in their blocks"
+    blocks.drop()
+
+
+def test_hashes_are_those_of_spark(spark):
+    import numpy as np
+
+    x = np.array([0, 1, -1, 2**62, -(2**63), 123456789], np.int64)
+    d = spark.createDataFrame([(int(v), int(v) // 3) for v in x], "a long, b long")
+    want = [r[0] for r in d.select(F.xxhash64("a", "b", F.lit(7), F.lit(-2))).collect()]
+    assert M._hashed(x, x // 3, 7, -2).view(np.int64).tolist() == want
+
+
+def test_parts_of_communities_across_blocks(spark, monkeypatch):
+    """A long path through many blocks is one part, and a community of two paths is two."""
+    monkeypatch.setattr(M, "FEW", 30)
+    ids = random.Random(4).sample(range(10**6), 120)
+    pairs = [p for some in (ids[:80], ids[80:]) for p in itertools.pairwise(some)]
+    level = spark.createDataFrame([(x, y, 1.0) for a, b in pairs for x, y in ((a, b), (b, a))], "a long, b long, w double")
+    part = spark.createDataFrame([(i, 5, 1.0) for i in ids], "node long, c long, k double")
+    blocks = M.Blocks(level)
+    cut, inside = M._connected(blocks, part)
+    got = {r.node: r.c for r in cut.collect()}
+    blocks.drop()
+    assert inside == 2 * len(pairs)
+    assert got == {i: min(some) for some in (ids[:80], ids[80:]) for i in some}
