@@ -78,3 +78,36 @@ def test_propagation_meets_edges_where_they_lie(spark):
     table.drop()
     scan = plan[plan.index("FileScan") - 400 : plan.index("FileScan")]
     assert "Bucketed: true" in plan and "Exchange" not in scan.split("ShuffledHashJoin")[-1]
+
+
+def test_only_pairs_near_the_cutoff_are_scored_in_double_precision(monkeypatch):
+    """All pairs once were; those at the cutoff after rounding still count."""
+    import numpy as np
+
+    from sedimenta.operators import vector as V
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 16))
+    angle = np.arccos([0.6 + e for e in (-2e-6, -6e-7, -4e-7, 0.0, 4e-7, 2e-6)])
+    plane = np.zeros((7, 16))
+    plane[0, 0] = 1
+    plane[1:, 0], plane[1:, 1] = np.cos(angle), np.sin(angle)
+    x = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), plane])
+    ids, n = np.arange(len(x)) * 3, 300
+    want = {(i, j) for i, j in zip(*np.nonzero(np.round(x @ x.T, 6) >= 0.6), strict=True) if i < j}
+    rounded = []
+    near = np.round
+    monkeypatch.setattr(V.np, "round", lambda a, k: (rounded.append(a.size), near(a, k))[1])
+    for kind in (V._Pairs, V._Links):
+        m = kind(0.6)
+        m.hold(ids[:n], np.ones(n, np.int64))
+        told = m.meet(x[:n], x[:n], 0, 0)
+        at = m.more(ids[n:], np.ones(len(x) - n, np.int64))
+        told += m.meet(x[:n], x[n:], 0, at)
+        first = {(i, j) for i, j in want if i < n}
+        if kind is V._Pairs:
+            assert {(a // 3, b // 3) for t in told for a, b in zip(t[0].tolist(), t[1].tolist(), strict=True)} == first
+        else:
+            assert m.degree.tolist() == [sum(i in p for p in first) for i in range(len(x))]
+    assert {(600, 604), (600, 605), (600, 606)} <= want and (600, 601) not in want
+    assert max(rounded) < n * n / 16
