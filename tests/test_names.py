@@ -164,3 +164,19 @@ def test_many_shards_learn_the_same_from_any_order(spark, monkeypatch):
     d = made(spark, range(400))
     a, b = N.fit(d, shards=4, rounds=2), N.fit(d.repartition(5), shards=4, rounds=2)
     assert len(a.traits) > 0 and a.traits == b.traits and (a.weights == b.weights).all() and (a.pairs == b.pairs).all() and a.scale == b.scale
+
+
+def test_sums_of_chances_equal_sums_of_logs():
+    """Of flat scores by products; steep ones, which have no such numbers, by logs."""
+    rng = np.random.default_rng(8)
+    k, lengths = len(N.LABELS), np.array([1, 4, 7])
+    for by in (1, 12, 400):
+        e, pairs = rng.normal(size=(3, 7, k)) * by, rng.normal(size=(k, k)) * by + N.ALLOWED
+        p = N.posteriors(e, pairs, lengths)
+        for i, n in enumerate(lengths):
+            f, g = [e[i, 0] + N.FIRST], [np.zeros(k)]
+            for t in range(1, n):
+                f.append(N._soft(f[-1][:, None] + pairs, 0) + e[i, t])
+                g.insert(0, N._soft(pairs + (e[i, n - t] + g[0])[None], 1))
+            z = np.array(f) + np.array(g)
+            assert np.allclose(p[i, :n], np.exp(z - N._soft(z, 1)[:, None]), atol=1e-9)
